@@ -29,7 +29,8 @@ def nan_to_null(c: Column) -> Column:
 
 
 def infinity_to_null(c: Column) -> Column:
-    return F.when(F.abs(c) != F.lit(float("inf")), c)
+    # NaN compares greater than infinity, so it becomes NULL as well.
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def nan_columns_to_null(df: DataFrame) -> DataFrame:

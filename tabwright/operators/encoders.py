@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwright import config
 from tabwright.functions.nulls import col, missing_flag, nan_to_null, numeric_columns, text_or_nan, is_floating
-from tabwright.operators.lookup import LevelTable, level_counts, map_levels
+from tabwright.operators.lookup import LITERAL_LEVELS, LevelTable, level_counts, map_levels
 from tabwright.operators.profile import missing_counts
 from tabwright.operators.stage import StageEstimator, StageModel, StageTransformer, TableModel, param
 
@@ -189,24 +189,24 @@ class OneHotLevels(StageEstimator):
     def _fit(self, df: DataFrame) -> "OneHotLevelsModel":
         cols, bound = self.value("cols"), self.value("maxLevels")
         model = OneHotLevelsModel(cols=cols, suffix=self.value("suffix"))
-        labels: dict[str, list[str]] = {c: [] for c in cols}
+        labels: dict[str, list] = {c: [] for c in cols}
         if cols:
             counts = level_counts(df, cols, keep_null=True).filter(F.col("level").isNotNull())
-            rows = counts.select("column", "level").limit(bound * len(cols) + 1).collect()
-            for r in rows:
-                labels[r["column"]].append(r["level"])
+            for r in counts.limit(bound * len(cols) + 1).collect():
+                labels[r["column"]].append((-r["n"], r["level"]))
             for c, levels in labels.items():
                 if len(levels) > bound:
                     raise ValueError(f"column {c!r} has more than {bound} levels; pool or target-encode it")
-        model._set(labels=[sorted(labels[c]) for c in cols])
-        return model
+        frequent = [[level for _, level in sorted(labels[c])] for c in cols]
+        return model._set(labels=[sorted(levels) for levels in frequent], frequent=frequent)
 
 
 class OneHotLevelsModel(StageModel):
     cols = param("cols", "encoded columns")
     labels = param("labels", "sorted levels per column")
+    frequent = param("frequent", "the same levels, most frequent first")
     suffix = param("suffix", "suffix of the vector columns")
-    DEFAULTS = {"cols": [], "labels": [], "suffix": "_ohe"}
+    DEFAULTS = {"cols": [], "labels": [], "frequent": [], "suffix": "_ohe"}
 
     def output_columns(self) -> list[str]:
         return [c + self.value("suffix") for c in self.value("cols")]
@@ -215,12 +215,24 @@ class OneHotLevelsModel(StageModel):
         cols = self.value("cols")
         if not cols:
             return df
-        index = [f"_idx_{c}" for c in cols]
-        # One spare slot is the place of unknown levels; dropLast removes it.
-        indexed = df
-        for c, out, levels in zip(cols, index, self.value("labels")):
-            indexed = StringIndexerModel.from_labels(
-                levels or ["<none>"], inputCol=c, outputCol=out, handleInvalid="keep"
-            ).transform(indexed)
-        encoder = OneHotEncoder(inputCols=index, outputCols=self.output_columns(), dropLast=True, handleInvalid="error")
+        index, indexed = {}, df
+        for c, labels, frequent in zip(cols, self.value("labels"), self.value("frequent")):
+            name, size = f"_idx_{c}", max(len(labels), 1)
+            if len(labels) > LITERAL_LEVELS:
+                # Many levels: the hash lookup of an indexer.
+                indexed = StringIndexerModel.from_labels(labels, inputCol=c, outputCol=name, handleInvalid="keep").transform(indexed)
+                slot = col(name)
+            else:
+                # Few levels: one literal search, frequent levels first.
+                slot_of = {level: i for i, level in enumerate(labels)}
+                slots = F.lit([float(slot_of[level]) for level in frequent] or [0.0])
+                found = F.array_position(F.lit(frequent or ["<none>"]), col(c)).cast("int")
+                slot = F.coalesce(F.get(slots, found - 1), F.lit(float(size)))
+            # The declared size lets the encoder skip its pass over the data;
+            # the index after the last level is invalid and becomes all zeros.
+            index[name] = slot.alias(name, metadata={"ml_attr": {"type": "nominal", "num_vals": size}})
+        indexed = indexed.select(*[col(c) for c in indexed.columns if c not in index], *index.values())
+        encoder = OneHotEncoder(
+            inputCols=list(index), outputCols=self.output_columns(), dropLast=True, handleInvalid="keep"
+        )
         return encoder.fit(indexed).transform(indexed).drop(*index)

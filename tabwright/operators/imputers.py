@@ -88,7 +88,7 @@ class SanitizerModel(StageModel):
         kept = [c for c in df.columns if c not in self.value("dropped")]
         return df.select(
             *[
-                infinity_to_null(nan_to_null(col(c))).alias(c) if c in self.value("cols") and is_floating(df, c) else col(c)
+                infinity_to_null(col(c)).alias(c) if c in self.value("cols") and is_floating(df, c) else col(c)
                 for c in kept
             ]
         )

@@ -70,7 +70,7 @@ class LevelTable:
         for r in hot:
             self.hot.setdefault(r["column"], []).append(r["level"])
         self.literals = {c: {} for c, size in self.sizes.items() if size <= LITERAL_LEVELS}
-        for r in rows:
+        for r in sorted(rows, key=lambda r: -r["n"]):  # a literal search meets frequent levels first
             if r["column"] in self.literals:
                 self.literals[r["column"]][r["level"]] = r["value"]
 

@@ -73,7 +73,7 @@ def type_counts(df: DataFrame) -> dict[str, int]:
     return out
 
 
-def describe(df: DataFrame, cols=None, single_pass_distinct: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols=None, single_pass_rows: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per column."""
     cols = list(cols or numeric_columns(df))
     stats = df.agg(
@@ -88,7 +88,7 @@ def describe(df: DataFrame, cols=None, single_pass_distinct: int | None = None)
             for i, c in enumerate(cols)
         ]
     ).first()
-    limit = {} if single_pass_distinct is None else {"single_pass_distinct": single_pass_distinct}
+    limit = {} if single_pass_rows is None else {"single_pass_rows": single_pass_rows}
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, **limit)
     rows = [
         (c, s["count"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"])

@@ -1,7 +1,7 @@
 """Exact quantiles of many columns that stay exact at any size.
 
 ``percentile`` keeps one counter per distinct value in a single aggregation
-buffer.  That is fine up to a few million distinct values; above that the ranks
+buffer.  That is fine up to a few million rows; above that the ranks
 wanted are first enclosed in narrow open intervals (a sketch proposes the
 bounds, an exact count accepts or widens them), and only values inside an
 interval are counted one by one.
@@ -15,35 +15,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.nulls import col
 
-SINGLE_PASS_DISTINCT = 2_000_000
+SINGLE_PASS_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 
 
-def percentile_array(c: Column, probs) -> Column:
-    return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
+def percentile_expr(name: str, probs) -> Column:
+    # One SQL text per column: the position list may hold hundreds of literals.
+    positions = ", ".join(f"{float(p)!r}D" for p in probs)
+    return F.expr(f"percentile(cast({quoted(name)} as double), array({positions}))")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def exact_quantiles(
-    df: DataFrame, probs: dict[str, list[float]], single_pass_distinct: int = SINGLE_PASS_DISTINCT
+    df: DataFrame, probs: dict[str, list[float]], single_pass_rows: int = SINGLE_PASS_ROWS
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles; NULLs are ignored."""
     if not probs:
         return {}
     names = list(probs)
-    sizes = df.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)],
-    ).first()
-    small = [c for i, c in enumerate(names) if sizes[f"d{i}"] <= single_pass_distinct]
+    counts = dict(zip(names, df.agg(*[F.count(col(c)) for c in names]).first()))
+    small = [c for c in names if counts[c] <= single_pass_rows]
     result: dict[str, list[float | None]] = {}
     if small:
-        row = df.agg(
-            *[percentile_array(col(c).cast("double"), probs[c]).alias(f"q{i}") for i, c in enumerate(small)]
-        ).first()
+        row = df.agg(*[percentile_expr(c, probs[c]) for c in small]).first()
         result.update({c: list(row[i]) if row[i] is not None else [None] * len(probs[c]) for i, c in enumerate(small)})
-    large = {c: sizes[f"n{i}"] for i, c in enumerate(names) if c not in small}
+    large = {c: counts[c] for c in names if c not in small}
     if large:
-        result.update(_interpolated(df, {c: probs[c] for c in large}, large, single_pass_distinct))
+        result.update(_interpolated(df, {c: probs[c] for c in large}, large, single_pass_rows))
     return {c: result[c] for c in names}
 
 
