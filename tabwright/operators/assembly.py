@@ -16,8 +16,7 @@ class FeatureRouter(StageTransformer):
     oneHot = param("oneHot", "[source column, vector column, levels]")
     scalars = param("scalars", "[column, source column, kind]")
     outputCol = param("outputCol", "vector column")
-    keep = param("keep", "columns kept next to the vector; None keeps all")
-    DEFAULTS = {"oneHot": [], "scalars": [], "outputCol": "features", "keep": None}
+    DEFAULTS = {"oneHot": [], "scalars": [], "outputCol": "features"}
 
     def names(self) -> list[tuple[int, str, str, str]]:
         """(index, feature name, source column, kind) of every slot."""
@@ -30,9 +29,7 @@ class FeatureRouter(StageTransformer):
         numbers = {c: col(c).cast("double") for c, _, _ in self.value("scalars")}
         cast = df.withColumns(numbers) if numbers else df
         out = VectorAssembler(inputCols=inputs, outputCol=self.value("outputCol"), handleInvalid="keep").transform(cast)
-        out = out.drop(*[vector for _, vector, _ in self.value("oneHot")])
-        keep = self.value("keep")
-        return out if keep is None else out.select(*[col(c) for c in out.columns if c in keep], col(self.value("outputCol")))
+        return out.drop(*[vector for _, vector, _ in self.value("oneHot")])
 
 
 def feature_name_table(spark, router: FeatureRouter) -> DataFrame:

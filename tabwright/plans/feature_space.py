@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tabwright.config import TableConfig
 from tabwright.functions.nulls import col
@@ -33,12 +33,11 @@ def fit_feature_space(
     label: str = "label",
     test: DataFrame | None = None,
     reserved=("label", "split", "fold"),
-    keep=None,
 ) -> PipelineModel:
     """Fit every stage in turn.  Each one is a single aggregate job over the
     training rows; no stage brings rows to the driver.  ``reserved`` columns and
-    the row id are never features; ``keep`` names columns left next to the
-    vector (None keeps all)."""
+    the row id are never features.  Select what is needed next to the vector:
+    the optimizer prunes the rest."""
     fitted = []
     out = set(reserved) | {config.row_id, label}
 
@@ -88,7 +87,6 @@ def fit_feature_space(
             for c, vector, levels in zip(categorical, one_hot.output_columns(), one_hot.value("labels"))
         ],
         scalars=[[c, sources.get(c, c), kinds[c]] for c in scalars if c not in cleaner.value("dropped")],
-        keep=None if keep is None else list(keep),
     )
     fitted.append(router)
     return PipelineModel(fitted)
