@@ -96,9 +96,12 @@ def prepare_folds(
     return parts
 
 
-def _in_parallel(jobs, parallelism: int):
-    with ThreadPoolExecutor(max_workers=max(parallelism, 1)) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
+def _in_parallel(spark, jobs, parallelism: int):
+    """Submit Spark jobs from driver threads; local properties are inherited."""
+    if parallelism <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs]))
 
 
 def _score(model, rows: DataFrame, label: str) -> dict:
@@ -137,7 +140,7 @@ def evaluate_models(
 
         return run
 
-    rows = _in_parallel([job(n, k, p) for n, (k, p) in models.items()], parallelism)
+    rows = _in_parallel(spark, [job(n, k, p) for n, (k, p) in models.items()], parallelism)
     predictions = None
     for name in models:
         if name in fitted:
@@ -201,7 +204,7 @@ def tune_models(
             rows.append((name, None, None, None, None, "skipped", "no model or no search space of this name"))
             continue
         jobs += [job(name, i, p) for i, p in enumerate(trial_params(name, n_trials, seed, spaces))]
-    rows += _in_parallel(jobs, parallelism)
+    rows += _in_parallel(spark, jobs, parallelism)
     tuned: dict = {}
     for name, trial, params, rmse, _, status, _ in rows:
         if status == "ok" and (name not in tuned or rmse < tuned[name]["best_cv_rmse"]):

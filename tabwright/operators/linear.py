@@ -40,3 +40,30 @@ def ridge_two_features(df: DataFrame, a: str, b: str, label: str, alpha: float)
 
 def predict_linear(coefficients: dict[str, Column], intercept: Column) -> Column:
     return sum((c * col(name) for name, c in coefficients.items()), intercept)
+
+
+def one_feature_cv(df: DataFrame, features, label: str, fold: str = "fold") -> DataFrame:
+    """CV scores of one least-squares line per feature, all features and folds
+    together: (model, fold, rmse, r2).
+
+    Rows go to long form (feature, fold, x, y); the sums of a fold, taken from
+    the sums of all rows, give the line fitted without that fold."""
+    y = F.col("_y")
+    wide = df.select(col(fold).alias("fold"), col(label).cast("double").alias("_y"), *[col(c).cast("double").alias(c) for c in features])
+    long = wide.unpivot(["fold", "_y"], [f"`{c}`" for c in features], "model", "_x").filter("_x IS NOT NULL AND _y IS NOT NULL")
+    x = F.col("_x")
+    # Moments about a common point, so that differences of sums keep precision.
+    means = long.groupBy("model").agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    dx, dy = x - F.col("mx"), y - F.col("my")
+    centred = long.join(F.broadcast(means), "model").select("model", "fold", "mx", "my", dx.alias("dx"), dy.alias("dy"))
+    sums = {"n": F.count(F.lit(1)), "sx": F.sum("dx"), "sy": F.sum("dy"), "sxx": F.sum(F.col("dx") * F.col("dx")), "sxy": F.sum(F.col("dx") * F.col("dy"))}
+    by_fold = centred.groupBy("model", "fold").agg(*[c.alias(k) for k, c in sums.items()])
+    total = by_fold.groupBy("model").agg(*[F.sum(k).alias(f"t_{k}") for k in sums])
+    # (features x folds) rows from here on.
+    rest = by_fold.join(total, "model").select("model", "fold", *[(F.col(f"t_{k}") - F.col(k)).alias(k) for k in sums])
+    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
+    lines = rest.select("model", "fold", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
+    scored = centred.join(F.broadcast(lines), ["model", "fold"])
+    error = F.col("dy") - F.col("intercept") - F.col("slope") * F.col("dx")
+    mse = F.avg(error * error)
+    return scored.groupBy("model", "fold").agg(F.sqrt(mse).alias("rmse"), (1 - mse / F.var_pop("dy")).alias("r2"))

@@ -89,7 +89,8 @@ def describe(df: DataFrame, cols=None, single_pass_rows: int | None = None) -> D
         ]
     ).first()
     limit = {} if single_pass_rows is None else {"single_pass_rows": single_pass_rows}
-    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, **limit)
+    counts = {c: stats[f"s{i}"]["count"] for i, c in enumerate(cols)}
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts=counts, **limit)
     rows = [
         (c, s["count"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"])
         for c, s in ((c, stats[f"s{i}"]) for i, c in enumerate(cols))

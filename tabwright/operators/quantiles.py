@@ -30,13 +30,14 @@ def quoted(name: str) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, probs: dict[str, list[float]], single_pass_rows: int = SINGLE_PASS_ROWS
+    df: DataFrame, probs: dict[str, list[float]], single_pass_rows: int = SINGLE_PASS_ROWS, counts: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles; NULLs are ignored."""
+    """Linearly interpolated quantiles; NULLs are ignored.  ``counts`` are the
+    non-NULL counts of the columns, where they are known already."""
     if not probs:
         return {}
     names = list(probs)
-    counts = dict(zip(names, df.agg(*[F.count(col(c)) for c in names]).first()))
+    counts = counts or dict(zip(names, df.agg(*[F.count(col(c)) for c in names]).first()))
     small = [c for c in names if counts[c] <= single_pass_rows]
     result: dict[str, list[float | None]] = {}
     if small:

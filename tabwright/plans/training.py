@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tabwright import config as defaults
 from tabwright.config import TableConfig
@@ -14,7 +14,7 @@ from tabwright.functions.nulls import col
 from tabwright.operators.evaluate import evaluate_models, fit_part, make_part, prepare_folds, tune_models
 from tabwright.operators.explain import Explainer
 from tabwright.operators.metrics import predictions_report, regression_metrics
-from tabwright.operators.models import TREE_KINDS, base_models
+from tabwright.operators.models import base_models
 from tabwright.operators.profile import target_summary
 from tabwright.operators.projection import separate_target
 from tabwright.operators.ranking import final_ranking, rank_models, top_models
@@ -142,8 +142,9 @@ def train_model(
     model = fit_part(kind, params, final, LABEL, seed)
     predicted = model.transform(final.valid)
     metrics = regression_metrics(predicted, LABEL).first().asDict()
-    log.child("final").params(model=name, **params)
-    log.child("final").metrics(**metrics)
+    final_log = log.child("final")
+    final_log.params(model=name, **params)
+    final_log.metrics(**metrics)
     if results is not None:
         ranking = final_ranking(results.filter("status = 'ok'"), name, metrics["rmse"], metrics["r2"]) if tuned else ranked
     trained = TrainedModel(
@@ -165,6 +166,3 @@ def train_model(
         )
         final.release()
     return trained
-
-
-__all__ = ["TREE_KINDS", "TrainedModel", "SavedModel", "load_model", "prepare", "train_model", "F"]

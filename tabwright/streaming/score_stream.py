@@ -7,7 +7,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tabwright import config
 from tabwright.operators.scoring import score
 from tabwright.sources.readers import explode_batches, request_schema
 from tabwright.session import scratch_path
@@ -40,6 +39,3 @@ def write_scores(scored: DataFrame, path: str, checkpoint: str | None = None, av
         .outputMode("append")
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-__all__ = ["read_request_stream", "read_batch_request_stream", "score_stream", "write_scores", "config"]
