@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabwright import config
 from tabwright.functions.hashing import seeded_hash
@@ -27,7 +27,7 @@ LEAVES_PER_STEP = 256
 def node_table(model) -> DataFrame:
     """Nodes of a fitted ensemble as a table: (tree, weight, id, prediction,
     cover, left, right, feature, threshold or left categories)."""
-    spark = _active()
+    spark = SparkSession.active()
     path = scratch_path(spark, "ensemble")
     model.write().overwrite().save(path)
     weights = list(model.treeWeights)
@@ -48,12 +48,6 @@ def node_table(model) -> DataFrame:
     )
 
 
-def _active():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active()
-
-
 def leaf_table(nodes: DataFrame) -> DataFrame:
     """One row per leaf: its weighted value and, per distinct feature on the way
     to it, the interval that leads there and the share of rows that take it.
@@ -84,7 +78,7 @@ def leaf_table(nodes: DataFrame) -> DataFrame:
         for child, bounds in ((node["left"], (low, min(high, t))), (node["right"], (max(low, t), high))):
             part = rows[tree, child]["cover"] / node["cover"] if node["cover"] else 0.0
             stack.append(((tree, child), {**path, f: (*bounds, z * part)}, share * part))
-    return _active().createDataFrame(
+    return nodes.sparkSession.createDataFrame(
         leaves,
         "tree int, value double, share double, features array<int>, low array<double>, high array<double>, cover array<double>",
     )
@@ -145,7 +139,7 @@ def shapley_of_batch(x: np.ndarray, leaves: dict) -> np.ndarray:
     return out
 
 
-def tree_shap(df: DataFrame, leaves: DataFrame, width: int, features: str = "features", out: str = "shap") -> DataFrame:
+def tree_shap(df: DataFrame, leaves: DataFrame, features: str = "features", out: str = "shap") -> DataFrame:
     """Add ``out``: array of one contribution per feature.  The leaf arrays are
     broadcast; rows are explained in Arrow batches where they are."""
     arrays = df.sparkSession.sparkContext.broadcast(_padded(leaves))
@@ -204,7 +198,7 @@ class Explainer:
     def explain(self, df: DataFrame, features: str = "features", out: str = "shap") -> DataFrame:
         if self.kind == "linear":
             return linear_shap(df, self.coefficients, self.means, features, out)
-        return tree_shap(df, self.leaves, self.names.count(), features, out)
+        return tree_shap(df, self.leaves, features, out)
 
     def save(self, path: str) -> None:
         spark = self.names.sparkSession
@@ -256,7 +250,7 @@ def top_contributions(shap, names, sources, originals, values, k: int = config.T
     )
 
 
-def original_values(df: DataFrame, columns) -> "F.Column":
+def original_values(df: DataFrame, columns) -> Column:
     """Map of column name to the value before any transformation, as text."""
     return F.map_from_arrays(
         F.lit(list(columns)) if columns else F.array().cast("array<string>"),

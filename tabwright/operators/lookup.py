@@ -1,7 +1,7 @@
 """Level tables: counts per level, and lookup of a fitted value by level.
 
 A table is applied by its checked size: literals up to ``LITERAL_LEVELS``, a
-broadcast join up to ``BROADCAST_LEVELS`` and a salted shuffle join above.
+broadcast join up to ``BROADCAST_BYTES`` and a salted shuffle join above.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from tabwright.functions.nulls import col, text_or_nan
 from tabwright.session import materialize
 
 LITERAL_LEVELS = 256
-BROADCAST_LEVELS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64  # a row without its text: value, hash entry and pointers
 HOT_SHARE = 0.005  # at most 200 levels can hold this share
 SALTS = 64
 
@@ -39,6 +40,7 @@ class LevelTable:
         self.frame = frame
         self.literals: dict[str, dict[str, float]] = {}
         self.sizes: dict[str, int] = {}
+        self.bytes: dict[str, int] = {}
         self.hot: dict[str, list[str]] = {}
         self._split(frame)
 
@@ -56,10 +58,16 @@ class LevelTable:
             for r in rows:
                 grouped[r["column"]].append(r)
             self.sizes = {c: len(v) for c, v in grouped.items()}
+            self.bytes = {c: sum(ROW_BYTES + 2 * len(r["level"]) for r in v) for c, v in grouped.items()}
             totals = {c: sum(r["n"] for r in v) for c, v in grouped.items()}
             hot = [r for v in grouped.values() for r in v if r["n"] >= HOT_SHARE * totals[r["column"]]]
         else:
-            stats = self.frame.groupBy("column").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).collect()
+            stats = self.frame.groupBy("column").agg(
+                F.count(F.lit(1)).alias("size"),
+                F.sum("n").alias("total"),
+                F.sum(F.octet_length("level") + ROW_BYTES).alias("bytes"),
+            ).collect()
+            self.bytes = {c: 0 for c in self.columns} | {r["column"]: r["bytes"] for r in stats}
             self.sizes = {c: 0 for c in self.columns} | {r["column"]: r["size"] for r in stats}
             is_hot = F.lit(False)
             for r in stats:
@@ -88,7 +96,7 @@ class LevelTable:
         """Left join of the level table of ``column``; the miss is NULL."""
         table = self.levels_of(column).select(F.col("level").alias("_level"), F.col("value").alias(out))
         key = text_or_nan(col(column))
-        if self.sizes[column] <= BROADCAST_LEVELS:
+        if self.bytes[column] <= BROADCAST_BYTES:
             return df.join(F.broadcast(table), key == F.col("_level"), "left").drop("_level")
         # Rows of hot levels spread over SALTS tasks; only those levels are copied.
         hot = self.hot.get(column, [])

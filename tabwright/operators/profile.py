@@ -73,7 +73,7 @@ def type_counts(df: DataFrame) -> dict[str, int]:
     return out
 
 
-def describe(df: DataFrame, cols=None, single_pass_rows: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols=None, single_pass_cells: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per column."""
     cols = list(cols or numeric_columns(df))
     stats = df.agg(
@@ -88,7 +88,7 @@ def describe(df: DataFrame, cols=None, single_pass_rows: int | None = None) -> D
             for i, c in enumerate(cols)
         ]
     ).first()
-    limit = {} if single_pass_rows is None else {"single_pass_rows": single_pass_rows}
+    limit = {} if single_pass_cells is None else {"single_pass_cells": single_pass_cells}
     counts = {c: stats[f"s{i}"]["count"] for i, c in enumerate(cols)}
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts=counts, **limit)
     rows = [

@@ -1,7 +1,7 @@
 """Exact quantiles of many columns that stay exact at any size.
 
 ``percentile`` keeps one counter per distinct value in a single aggregation
-buffer.  That is fine up to a few million rows; above that the ranks
+buffer.  That is fine for some million values; above that the ranks
 wanted are first enclosed in narrow open intervals (a sketch proposes the
 bounds, an exact count accepts or widens them), and only values inside an
 interval are counted one by one.
@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.nulls import col
 
-SINGLE_PASS_ROWS = 2_000_000
+SINGLE_PASS_CELLS = 4_000_000  # values of all columns together
 SKETCH_ACCURACY = 10_000
 
 
 def percentile_expr(name: str, probs) -> Column:
     # One SQL text per column: the position list may hold hundreds of literals.
-    positions = ", ".join(f"{float(p)!r}D" for p in probs)
-    return F.expr(f"percentile(cast({quoted(name)} as double), array({positions}))")
+    return F.expr(f"percentile(cast({quoted(name)} as double), array({positions(probs)}))")
+
+
+def positions(probs) -> str:
+    return ", ".join(f"{float(p)!r}D" for p in probs)
 
 
 def quoted(name: str) -> str:
@@ -30,7 +33,7 @@ def quoted(name: str) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, probs: dict[str, list[float]], single_pass_rows: int = SINGLE_PASS_ROWS, counts: dict[str, int] | None = None
+    df: DataFrame, probs: dict[str, list[float]], single_pass_cells: int = SINGLE_PASS_CELLS, counts: dict[str, int] | None = None
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles; NULLs are ignored.  ``counts`` are the
     non-NULL counts of the columns, where they are known already."""
@@ -38,101 +41,103 @@ def exact_quantiles(
         return {}
     names = list(probs)
     counts = counts or dict(zip(names, df.agg(*[F.count(col(c)) for c in names]).first()))
-    small = [c for c in names if counts[c] <= single_pass_rows]
+    small, cells = [], 0
+    for c in sorted(names, key=lambda c: counts[c]):
+        cells += counts[c]
+        if cells <= single_pass_cells:
+            small.append(c)
     result: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(*[percentile_expr(c, probs[c]) for c in small]).first()
         result.update({c: list(row[i]) if row[i] is not None else [None] * len(probs[c]) for i, c in enumerate(small)})
     large = {c: counts[c] for c in names if c not in small}
     if large:
-        result.update(_interpolated(df, {c: probs[c] for c in large}, large, single_pass_rows))
+        result.update(_interpolated(df, {c: probs[c] for c in large}, large, single_pass_cells // len(large)))
     return {c: result[c] for c in names}
 
 
 def _interpolated(df, probs, counts, limit):
-    positions = {c: [p * (counts[c] - 1) for p in ps] for c, ps in probs.items()}
-    ranks = {(c, r) for c, ps in positions.items() for x in ps for r in (math.floor(x), math.ceil(x))}
-    values = _values_at(df, ranks, counts, limit)
-    out = {}
-    for c, ps in positions.items():
-        out[c] = []
-        for x in ps:
-            low, high = values[c, math.floor(x)], values[c, math.ceil(x)]
-            out[c].append(low + (high - low) * (x - math.floor(x)))
+    at = {(c, i): p * (counts[c] - 1) for c, ps in probs.items() for i, p in enumerate(ps)}
+    values = _values_at(df, {key: {math.floor(x), math.ceil(x)} for key, x in at.items()}, counts, limit)
+    out: dict = {c: [] for c in probs}
+    for key, x in at.items():
+        low, high = values[key][math.floor(x)], values[key][math.ceil(x)]
+        out[key[0]].append(low + (high - low) * (x - math.floor(x)))
     return out
 
 
 def _values_at(df, ranks, counts, limit):
-    """{(column, rank): value}; every loop narrows all open intervals at once."""
-    found: dict = {}
-    open_: dict = {
-        key: dict(low=None, high=None, below=0, inside=counts[key[0]], margin=2.0 / SKETCH_ACCURACY, distinct=None)
-        for key in ranks
+    """{key: {rank: value}} for keys (column, ...); a loop narrows the open
+    intervals of all keys at once.  An interval shrinks to the rank error of
+    the sketch each time; its end points are counted apart, so a value that
+    holds a large share of the rows is found or excluded at once."""
+    found: dict = {key: {} for key in ranks}
+    open_ = {
+        key: dict(wanted=set(r), low=None, high=None, below=0, inside=counts[key[0]], margin=2.0 / SKETCH_ACCURACY)
+        for key, r in ranks.items()
     }
 
+    def number(key):
+        return col(key[0]).cast("double")
+
     def inside(key):
-        s, v = open_[key], col(key[0]).cast("double")
+        s, v = open_[key], number(key)
         test = v.isNotNull()
         test = test if s["low"] is None else test & (v > s["low"])
         return test if s["high"] is None else test & (v < s["high"])
 
-    def too_wide():
-        return [k for k, s in open_.items() if s["distinct"] is None or s["distinct"] > limit]
-
-    while keys := too_wide():
-        proposals = []
-        for i, key in enumerate(keys):
-            s = open_[key]
-            centre = (key[1] - s["below"] + 0.5) / s["inside"]
-            pair = [max(centre - s["margin"], 0.0), min(centre + s["margin"], 1.0)]
-            v = F.when(inside(key), col(key[0]).cast("double"))
-            proposals.append(F.percentile_approx(v, pair, SKETCH_ACCURACY).alias(f"p{i}"))
-        bounds = df.agg(*proposals).first()
+    while keys := [k for k, s in open_.items() if s["inside"] > limit]:
+        # Keys with the same interval share one sketch.
+        groups: dict = {}
+        for key in keys:
+            groups.setdefault((key[0], open_[key]["low"], open_[key]["high"]), []).append(key)
+        sketches = []
+        for members in groups.values():
+            shares = []
+            for key in members:
+                s = open_[key]
+                shares.append(max((min(s["wanted"]) - s["below"]) / s["inside"] - s["margin"], 0.0))
+                shares.append(min((max(s["wanted"]) + 1 - s["below"]) / s["inside"] + s["margin"], 1.0))
+            v = F.when(inside(members[0]), number(members[0]))
+            sketches.append(F.percentile_approx(v, shares, SKETCH_ACCURACY))
+        row = df.agg(*sketches).first()
+        bounds = {key: row[g][2 * i : 2 * i + 2] for g, members in enumerate(groups.values()) for i, key in enumerate(members)}
         checks = []
+        for key in keys:
+            v, (low, high) = number(key), bounds[key]
+            checks += [F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if(v == high)]
+        exact = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(checks)]).first()
         for i, key in enumerate(keys):
-            low, high = bounds[i]
-            v = col(key[0]).cast("double")
-            between = (v > low) & (v < high)
-            checks += [
-                F.count_if(v < low).alias(f"b{i}"),
-                F.count_if(v == low).alias(f"l{i}"),
-                F.count_if(between).alias(f"m{i}"),
-                F.count_if(v == high).alias(f"h{i}"),
-                F.approx_count_distinct(F.when(between, v)).alias(f"d{i}"),
-            ]
-        exact = df.agg(*checks).first()
-        for i, key in enumerate(keys):
-            (low, high), rank, s = bounds[i], key[1], open_[key]
-            start = exact[f"b{i}"]
-            after_low = start + exact[f"l{i}"]
-            after_middle = after_low + exact[f"m{i}"]
-            if start <= rank < after_low:
-                found[key] = low
-            elif after_low <= rank < after_middle:
-                s.update(low=low, high=high, below=after_low, inside=exact[f"m{i}"], distinct=exact[f"d{i}"])
-            elif after_middle <= rank < after_middle + exact[f"h{i}"] and high != low:
-                found[key] = high
-            else:
+            s, (low, high) = open_[key], bounds[key]
+            below, at_low, between, at_high = exact[4 * i : 4 * i + 4]
+            middle = below + at_low
+            top = middle + between + (at_high if high != low else 0)
+            if not all(below <= r < top for r in s["wanted"]):
                 s["margin"] *= 4  # the sketch missed: widen and look again
-        open_ = {k: s for k, s in open_.items() if k not in found}
+                continue
+            for r in list(s["wanted"]):
+                if r < middle or r >= middle + between:
+                    found[key][r] = low if r < middle else high
+                    s["wanted"].discard(r)
+            s.update(low=low, high=high, below=middle, inside=between)
+        open_ = {k: s for k, s in open_.items() if s["wanted"]}
 
     if open_:
-        keys = list(open_)
-        row = df.agg(
-            *[
-                F.percentile(
-                    F.when(inside(k), col(k[0]).cast("double")),
-                    F.lit((k[1] - open_[k]["below"]) / max(open_[k]["inside"] - 1, 1)),
-                ).alias(f"v{i}")
-                for i, k in enumerate(keys)
-            ]
-        ).first()
-        found.update({k: row[i] for i, k in enumerate(keys)})
+        exprs = []
+        for key, s in open_.items():
+            shares = [(r - s["below"]) / max(s["inside"] - 1, 1) for r in sorted(s["wanted"])]
+            exprs.append(F.percentile(F.when(inside(key), number(key)), F.array(*[F.lit(x) for x in shares])))
+        row = df.agg(*exprs).first()
+        for (key, s), values in zip(open_.items(), row):
+            found[key].update(zip(sorted(s["wanted"]), values))
     return found
 
 
 def approx_quantiles(df: DataFrame, probs: dict[str, list[float]], accuracy: int = SKETCH_ACCURACY):
     row = df.agg(
-        *[F.percentile_approx(col(c).cast("double"), ps, accuracy).alias(f"q{i}") for i, (c, ps) in enumerate(probs.items())]
+        *[
+            F.expr(f"percentile_approx(cast({quoted(c)} as double), array({positions(ps)}), {accuracy})").alias(f"q{i}")
+            for i, (c, ps) in enumerate(probs.items())
+        ]
     ).first()
     return {c: list(row[i]) if row[i] is not None else [None] * len(ps) for i, (c, ps) in enumerate(probs.items())}

@@ -31,7 +31,10 @@ class QuantileNormal(StageEstimator):
         rows = df.count()
         n = max(2, min(self.value("nQuantiles"), rows))
         probs = {c: [i / (n - 1) for i in range(n)] for c in cols}
-        knots = exact_quantiles(df, probs) if rows <= self.value("exactRows") else approx_quantiles(df, probs)
+        if rows <= self.value("exactRows"):
+            knots = exact_quantiles(df, probs, single_pass_cells=rows * len(cols))
+        else:
+            knots = approx_quantiles(df, probs)
         return QuantileNormalModel(cols=cols, knots=[knots[c] for c in cols])
 
 

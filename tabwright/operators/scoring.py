@@ -79,9 +79,11 @@ def score_explain(
     )
 
 
-def batch_response(scored: DataFrame, order: Column | str, by=()) -> DataFrame:
-    """One struct per batch: successful predictions in input order and the
-    number of records looked at.  For requests; a large job writes rows."""
+def batch_response(scored: DataFrame, order: Column | str, by) -> DataFrame:
+    """One row per request body: its successful predictions in input order and
+    the number of records looked at.  ``by`` identifies the body, so a group is
+    never larger than the single input row it was exploded from.  A job that
+    scores a table writes rows and does not need this."""
     result = F.struct(F.col("predicted_price"), F.col("confidence"), F.col("model_name"))
     key = F.col(order) if isinstance(order, str) else order
     rows = F.collect_list(F.when(F.col("error").isNull(), F.struct(key.alias("k"), result.alias("r"))))

@@ -41,7 +41,7 @@ from tabwright.plans.views import (
     split_sql,
     table,
 )
-from tabwright.session import scratch_path
+from tabwright.session import materialize, scratch_path, spread
 from tabwright.sources.sinks import ResultCache, RunLog, model_card
 from tabwright.streaming.score_stream import read_request_stream, write_scores
 
@@ -253,14 +253,15 @@ SALES_TABLE = TableConfig(
 
 @query("feature_names")
 def feature_names_query(spark, sf_dir):
-    s = sales(spark, sf_dir).withColumnRenamed("SalePrice", "label")
+    # Written once: every stage reads its columns instead of the joins.
+    s = materialize(spread(sales(spark, sf_dir).withColumnRenamed("SalePrice", "label"), "Id"), "sales")
     return feature_names(fit_feature_space(s, SALES_TABLE))
 
 
 @query("feature_vectors")
 def feature_vectors(spark, sf_dir):
     """The whole feature pipeline, fitted on the training rows, on all rows."""
-    s = hash_split(sales(spark, sf_dir).withColumnRenamed("SalePrice", "label"), "Id")
+    s = materialize(hash_split(spread(sales(spark, sf_dir), "Id").withColumnRenamed("SalePrice", "label"), "Id"), "sales")
     model = fit_feature_space(s.filter("split = 'train'").drop("split"), SALES_TABLE)
     out = model.transform(s).select("Id", "split", vector_to_array("features").alias("v"))
     return out.select("Id", "split", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
@@ -633,7 +634,7 @@ def _additivity(spark, sf_dir, kind, params):
     model, _ = _tree_model(spark, sf_dir, kind, params)
     leaves = explain.leaf_table(explain.node_table(model))
     scored = model.transform(_vectors(parts(spark, sf_dir)))
-    shap = explain.tree_shap(scored, leaves, 2)
+    shap = explain.tree_shap(scored, leaves)
     total = F.aggregate("shap", F.lit(explain.base_value(leaves)), lambda a, b: a + b)
     return shap.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - F.col("prediction")) > 1e-6).alias("violations"))
 
