@@ -39,6 +39,7 @@ class LevelTable:
         self.columns = list(columns)
         self.frame = frame
         self.literals: dict[str, dict[str, float]] = {}
+        self.counts: dict[str, dict[str, int]] = {}
         self.sizes: dict[str, int] = {}
         self.bytes: dict[str, int] = {}
         self.hot: dict[str, list[str]] = {}
@@ -78,9 +79,11 @@ class LevelTable:
         for r in hot:
             self.hot.setdefault(r["column"], []).append(r["level"])
         self.literals = {c: {} for c, size in self.sizes.items() if size <= LITERAL_LEVELS}
+        self.counts = {c: {} for c in self.literals}
         for r in sorted(rows, key=lambda r: -r["n"]):  # a literal search meets frequent levels first
             if r["column"] in self.literals:
                 self.literals[r["column"]][r["level"]] = r["value"]
+                self.counts[r["column"]][r["level"]] = r["n"]
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, columns) -> "LevelTable":

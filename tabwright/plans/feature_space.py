@@ -6,13 +6,24 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from tabwright.config import TableConfig
-from tabwright.functions.nulls import col
+from tabwright.functions.nulls import col, nan_columns_to_null, numeric_columns, string_columns
 from tabwright.operators.assembly import FeatureRouter, feature_name_table
 from tabwright.operators.domain import DomainFeatures, DomainFeaturesModel
-from tabwright.operators.encoders import MissingFlags, OneHotLevels, OrdinalMapper, RarePooler, TargetEncoder
-from tabwright.operators.imputers import MedianImputer, ModeImputer, Sanitizer
-from tabwright.operators.projection import feature_columns, route_features
-from tabwright.operators.scaling import QuantileNormal
+from tabwright.operators.encoders import (
+    MissingFlagsModel,
+    OneHotLevels,
+    OneHotLevelsModel,
+    OrdinalMapper,
+    RarePooler,
+    RarePoolerModel,
+    TargetEncoder,
+)
+from tabwright.operators.imputers import ImputerModel, SanitizerModel
+from tabwright.operators.lookup import most_frequent
+from tabwright.operators.profile import missing_counts
+from tabwright.operators.projection import feature_columns
+from tabwright.operators.quantiles import approx_quantiles, exact_quantiles
+from tabwright.operators.scaling import QuantileNormalModel
 from tabwright.operators.stage import StageTransformer, param
 
 
@@ -34,62 +45,106 @@ def fit_feature_space(
     test: DataFrame | None = None,
     reserved=("label", "split", "fold"),
 ) -> PipelineModel:
-    """Fit every stage in turn.  Each one is a single aggregate job over the
-    training rows; no stage brings rows to the driver.  ``reserved`` columns and
-    the row id are never features.  Select what is needed next to the vector:
-    the optimizer prunes the rest."""
-    fitted = []
+    """Fit the whole feature pipeline.  ``reserved`` columns and the row id are
+    never features.  Select what is needed next to the vector: the optimizer
+    prunes the rest.
+
+    Each question is asked once: the gaps of all columns answer routing, flags
+    and empty columns; the level counts answer pooling and one-hot slots; the
+    medians and the knots of the quantile scale come from one job."""
     out = set(reserved) | {config.row_id, label}
+    stages: list = []
 
-    def add(stage, df):
-        model = stage.fit(df) if hasattr(stage, "fit") else stage
-        fitted.append(model)
-        return model, model.transform(df)
+    def add(model, df):
+        stages.append(model)
+        return model.transform(df)
 
     df = train
     if config.domain_features:
-        _, df = add(DomainFeatures(aliases=config.aliases, scope=config.quantile_scope), df)
-    _, df = add(AsCategory(cols=config.as_category), df)
-    test_view = None
-    if test is not None:
-        test_view = test
-        for stage in fitted:
-            test_view = stage.transform(test_view)
+        df = add(DomainFeatures(aliases=config.aliases, scope=config.quantile_scope).fit(df), df)
+    df = add(AsCategory(cols=config.as_category), df)
     cols = feature_columns(df, out)
-    routes = route_features(df, cols, config.ordinal_levels, test_view)
-    categorical, ordinal = routes["categorical"], routes["ordinal"]
-    complete, gaps = routes["numeric_complete"], routes["numeric_missing"]
-
-    _, df = add(OrdinalMapper(mapping={c: config.ordinal_levels[c] for c in ordinal}), df)
-    flags, df = add(MissingFlags(exclude=sorted(out)), df)
-    _, df = add(RarePooler(cols=categorical, minCount=config.rare_min_count, minShare=config.rare_min_share), df)
-    encoder, df = add(
-        TargetEncoder(cols=[c for c in config.target_encoded if c in categorical], labelCol=label, alpha=config.smoothing), df
-    )
-    _, df = add(ModeImputer(cols=ordinal), df)
-    _, df = add(MedianImputer(cols=complete + gaps), df)
-    _, df = add(
-        QuantileNormal(cols=complete, nQuantiles=config.n_quantiles, exactRows=config.quantile_exact_rows), df
-    )
-    passed = encoder.output_columns() + flags.output_columns()
-    scalars = ordinal + complete + gaps + passed
-    cleaner, df = add(Sanitizer(cols=scalars), df)
-    one_hot, df = add(OneHotLevels(cols=categorical), df)
+    ordinal = [c for c in config.ordinal_levels if c in cols]
+    categorical = string_columns(df, out | set(ordinal))
+    df = add(OrdinalMapper(mapping={c: config.ordinal_levels[c] for c in ordinal}), df)
+
+    numbers = [c for c in numeric_columns(df) if c in cols]
+    rows, gaps = missing_counts(df, numbers)
+    present = {c: rows - n for c, n in gaps.items()}
+    gaps_to_route = gaps
+    if test is not None and numbers:
+        test_gaps = missing_counts(PipelineModel(list(stages)).transform(test), numbers)[1]
+        gaps_to_route = {c: gaps[c] + test_gaps[c] for c in numbers}
+    numeric = [c for c in numbers if c not in ordinal]
+    complete = [c for c in numeric if not gaps_to_route[c]]
+    partial = [c for c in numeric if gaps_to_route[c]]
+
+    flags = MissingFlagsModel(cols=[c for c in numbers if gaps[c]])
+    pooler = RarePooler(cols=categorical, minCount=config.rare_min_count, minShare=config.rare_min_share).fit(df)
+    pooled = pooler.transform(df)
+    encoder = TargetEncoder(
+        cols=[c for c in config.target_encoded if c in categorical], labelCol=label, alpha=config.smoothing
+    ).fit(pooled)
+    medians, knots = _numeric_quantiles(df, complete, partial, rows, present, config)
+    fills = {**_modes(df, ordinal), **{c: v for c, v in medians.items() if v is not None}}
+
+    stages += [flags, pooler, encoder, ImputerModel(fills=fills, numeric=list(medians))]
+    stages.append(QuantileNormalModel(cols=complete, knots=[knots[c] for c in complete]))
+    scalars = ordinal + complete + partial + encoder.output_columns() + flags.output_columns()
+    empty = [c for c in numbers if present[c] == 0]
+    stages.append(SanitizerModel(dropped=empty, cols=scalars))
+    one_hot = one_hot_from_pool(pooler, rows) or OneHotLevels(cols=categorical).fit(pooled)
+    stages.append(one_hot)
 
     kinds = {c: "ordinal" for c in ordinal}
-    kinds |= {c: "numeric_complete" for c in complete} | {c: "numeric_missing" for c in gaps}
+    kinds |= {c: "numeric_complete" for c in complete} | {c: "numeric_missing" for c in partial}
     kinds |= {c: "target_mean" for c in encoder.output_columns()} | {c: "missing_flag" for c in flags.output_columns()}
     sources = dict(zip(encoder.output_columns(), encoder.value("cols")))
     sources |= dict(zip(flags.output_columns(), flags.value("cols")))
-    router = FeatureRouter(
-        oneHot=[
-            [c, vector, levels]
-            for c, vector, levels in zip(categorical, one_hot.output_columns(), one_hot.value("labels"))
-        ],
-        scalars=[[c, sources.get(c, c), kinds[c]] for c in scalars if c not in cleaner.value("dropped")],
+    stages.append(
+        FeatureRouter(
+            oneHot=[
+                [c, vector, levels]
+                for c, vector, levels in zip(categorical, one_hot.output_columns(), one_hot.value("labels"))
+            ],
+            scalars=[[c, sources.get(c, c), kinds[c]] for c in scalars if c not in empty],
+        )
     )
-    fitted.append(router)
-    return PipelineModel(fitted)
+    return PipelineModel(stages)
+
+
+def _modes(df: DataFrame, ordinal) -> dict:
+    return {c: v for c, v in most_frequent(df, ordinal).items() if v is not None}
+
+
+def _numeric_quantiles(df, complete, partial, rows, present, config):
+    """Medians of all numeric columns, and the quantile knots of complete ones."""
+    n = max(2, min(config.n_quantiles, rows))
+    grid = [i / (n - 1) for i in range(n)]
+    clean = nan_columns_to_null(df.select(*[col(c) for c in complete + partial]))
+    exact = rows <= config.quantile_exact_rows
+    probs = {c: [0.5, *grid] if exact else [0.5] for c in complete} | {c: [0.5] for c in partial}
+    limit = {"single_pass_cells": max(rows * len(probs), 1)} if exact else {}
+    found = exact_quantiles(clean, probs, counts={c: present[c] for c in probs}, **limit)
+    medians = {c: v[0] for c, v in found.items()}
+    if exact:
+        return medians, {c: found[c][1:] for c in complete}
+    return medians, approx_quantiles(clean, {c: grid for c in complete}) if complete else {}
+
+
+def one_hot_from_pool(pooler: RarePoolerModel, rows: int) -> OneHotLevelsModel | None:
+    """The levels after pooling are the kept ones and, where rows are left, the
+    pooled one: no further pass.  None when a level table is too long."""
+    table, other, frequent = pooler.levels, pooler.value("other"), []
+    for c in pooler.value("cols"):
+        if c not in table.literals:
+            return None
+        counts = dict(table.counts[c])
+        rest = rows - sum(counts.values())
+        if rest:
+            counts[other] = counts.get(other, 0) + rest
+        frequent.append([level for level, _ in sorted(counts.items(), key=lambda e: (-e[1], e[0]))])
+    return OneHotLevelsModel(cols=pooler.value("cols"), labels=[sorted(f) for f in frequent], frequent=frequent)
 
 
 def router_of(model: PipelineModel) -> FeatureRouter:
