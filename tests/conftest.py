@@ -29,4 +29,8 @@ def spark(tmp_path_factory):
 def sales(spark):
     from fixtures import synthetic_sales
 
-    return synthetic_sales(spark, 600).cache()
+    columns = (
+        "Id SalePrice Neighborhood BldgType MSZoning MSSubClass ExterQual KitchenQual BsmtQual OverallQual GrLivArea LotArea "
+        "LotFrontage GarageYrBlt MasVnrArea TotalBsmtSF 1stFlrSF 2ndFlrSF FullBath HalfBath YearBuilt YearRemodAdd YrSold MoSold"
+    ).split()
+    return synthetic_sales(spark, 600).select(*columns).cache()
