@@ -12,7 +12,7 @@ from tabwright.operators.lookup import LITERAL_LEVELS, LevelTable, level_counts,
 from tabwright.operators.profile import missing_counts
 from tabwright.operators.stage import StageEstimator, StageModel, StageTransformer, TableModel, param
 
-MAX_ONE_HOT_LEVELS = 100_000
+MAX_ONE_HOT_LEVELS = 10_000
 
 
 class OrdinalMapper(StageTransformer):

@@ -301,15 +301,16 @@ def waterfall(df: DataFrame, row_id: str, base, prediction: str = "prediction")
 
 
 def impact_table(df: DataFrame, row_id: str) -> DataFrame:
-    """Feature, Impact, Direction, Value per row, smallest impact first."""
-    long = explode_explanations(df, row_id)
+    """Feature, Impact, Direction, Value per row, smallest impact first.  The
+    order is made inside the row, so nothing is shuffled."""
+    long = df.select(col(row_id), F.inline(F.reverse("explanations")))
     return long.select(
         col(row_id),
         F.col("feature_name").alias("Feature"),
         F.abs("shap_value").alias("Impact"),
         F.initcap("contribution_type").alias("Direction"),
         F.coalesce("original_value", F.lit("N/A")).alias("Value"),
-    ).orderBy(col(row_id), "Impact", "Feature")
+    )
 
 
 def feature_importance(model, names: DataFrame, top: int | None = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.nulls import col
 
@@ -58,9 +58,9 @@ def one_feature_cv(df: DataFrame, features, label: str, fold: str = "fold") -> D
     centred = long.join(F.broadcast(means), "model").select("model", "fold", "mx", "my", dx.alias("dx"), dy.alias("dy"))
     sums = {"n": F.count(F.lit(1)), "sx": F.sum("dx"), "sy": F.sum("dy"), "sxx": F.sum(F.col("dx") * F.col("dx")), "sxy": F.sum(F.col("dx") * F.col("dy"))}
     by_fold = centred.groupBy("model", "fold").agg(*[c.alias(k) for k, c in sums.items()])
-    total = by_fold.groupBy("model").agg(*[F.sum(k).alias(f"t_{k}") for k in sums])
-    # (features x folds) rows from here on.
-    rest = by_fold.join(total, "model").select("model", "fold", *[(F.col(f"t_{k}") - F.col(k)).alias(k) for k in sums])
+    # (features x folds) rows from here on: all folds minus this one.
+    all_folds = Window.partitionBy("model")
+    rest = by_fold.select("model", "fold", *[(F.sum(k).over(all_folds) - F.col(k)).alias(k) for k in sums])
     slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
     lines = rest.select("model", "fold", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
     scored = centred.join(F.broadcast(lines), ["model", "fold"])

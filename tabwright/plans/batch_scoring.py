@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tabwright import config
 from tabwright.functions.nulls import col
@@ -38,10 +38,11 @@ def score_frame(
 
 def score_csv(spark: SparkSession, source: str, target: str | None, model: SavedModel, max_rows: int | None = None) -> ScoredBatch:
     records = read_batch_csv(spark, source)
-    # The id only orders the result; it grows within and across partitions.
-    batch = score_frame(records.withColumn("_position", F.monotonically_increasing_id()), model, max_rows, keep=["_position"])
+    # Scoring is row-wise: rows stay in their partition and in file order, so
+    # the result files follow the input without a sort.
+    batch = score_frame(records, model, max_rows)
     if target is not None:
-        write_csv(batch.successful.orderBy("_position").drop("_position", "error"), target)
+        write_csv(batch.successful.drop("error"), target)
     return batch
 
 

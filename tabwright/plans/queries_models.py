@@ -16,6 +16,7 @@ from tabwright.operators.imputers import MedianImputer, ModeImputer, RuleImputer
 from tabwright.operators.linear import ols_by_group, one_feature_cv, ridge_two_features
 from tabwright.operators.metrics import (
     mean_over_folds,
+    metric_columns,
     metrics_on_both_scales,
     model_report,
     predictions_report,
@@ -298,10 +299,11 @@ def encode_fit_score(spark, sf_dir):
     encoded = TargetEncoder(cols=["brand_type"], alpha=30.0).fit(train).transform(df)
     lines = ols_by_group(encoded.filter("split = 'train'"), ["brand"], "x1", "label").drop("n", "r2")
     scored = encoded.filter("split = 'test'").join(lines, "brand").withColumn("prediction", F.col("slope") * F.col("x1") + F.col("intercept"))
-    sizes = scored.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("TE_brand_type"), 5).alias("mean_te"))
-    metrics = regression_metrics(scored, by=["brand"])
-    return metrics.join(sizes, "brand").select(
-        "brand", "n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 5).alias("r2"), "mean_te"
+    m = metric_columns(F.col("label"), F.col("prediction"))
+    return scored.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(m[k], digits).alias(k) for k, digits in {"rmse": 4, "mae": 4, "r2": 5}.items()],
+        F.round(F.avg("TE_brand_type"), 5).alias("mean_te"),
     )
 
 
@@ -519,6 +521,34 @@ def lasso(spark, sf_dir):
     return _test_scores(spark, sf_dir, "lasso", {"alpha": 0.0005})
 
 
+def _one_feature_sql(alpha: float, l1_ratio: float) -> str:
+    return f"""WITH {SPLIT_PARTS_SQL},
+    m AS (SELECT avg(x1) AS mx, avg(label) AS my, covar_pop(x1, label) AS c, var_pop(x1) AS v FROM sp WHERE split = 'train'),
+    w AS (SELECT mx, my, sign(c) * greatest(abs(c) - {alpha * l1_ratio}, 0) / (v + {alpha * (1 - l1_ratio)}) AS w FROM m),
+    e AS (SELECT label, my + w * (x1 - mx) AS p, w FROM sp CROSS JOIN w WHERE split = 'test')
+    SELECT round(any_value(w), 6) AS w, round(sqrt(avg((label - p) ** 2)), 4) AS rmse, round(avg(abs(label - p)), 4) AS mae FROM e"""
+
+
+def _one_feature_scores(spark, sf_dir, kind, params):
+    part = _final_part(spark, sf_dir, ["x1"])
+    model = fit_part(kind, params, part)
+    out = regression_metrics(model.transform(part.valid))
+    return out.select(
+        F.round(F.lit(float(model.coefficients[0])), 6).alias("w"), F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae")
+    )
+
+
+@query("lasso_closed_form", _one_feature_sql(5.0, 1.0))
+def lasso_closed_form(spark, sf_dir):
+    """With one feature the solution is a soft threshold of the covariance."""
+    return _one_feature_scores(spark, sf_dir, "lasso", {"alpha": 5.0})
+
+
+@query("elastic_net_closed_form", _one_feature_sql(50.0, 0.4))
+def elastic_net_closed_form(spark, sf_dir):
+    return _one_feature_scores(spark, sf_dir, "elastic_net", {"alpha": 50.0, "l1_ratio": 0.4})
+
+
 def _folds(spark, sf_dir, k=3):
     data = add_folds(parts(spark, sf_dir), "row_id", k)
     assembler = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
