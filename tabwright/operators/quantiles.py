@@ -1,7 +1,7 @@
 """Exact quantiles of many columns that stay exact at any size.
 
 ``percentile`` keeps one counter per distinct value in a single aggregation
-buffer.  That is fine for some million values; above that the ranks
+buffer.  That is fine for some 100 000 values; above that the ranks
 wanted are first enclosed in narrow open intervals (a sketch proposes the
 bounds, an exact count accepts or widens them), and only values inside an
 interval are counted one by one.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabwright.functions.nulls import col
 
 SINGLE_PASS_CELLS = 4_000_000  # values of all columns together
+SINGLE_PASS_ROWS = 200_000  # values of one column; above, narrowing is faster as well
 SKETCH_ACCURACY = 10_000
 
 
@@ -44,7 +45,7 @@ def exact_quantiles(
     small, cells = [], 0
     for c in sorted(names, key=lambda c: counts[c]):
         cells += counts[c]
-        if cells <= single_pass_cells:
+        if cells <= single_pass_cells and counts[c] <= SINGLE_PASS_ROWS:
             small.append(c)
     result: dict[str, list[float | None]] = {}
     if small:

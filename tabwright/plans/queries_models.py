@@ -35,6 +35,7 @@ from tabwright.plans.views import (
     fold_sql,
     folded_parts,
     hash_sql,
+    kept_sales,
     parts,
     rounded,
     sales,
@@ -126,7 +127,7 @@ def ordinal_map(spark, sf_dir):
     ("GrLivArea" IS NULL)::INTEGER AS "GrLivArea_was_missing" FROM sales""",
 )
 def missing_flags(spark, sf_dir):
-    s = sales(spark, sf_dir).select("Id", "YrSold", "MoSold", "GrLivArea")
+    s = kept_sales(spark, sf_dir, ["Id", "YrSold", "MoSold", "GrLivArea"])
     flagged = MissingFlags(exclude=["Id"]).fit(s).transform(s)
     return flagged.drop("YrSold", "MoSold", "GrLivArea")
 
@@ -153,7 +154,8 @@ def impute_mode_median(spark, sf_dir):
     FROM sales CROSS JOIN m CROSS JOIN f""",
 )
 def impute_rules(spark, sf_dir):
-    s = hash_split(sales(spark, sf_dir), "Id").withColumn("Priority", F.when(F.col("Priority") != "5-LOW", F.col("Priority")))
+    kept = kept_sales(spark, sf_dir, ["Id", "LotFrontage", "Electrical", "GrLivArea", "Priority"])
+    s = hash_split(kept, "Id").withColumn("Priority", F.when(F.col("Priority") != "5-LOW", F.col("Priority")))
     rules = {
         "LotFrontage": ("median", None), "Electrical": ("mode", None), "GrLivArea": ("constant", 0.0), "Priority": ("constant", "None"),
     }

@@ -25,7 +25,7 @@ from tabwright.operators.projection import (
 from tabwright.operators.scoring import batch_response, check_records, numbered, with_prediction_result
 from tabwright.operators.split import add_folds, exact_split, hash_split
 from tabwright.plans.registry import query
-from tabwright.plans.views import PARTS_SQL, SALES_SQL, fold_sql, hash_sql, parts, rounded, sales, split_sql, table
+from tabwright.plans.views import PARTS_SQL, SALES_SQL, fold_sql, hash_sql, kept_sales, parts, rounded, sales, split_sql, table
 from tabwright.session import scratch_path
 from tabwright.sources.readers import explode_batches, read_training_csv
 from tabwright.sources.sinks import write_csv
@@ -165,7 +165,7 @@ def _describe_sql(cols) -> str:
 
 @query("describe_numeric", f"WITH {SALES_SQL} {_describe_sql(SALES_NUMERIC)}")
 def describe_numeric(spark, sf_dir):
-    out = profile.describe(sales(spark, sf_dir), SALES_NUMERIC)
+    out = profile.describe(kept_sales(spark, sf_dir, SALES_NUMERIC), SALES_NUMERIC)
     return out.select("column", "count", *[F.round(c, 3).alias(c) for c in out.columns[2:]])
 
 
@@ -208,7 +208,7 @@ def _histogram_sql(column: str, source: str, bins: int) -> str:
     UNION ALL {_histogram_sql('MoSold', 'sales', 50)}""",
 )
 def histogram_target(spark, sf_dir):
-    out = profile.histogram(sales(spark, sf_dir), ["SalePrice", "GrLivArea", "MoSold"], 50)
+    out = profile.histogram(kept_sales(spark, sf_dir, ["SalePrice", "GrLivArea", "MoSold"]), ["SalePrice", "GrLivArea", "MoSold"], 50)
     return out.select("column", "bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
 
 
@@ -256,7 +256,7 @@ def corr_matrix(spark, sf_dir):
 @query("corr_matrix_wide", f"WITH {SALES_SQL} SELECT * FROM ({_corr_sql(SALES_NUMERIC)}) WHERE a < b")
 def corr_matrix_wide(spark, sf_dir):
     """The same matrix by masked cross products, as used for wide tables."""
-    out = profile._corr_by_moments(sales(spark, sf_dir), SALES_NUMERIC)
+    out = profile._corr_by_moments(kept_sales(spark, sf_dir, SALES_NUMERIC), SALES_NUMERIC)
     first = F.col("a") < F.col("b")
     return out.select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"),
@@ -313,14 +313,14 @@ def _domain_result(df):
 
 @query("domain_features", DOMAIN_SQL)
 def domain_features(spark, sf_dir):
-    df = sales(spark, sf_dir)
+    df = kept_sales(spark, sf_dir)
     return _domain_result(DomainFeatures().fit(df).transform(df))
 
 
 @query("domain_features_frame_scope", DOMAIN_SQL)
 def domain_features_frame_scope(spark, sf_dir):
     """The stateless form: the clip comes from the frame being transformed."""
-    return _domain_result(add_domain_features(sales(spark, sf_dir)))
+    return _domain_result(add_domain_features(kept_sales(spark, sf_dir)))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwright.operators.split import add_folds, hash_split
+from tabwright.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,13 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept_sales(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """The columns of the sales view a query needs, written once to the shared
+    folder: a fit reads its rows several times and must not repeat the joins."""
+    view = sales(spark, sf_dir)
+    return materialize(view if columns is None else view.select(*[F.col(f"`{c}`") for c in columns]), "sales")
+
+
 SALES_SQL = """
 lines AS (
   SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty,
