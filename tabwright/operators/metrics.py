@@ -10,11 +10,13 @@ from tabwright.operators.quantiles import exact_quantiles
 
 
 def metric_columns(label: Column, prediction: Column) -> dict[str, Column]:
-    """rmse, mae, r2 and mse; r2 of a constant label is 1 if all errors are 0."""
+    """rmse, mae, r2 and mse.  r2 is not defined for fewer than two rows (NULL);
+    for a constant label it is 1 if all errors are 0 and else 0."""
     error = label - prediction
     mse = F.avg(error * error)
     spread = F.var_pop(label)
-    r2 = F.when(spread > 0, 1 - mse / spread).when(mse == 0, 1.0).otherwise(0.0)
+    defined = F.when(spread > 0, 1 - mse / spread).when(mse == 0, 1.0).otherwise(0.0)
+    r2 = F.when(F.count(error) >= 2, defined)
     return {"rmse": F.sqrt(mse), "mae": F.avg(F.abs(error)), "r2": r2, "mse": mse}
 
 

@@ -291,7 +291,8 @@ def ols_group_fit(spark, sf_dir):
     f AS (SELECT brand, regr_slope(label, x1) AS a, regr_intercept(label, x1) AS b, count(*) AS n FROM e WHERE split = 'train' GROUP BY 1),
     s AS (SELECT e.brand, label, a * x1 + b AS p, te FROM e JOIN f ON e.brand = f.brand WHERE split = 'test'),
     m AS (SELECT brand, count(*) AS n, sqrt(avg((label - p) ** 2)) AS rmse, avg(abs(label - p)) AS mae,
-          1 - avg((label - p) ** 2) / var_pop(label) AS r2, avg(te) AS mean_te FROM s GROUP BY 1)
+          CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(label) > 0 THEN 1 - avg((label - p) ** 2) / var_pop(label)
+               WHEN avg((label - p) ** 2) = 0 THEN 1.0 ELSE 0.0 END AS r2, avg(te) AS mean_te FROM s GROUP BY 1)
     SELECT brand, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 5) AS r2, round(mean_te, 5) AS mean_te FROM m""",
 )
 def encode_fit_score(spark, sf_dir):
