@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,18 +41,12 @@ def build_session(app_name: str = "tabwright", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.  Only a local session may
-    fall back to a temporary folder, because all its tasks see the same disk."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; without it a folder in the warehouse, which all executors reach too."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    path = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
