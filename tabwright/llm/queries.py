@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import byte_bpe, chat_format, stream_dedup, token_counts
+from tabwright.llm import byte_bpe, chat_format, language_crf, near_dup, stream_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat_format.read_back(chat_format.format_conversations(turns))
+
+
+@query("op3_language_crf")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_crf.fit_documents(documents)
+    predicted = documents.select("doc_id", language_crf.predict("text", model, spark).alias("found"))
+    return predicted.select("doc_id", language_crf.held_out("doc_id").alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query("op7_bag_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
