@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import byte_bpe, chat_format, language_crf, near_dup, stream_dedup, token_counts
+from tabwright.llm import byte_bpe, chat_format, decontaminate, language_crf, near_dup, pii_weak, stream_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
+@query("op8_pigeonhole_edits")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_pii_weak")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_weak.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in pii_weak.BASE_KINDS]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = written(F.filter("spans", lambda s: s.base))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
