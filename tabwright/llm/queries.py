@@ -111,7 +111,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii_weak")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_weak.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in pii_weak.BASE_KINDS]
+    of_kind = lambda kind: F.filter("spans", lambda s: s.base & (s.kind == kind))
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii_weak.BASE_KINDS]
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = written(F.filter("spans", lambda s: s.base))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
