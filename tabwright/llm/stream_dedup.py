@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from tabwright.llm.columns import free_name, text_or_empty
 from tabwright.session import scratch_path
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without setting room aside, as each of many small stores would take 4 MB.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of a table of digests that may be sent to all executors (about 100 bytes each); beyond it the join shuffles.
 SENT_ROWS = 100_000
 
@@ -55,13 +58,15 @@ def run_stream(spark, folder: str, checkpoint: str, files_at_once: int | None =
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
     seen = reader.parquet(folder).groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         query = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     state = spark.read.format("statestore").load(checkpoint)
     return state.select("key.digest", F.col("value.max").alias("keep"), F.col("value.count").alias("group_size"))
 
