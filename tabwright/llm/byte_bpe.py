@@ -25,7 +25,7 @@ from tabwright.llm.columns import PIECE_BYTES, pieces, text_or_empty
 
 #: Units in a worker's store; when it is full it becomes the older store, and what is found there moves on.  Results do not
 #: depend on it.
-STORE_UNITS = 300_000
+STORE_UNITS = 200_000
 #: Bytes of an id that is not in the vocabulary: the replacement character.
 UNKNOWN = "\ufffd".encode()
 #: The characters with the Unicode property White_Space.

@@ -6,11 +6,23 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch.  Texts are large, and a worker holds a batch and its results at once.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 #: Text bytes that an operator handles at once inside an Arrow batch.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches, unless the session was started with its own setting."""
+    own = spark.sparkContext.getConf()
+    for key, value in BATCH_SETTINGS.items():
+        if own.get(key) is None:
+            spark.conf.set(key, value)
+    return spark
 
 
 def text_or_empty(column: str | Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.columns import PIECE_BYTES, pieces, text_or_empty
+from tabwright.llm.columns import pieces, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -36,7 +36,7 @@ LEXICON_WORDS, LEXICON_SHARE = 20_000, 0.8
 LONGEST_GRAM = 4
 BLOCK = 64
 #: Words whose scores a worker keeps; the store is emptied when it is full.  Results do not depend on it.
-STORE_WORDS = 300_000
+STORE_WORDS = 200_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -289,7 +289,7 @@ def predict(text: str | Column, model: LanguageModel, spark) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             names, scores = [], []
-            for part in pieces(texts, PIECE_BYTES // 2):
+            for part in pieces(texts):
                 for target, values in zip((names, scores), shared.value.predict(part.to_pylist())):
                     target.extend(values)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])

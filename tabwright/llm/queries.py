@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm import byte_bpe, chat_format, decontaminate, language_crf, near_dup, pii_weak, stream_dedup, token_counts
+from tabwright.llm.columns import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,12 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(spans: Column) -> Column:
+    """Spans as ``kind:start:end``, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
 @query("op2_byte_bpe")
@@ -113,6 +119,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_weak.personal_data(table(spark, sf_dir, "documents"))
     of_kind = lambda kind: F.filter("spans", lambda s: s.base & (s.kind == kind))
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii_weak.BASE_KINDS]
-    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = written(F.filter("spans", lambda s: s.base))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -31,7 +31,7 @@ MARK = "▁"
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Chunks in a worker's store; when it is full it becomes the older store, and what is found there moves on.  Results do not
 #: depend on it.
-STORE_CHUNKS = 300_000
+STORE_CHUNKS = 200_000
 
 
 class PrefixCounter:
