@@ -6,28 +6,59 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import byte_bpe, stream_dedup
+from tabwright.llm import byte_bpe, decontaminate, language_crf, near_dup, stream_dedup
+from tabwright.llm.columns import bounded_batches, free_name
 from tabwright.session import scratch_path
 
+#: Least mean probability of a document's language over its words.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words are mostly of one language go on; those without a letter or with a low score go."""
+    bounded_batches(spark)
+    model = language_crf.fit_documents(docs)
+    found = free_name(docs, "found")
+    scored = docs.withColumn(found, language_crf.predict("text", model, spark))
+    return scored.filter((F.col(f"{found}.lang") != language_crf.UNDETERMINED) & (F.col(f"{found}.score") >= LEAST_LANGUAGE_SCORE)).drop(found)
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id goes on."""
     return stream_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates goes on."""
+    bounded_batches(spark)
+    return near_dup.drop_near_duplicates(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands go on."""
+    bounded_batches(spark)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their whole texts and, as a check, whether the decoded ids give the text again."""
+    """The documents with the ids of their whole texts, their number, and whether the decoded ids give the text again."""
+    bounded_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = docs.withColumn("ids", byte_bpe.encode("text", *vocabulary))
-    decoded = byte_bpe.decode("ids", *vocabulary)
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", decoded == F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    ids, n_tokens, round_trip = (free_name(docs, name) for name in ("ids", "n_tokens", "round_trip"))
+    encoded = docs.withColumn(ids, byte_bpe.encode("text", *vocabulary))
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return encoded.withColumn(n_tokens, F.size(ids).cast("long")).withColumn(round_trip, byte_bpe.decode(ids, *vocabulary) == text)
 
 
 STAGES = [
+    ("language ID", keep_known_language),
     ("exact dedup", drop_exact_copies),
-    ("byte BPE", encode),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("byte-level BPE", encode),
 ]
 
-#: The stages are models, sketches and token merges; tests compare them with plain versions.
+#: SQL has no trained model, no sketch and no token merges; the tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import byte_bpe, chat_format, decontaminate, language_crf, near_dup, pii_weak, stream_dedup, token_counts
+from tabwright.llm import byte_bpe, chat_format, decontaminate, language_crf, near_dup, pii_weak, quality_em, secret_scan, stream_dedup, token_counts
 from tabwright.llm.columns import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
+@query("op1_quality_em")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_em.quality(table(spark, sf_dir, "documents"))
+
+
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -121,3 +126,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii_weak.BASE_KINDS]
     base = written(F.filter("spans", lambda s: s.base))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op9_entropy_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: F.filter("spans", lambda s: s.kind == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS]
+    base = F.filter("spans", lambda s: s.place < len(secret_scan.BASE_KINDS))
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
