@@ -92,18 +92,15 @@ NON_NEGATIVE_FIELDS = [
 RECOMMENDED_FIELDS = ["LotArea", "OverallQual", "GrLivArea"]
 TARGET_ENCODED = [
     "Neighborhood", "MSZoning", "Exterior1st", "Exterior2nd", "SaleCondition", "BldgType",
-    "Neighborhood_BldgType",
 ]
 TARGET_SMOOTHING = 30.0
 RARE_MIN_COUNT = 15
 N_QUANTILES = 200
-QUANTILE_EXACT_ROWS = 200_000
 TEST_SIZE = 0.2
 SEED = 42
 CV_FOLDS = 5
 SEARCH_TRIALS = 15
 SEARCH_TOP_MODELS = 5
-MAX_BATCH_ROWS = 100
 CONFIDENCE = 0.85
 BACKGROUND_ROWS = 100
 TOP_CONTRIBUTIONS = 10
@@ -156,6 +153,5 @@ class TableConfig:
     rare_min_count: int | None = RARE_MIN_COUNT
     rare_min_share: float | None = None
     n_quantiles: int = N_QUANTILES
-    quantile_exact_rows: int = QUANTILE_EXACT_ROWS
     domain_features: bool = True
     quantile_scope: str = "fit"  # "frame" clips every frame at its own quantile

@@ -53,6 +53,14 @@ def safe_double(c: Column) -> Column:
     return nan_to_null(c.try_cast("double"))
 
 
+# Text that is a number; a cast alone also takes "1F" and "2D".
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+def text_to_double(c: Column) -> Column:
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
 def fill(c: Column, value) -> Column:
     return F.coalesce(c, F.lit(value))
 

@@ -136,7 +136,7 @@ def evaluate_models(
                 fitted[name] = model
                 return (name, cv["cv_rmse"], cv["cv_r2"], test["rmse"], test["r2"], "ok", None)
             except Exception as e:  # one failing model must not end the comparison
-                return (name, None, None, None, None, "fail", str(e)[:2000])
+                return (name, None, None, None, None, "fail", str(e))
 
         return run
 
@@ -194,7 +194,7 @@ def tune_models(
                 cv = cross_validate(kind, {**base, **params}, parts, label, seed)
                 return (name, trial, json.dumps(params), cv["cv_rmse"], cv["cv_r2"], "ok", None)
             except Exception as e:
-                return (name, trial, json.dumps(params), None, None, "fail", str(e)[:2000])
+                return (name, trial, json.dumps(params), None, None, "fail", str(e))
 
         return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabwright.functions.nulls import col
 
@@ -38,10 +38,6 @@ def ridge_two_features(df: DataFrame, a: str, b: str, label: str, alpha: float)
     )
 
 
-def predict_linear(coefficients: dict[str, Column], intercept: Column) -> Column:
-    return sum((c * col(name) for name, c in coefficients.items()), intercept)
-
-
 def one_feature_cv(df: DataFrame, features, label: str, fold: str = "fold") -> DataFrame:
     """CV scores of one least-squares line per feature, all features and folds
     together: (model, fold, rmse, r2).
@@ -55,15 +51,17 @@ def one_feature_cv(df: DataFrame, features, label: str, fold: str = "fold") -> D
     # Moments about a common point, so that differences of sums keep precision.
     means = long.groupBy("model").agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
     dx, dy = x - F.col("mx"), y - F.col("my")
-    centred = long.join(F.broadcast(means), "model").select("model", "fold", "mx", "my", dx.alias("dx"), dy.alias("dy"))
+    centred = long.join(means, "model").select("model", "fold", "mx", "my", dx.alias("dx"), dy.alias("dy"))
     sums = {"n": F.count(F.lit(1)), "sx": F.sum("dx"), "sy": F.sum("dy"), "sxx": F.sum(F.col("dx") * F.col("dx")), "sxy": F.sum(F.col("dx") * F.col("dy"))}
     by_fold = centred.groupBy("model", "fold").agg(*[c.alias(k) for k, c in sums.items()])
     # (features x folds) rows from here on: all folds minus this one.
     all_folds = Window.partitionBy("model")
     rest = by_fold.select("model", "fold", *[(F.sum(k).over(all_folds) - F.col(k)).alias(k) for k in sums])
-    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
-    lines = rest.select("model", "fold", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
-    scored = centred.join(F.broadcast(lines), ["model", "fold"])
+    n = F.when(F.col("n") > 0, F.col("n"))
+    # A feature that is constant outside a fold fits the mean: slope 0.
+    slope = F.coalesce(F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("sxx") - F.col("sx") * F.col("sx") / n), F.lit(0.0))
+    lines = rest.select("model", "fold", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / n).alias("intercept"))
+    scored = centred.join(lines, ["model", "fold"])
     error = F.col("dy") - F.col("intercept") - F.col("slope") * F.col("dx")
     mse = F.avg(error * error)
-    return scored.groupBy("model", "fold").agg(F.sqrt(mse).alias("rmse"), (1 - mse / F.var_pop("dy")).alias("r2"))
+    return scored.groupBy("model", "fold").agg(F.sqrt(mse).alias("rmse"), (1 - F.try_divide(mse, F.var_pop("dy"))).alias("r2"))

@@ -6,7 +6,7 @@ broadcast join up to ``BROADCAST_BYTES`` and a salted shuffle join above.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabwright.functions.nulls import col, text_or_nan
 from tabwright.session import materialize
@@ -102,12 +102,14 @@ class LevelTable:
         if self.bytes[column] <= BROADCAST_BYTES:
             return df.join(F.broadcast(table), key == F.col("_level"), "left").drop("_level")
         # Rows of hot levels spread over SALTS tasks; only those levels are copied.
-        hot = self.hot.get(column, [])
+        # A missing key is one of them: it need not be frequent at the fit to be so now.
+        hot = sorted({*self.hot.get(column, []), "nan"})
         salted = table.withColumn(
             "_salt",
             F.explode(F.when(F.col("_level").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
         )
-        spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+        hashed = [col(f.name) for f in df.schema if isinstance(f.dataType, T.AtomicType)]  # maps have no hash
+        spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
         left = df.withColumn("_row_salt", F.when(key.isin(hot), spread).otherwise(F.lit(0)))
         return left.join(
             salted, (key == F.col("_level")) & (F.col("_row_salt") == F.col("_salt")), "left"

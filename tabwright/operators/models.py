@@ -67,12 +67,13 @@ def build(
 ):
     columns = {"labelCol": label, "featuresCol": features, "predictionCol": "prediction"}
     if kind in ("ridge", "lasso", "elastic_net", "linear"):
-        return LinearRegression(**columns, **_penalty(kind, params, stats), **_solver(params, n_features))
+        solver = _solver(params, n_features)
+        return LinearRegression(**columns, **_penalty(kind, params, stats, solver["solver"]), **solver)
     if kind == "forest":
         return RandomForestRegressor(
             **columns,
             numTrees=params["n_estimators"],
-            maxDepth=min(params.get("max_depth") or DEEPEST_TREE, DEEPEST_TREE),
+            maxDepth=_depth(params),
             featureSubsetStrategy={None: "all"}.get(params.get("max_features"), params.get("max_features")),
             minInstancesPerNode=_leaf_size(params),
             maxBins=params.get("max_bins", 64),
@@ -93,10 +94,13 @@ def build(
     raise ValueError(f"unknown kind of model: {kind}")
 
 
-def _penalty(kind: str, params: dict, stats: LabelStats) -> dict:
+def _penalty(kind: str, params: dict, stats: LabelStats, solver: str) -> dict:
     """Spark fits label / deviation, so an L2 penalty is divided by the
-    deviation of the label while an L1 penalty is not.  These factors undo it."""
+    deviation of the label while an L1 penalty is not.  These factors undo it.
+    The one-pass solver takes the population deviation, the other the sample's."""
     alpha, d = float(params.get("alpha", 0.0)), stats.deviation
+    if solver != "normal" and stats.rows > 1:
+        d *= math.sqrt(stats.rows / (stats.rows - 1))
     if kind == "linear":
         l1 = l2 = 0.0
     elif kind == "ridge":  # alpha weighs the sum, not the mean, of the squares
@@ -113,7 +117,7 @@ def _penalty(kind: str, params: dict, stats: LabelStats) -> dict:
 def _solver(params: dict, n_features: int) -> dict:
     # The normal equations need one pass over the rows, whatever the number of
     # iterations for the L1 part, because those run on the d x d matrix.
-    solver = "normal" if n_features <= NORMAL_EQUATION_FEATURES else "l-bfgs"
+    solver = params.get("solver") or ("normal" if n_features <= NORMAL_EQUATION_FEATURES else "l-bfgs")
     return {"solver": solver, "maxIter": int(params.get("max_iter", 20000)), "tol": 1e-14}
 
 
@@ -123,11 +127,16 @@ def _leaf_size(params: dict) -> int:
     return max(params.get("min_samples_leaf", 1), math.ceil(params.get("min_samples_split", 2) / 2))
 
 
-def _boosting_depth(params: dict) -> int:
+def _depth(params: dict) -> int:
     depth = params.get("max_depth") or DEEPEST_TREE
-    if params.get("num_leaves"):
-        depth = min(depth, math.ceil(math.log2(params["num_leaves"])))
-    return min(depth, DEEPEST_TREE)
+    if depth > DEEPEST_TREE:
+        raise ValueError(f"trees deeper than {DEEPEST_TREE} levels are not possible: {depth}")
+    return depth
+
+
+def _boosting_depth(params: dict) -> int:
+    depth = _depth(params)
+    return min(depth, math.ceil(math.log2(params["num_leaves"]))) if params.get("num_leaves") else depth
 
 
 def n_features(df: DataFrame, features: str = "features") -> int:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabwright.functions.nulls import col, is_floating, numeric_columns
+from tabwright.functions.nulls import col, is_floating, nan_columns_to_null, numeric_columns
 from tabwright.operators.quantiles import exact_quantiles
 
-CORR_PAIRS_IN_ONE_AGG = 150
-
 
 def is_missing(df: DataFrame, name: str) -> Column:
     c = col(name)
@@ -49,7 +45,7 @@ def missing_totals(df: DataFrame) -> DataFrame:
         rows.alias("rows"),
         F.lit(len(cols)).cast("bigint").alias("columns"),
         total.alias("missing_cells"),
-        (total / (rows * len(cols)) * 100).alias("missing_pct"),
+        (F.try_divide(total, rows * len(cols)) * 100).alias("missing_pct"),
         affected.alias("columns_with_missing"),
     )
 
@@ -66,16 +62,10 @@ def column_types(df: DataFrame) -> DataFrame:
     )
 
 
-def type_counts(df: DataFrame) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for _, kind in df.dtypes:
-        out[kind] = out.get(kind, 0) + 1
-    return out
-
-
-def describe(df: DataFrame, cols=None, single_pass_cells: int | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column."""
+def describe(df: DataFrame, cols=None) -> DataFrame:
+    """count, mean, std, min, quartiles and max per column; NaN counts as missing."""
     cols = list(cols or numeric_columns(df))
+    df = nan_columns_to_null(df.select(*[col(c) for c in cols]))
     stats = df.agg(
         *[
             F.struct(
@@ -88,9 +78,7 @@ def describe(df: DataFrame, cols=None, single_pass_cells: int | None = None) ->
             for i, c in enumerate(cols)
         ]
     ).first()
-    limit = {} if single_pass_cells is None else {"single_pass_cells": single_pass_cells}
-    counts = {c: stats[f"s{i}"]["count"] for i, c in enumerate(cols)}
-    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts=counts, **limit)
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     rows = [
         (c, s["count"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"])
         for c, s in ((c, stats[f"s{i}"]) for i, c in enumerate(cols))
@@ -100,8 +88,9 @@ def describe(df: DataFrame, cols=None, single_pass_cells: int | None = None) ->
 
 
 def histogram(df: DataFrame, cols, bins: int = 50) -> DataFrame:
-    """(column, bin, low, high, n): equal-width bins; the last one is closed."""
+    """(column, bin, low, high, n): equal-width bins; the last one is closed; NaN counts as missing."""
     cols = [cols] if isinstance(cols, str) else list(cols)
+    df = nan_columns_to_null(df.select(*[col(c) for c in cols]))
     ends = df.agg(*[F.min(col(c)).cast("double") for c in cols], *[F.max(col(c)).cast("double") for c in cols]).first()
     edges = {}
     for i, c in enumerate(cols):
@@ -135,64 +124,46 @@ def histogram(df: DataFrame, cols, bins: int = 50) -> DataFrame:
 
 
 def kernel_density(df: DataFrame, column: str, grid_size: int = 200, cut: float = 0.0) -> DataFrame:
-    """Gaussian kernel density on a regular grid, Scott's bandwidth.
+    """Gaussian kernel density on a regular grid, Scott's bandwidth; NaN counts as missing.
 
-    Each row is expanded over the fixed grid literal and summed before the
-    shuffle, so only (grid point, sum) pairs leave a task."""
-    c = col(column).cast("double")
-    s = df.agg(
-        F.count(c).alias("n"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high")
-    ).first()
+    Each task adds its rows to one vector over the grid, so (grid point, sum) pairs leave it and no row is expanded."""
+    values = nan_columns_to_null(df.select(col(column).cast("double").alias("value"))).filter("value IS NOT NULL")
+    c = F.col("value")
+    s = values.agg(F.count(c).alias("n"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high")).first()
     width = (s["std"] or 0.0) * s["n"] ** -0.2 if s["n"] else 0.0
     if not width:
         return df.sparkSession.createDataFrame([], "idx int, x double, density double")
     low, high = s["low"] - cut * width, s["high"] + cut * width
     step = (high - low) / (grid_size - 1)
+    grid = low + np.arange(grid_size) * step
+
+    def sums(batches):
+        total = np.zeros(grid_size)
+        for batch in batches:
+            x = batch["value"].to_numpy()
+            for start in range(0, len(x), 4096):
+                total += np.exp(-0.5 * ((grid[:, None] - x[None, start : start + 4096]) / width) ** 2).sum(axis=1)
+        yield pd.DataFrame({"idx": np.arange(grid_size, dtype=np.int32), "part": total})
+
+    parts = values.mapInPandas(sums, "idx int, part double").groupBy("idx").agg(F.sum("part").alias("total"))
     x = F.lit(low) + F.col("idx") * F.lit(step)
-    z = (x - F.col("_value")) / F.lit(width)
-    return (
-        df.select(c.alias("_value"))
-        .filter(F.col("_value").isNotNull())
-        .select("_value", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("idx"))
-        .groupBy("idx")
-        .agg((F.sum(F.exp(-0.5 * z * z)) / F.lit(s["n"] * width * (2 * np.pi) ** 0.5)).alias("density"))
-        .select("idx", x.alias("x"), "density")
-    )
+    return parts.select("idx", x.alias("x"), (F.col("total") / F.lit(s["n"] * width * (2 * np.pi) ** 0.5)).alias("density"))
 
 
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
-    """Pearson correlation of every ordered pair (a, b), pairwise complete."""
-    cols = list(cols or numeric_columns(df))
-    pairs = list(combinations(cols, 2))
-    if len(pairs) <= CORR_PAIRS_IN_ONE_AGG:
-        half = _corr_by_aggregate(df, pairs)
-    else:
-        half = _corr_by_moments(df, cols)
-    own = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, corr double")
-    other = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return half.unionByName(other).unionByName(own)
-
-
-def _corr_by_aggregate(df: DataFrame, pairs) -> DataFrame:
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    wide = df.agg(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(col(a).cast("double"), col(b).cast("double")).alias("corr"))
-                for a, b in pairs
-            ]
-        ).alias("pairs")
-    )
-    return wide.select(F.inline("pairs"))
+    """Pearson correlation of every ordered pair (a, b), pairwise complete.  NaN counts as missing; a column that is constant
+    on the rows of a pair has no correlation there (NULL), nor with itself.
 
-
-def _corr_by_moments(df: DataFrame, cols) -> DataFrame:
-    """Wide tables: each task adds up masked products for all pairs at once, and
-    d*d sums per task are shuffled.  Values are centred first for precision."""
-    means = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    centred = df.select(*[(col(c).cast("double") - F.lit(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
-    d = len(cols)
+    Each task adds up masked products for all pairs at once, and d * d sums per task are shuffled.  Values are centred first
+    for precision."""
+    cols = list(cols or numeric_columns(df))
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "a string, b string, corr double")
+    clean = nan_columns_to_null(df.select(*[col(c).cast("double").alias(c) for c in cols]))
+    means = clean.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    centred = clean.select(*[(col(c) - F.lit(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
+    i, j = (x.ravel() for x in np.indices((len(cols), len(cols))))
 
     def sums(batches):
         acc = None
@@ -203,35 +174,31 @@ def _corr_by_moments(df: DataFrame, cols) -> DataFrame:
             part = [mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x]
             acc = part if acc is None else [p + q for p, q in zip(acc, part)]
         if acc is not None:
-            i, j = np.triu_indices(d, 1)
             n, sx, sxx, sxy = acc
-            yield pd.DataFrame(
-                dict(i=i, j=j, n=n[i, j], sx=sx[i, j], sy=sx[j, i], sxx=sxx[i, j], syy=sxx[j, i], sxy=sxy[i, j])
-            )
-
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = centred.mapInPandas(sums, schema).groupBy("i", "j").agg(
-        *[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    var = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
+            yield pd.DataFrame(dict(i=i, j=j, n=n[i, j], sx=sx[i, j], sy=sx[j, i], sxx=sxx[i, j], syy=sxx[j, i], sxy=sxy[i, j]))
+
+    moments = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    schema = "i int, j int, " + ", ".join(f"{k} double" for k in moments)
+    parts = centred.mapInPandas(sums, schema).groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in moments])
+    of = {k: F.col(k) for k in moments}
+    n = F.when(of["n"] > 0, of["n"])
+    x_var, y_var = of["sxx"] - of["sx"] * of["sx"] / n, of["syy"] - of["sy"] * of["sy"] / n
+    # What rounding leaves of a constant column is no variance.
+    varies = (x_var > 1e-12 * of["sxx"]) & (y_var > 1e-12 * of["syy"])
     names = F.array(*[F.lit(c) for c in cols])
+    pair = (of["sxy"] - of["sx"] * of["sy"] / n) / F.sqrt(F.when(varies, x_var * y_var))
     return parts.select(
         F.get(names, F.col("i")).alias("a"),
         F.get(names, F.col("j")).alias("b"),
-        F.when(var > 0, cov / F.sqrt(var)).alias("corr"),
+        F.when(F.col("i") == F.col("j"), F.when(varies, F.lit(1.0))).otherwise(pair).alias("corr"),
     )
 
 
 def top_correlated(df: DataFrame, target: str, k: int = 10, cols=None) -> DataFrame:
-    """Columns by |correlation| with the target, the target itself first."""
-    cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    items = [F.struct(F.lit(target).alias("column"), F.lit(1.0).alias("corr"))] + [
-        F.struct(F.lit(c).alias("column"), F.corr(col(c).cast("double"), col(target).cast("double")).alias("corr")) for c in cols
-    ]
-    long = df.agg(F.array(*items).alias("items")).select(F.inline("items"))
-    return long.orderBy(F.desc(F.abs("corr")), "column").limit(k)
+    """Columns by |correlation| with the target, the target itself first; columns without one last."""
+    cols = [target] + [c for c in (cols or numeric_columns(df)) if c != target]
+    with_target = correlation_matrix(df, cols).filter(F.col("b") == target).select(F.col("a").alias("column"), "corr")
+    return with_target.orderBy(F.desc(F.col("column") == target), F.desc_nulls_last(F.abs("corr")), "column").limit(k)
 
 
 def target_summary(df: DataFrame, label: str, split: str = "split") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabwright import config
-from tabwright.functions.nulls import col, infinity_to_null, is_floating, nan_to_null, numeric_columns
+from tabwright.functions.nulls import col, is_floating, nan_to_null, numeric_columns, text_to_double
 from tabwright.operators.profile import missing_counts
 
 
@@ -119,10 +119,10 @@ def enforce_schema(df: DataFrame, fields: dict[str, str], error: str = "error")
             if not isinstance(source, T.StringType):
                 casts[c] = col(c).cast("string")
             continue
-        number = nan_to_null(col(c).try_cast("double"))
+        number = nan_to_null(text_to_double(col(c)) if isinstance(source, T.StringType) else col(c).try_cast("double"))
         fits = number.isNotNull()
         if kind == "int":
-            fits = fits & (number == F.floor(number)) & (F.abs(number) <= 2147483647)
+            fits = fits & (number == F.floor(number)) & number.between(-2147483648, 2147483647)
         casts[c] = F.when(fits, number.try_cast(kind))
         present = ~F.isnan(col(c)) if is_floating(df, c) else F.lit(True)
         rules.append(F.when(col(c).isNotNull() & present & ~F.coalesce(fits, F.lit(False)), F.lit(f"{c} is not {kind}")))
@@ -131,11 +131,6 @@ def enforce_schema(df: DataFrame, fields: dict[str, str], error: str = "error")
     return df.withColumns({**casts, error: F.coalesce(*previous, problem)})
 
 
-def unknown_columns(df: DataFrame, fields=None, aliases=config.ALIASES) -> list[str]:
-    known = set(fields or config.REQUEST_FIELDS) | set(aliases.values())
-    return [c for c in df.columns if c not in known]
-
-
 def keep_successful(df: DataFrame, error: str = "error") -> DataFrame:
     return df.filter(col(error).isNull())
 
@@ -145,11 +140,6 @@ def all_missing_columns(df: DataFrame, cols) -> list[str]:
     return [c for c in cols if missing[c] == rows]
 
 
-def infinities_to_null(df: DataFrame, cols=None) -> DataFrame:
-    cols = [c for c in (cols or df.columns) if is_floating(df, c)]
-    return df.withColumns({c: infinity_to_null(col(c)) for c in cols}) if cols else df
-
-
 def route_features(train: DataFrame, cols, ordinals, test: DataFrame | None = None) -> dict[str, list[str]]:
     """Split columns into categorical, ordinal, numeric_complete and
     numeric_missing.  A numeric column counts as missing if train or test has a

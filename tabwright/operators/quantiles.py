@@ -1,144 +1,60 @@
-"""Exact quantiles of many columns that stay exact at any size.
+"""Exact quantiles of many columns, at any size by the same steps.
 
-``percentile`` keeps one counter per distinct value in a single aggregation
-buffer.  That is fine for some 100 000 values; above that the ranks
-wanted are first enclosed in narrow open intervals (a sketch proposes the
-bounds, an exact count accepts or widens them), and only values inside an
-interval are counted one by one.
+Values are counted per column (combined before the shuffle, so a value with a third of the rows is one row a task), dealt
+out by ranges of (column, value), and summed up within each range.  The sums of the ranges before it turn a place in a range
+into a rank; only the values at the wanted ranks reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabwright.functions.nulls import col
 
-SINGLE_PASS_CELLS = 4_000_000  # values of all columns together
-SINGLE_PASS_ROWS = 200_000  # values of one column; above, narrowing is faster as well
-SKETCH_ACCURACY = 10_000
 
-
-def percentile_expr(name: str, probs) -> Column:
-    # One SQL text per column: the position list may hold hundreds of literals.
-    return F.expr(f"percentile(cast({quoted(name)} as double), array({positions(probs)}))")
-
-
-def positions(probs) -> str:
-    return ", ".join(f"{float(p)!r}D" for p in probs)
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def exact_quantiles(
-    df: DataFrame, probs: dict[str, list[float]], single_pass_cells: int = SINGLE_PASS_CELLS, counts: dict[str, int] | None = None
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles; NULLs are ignored.  ``counts`` are the
-    non-NULL counts of the columns, where they are known already."""
+def exact_quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles; NULL and NaN are ignored, and a column without values has NULLs."""
     if not probs:
         return {}
-    names = list(probs)
-    counts = counts or dict(zip(names, df.agg(*[F.count(col(c)) for c in names]).first()))
-    small, cells = [], 0
-    for c in sorted(names, key=lambda c: counts[c]):
-        cells += counts[c]
-        if cells <= single_pass_cells and counts[c] <= SINGLE_PASS_ROWS:
-            small.append(c)
-    result: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[percentile_expr(c, probs[c]) for c in small]).first()
-        result.update({c: list(row[i]) if row[i] is not None else [None] * len(probs[c]) for i, c in enumerate(small)})
-    large = {c: counts[c] for c in names if c not in small}
-    if large:
-        result.update(_interpolated(df, {c: probs[c] for c in large}, large, single_pass_cells // len(large)))
-    return {c: result[c] for c in names}
-
-
-def _interpolated(df, probs, counts, limit):
-    at = {(c, i): p * (counts[c] - 1) for c, ps in probs.items() for i, p in enumerate(ps)}
-    values = _values_at(df, {key: {math.floor(x), math.ceil(x)} for key, x in at.items()}, counts, limit)
-    out: dict = {c: [] for c in probs}
-    for key, x in at.items():
-        low, high = values[key][math.floor(x)], values[key][math.ceil(x)]
-        out[key[0]].append(low + (high - low) * (x - math.floor(x)))
-    return out
-
-
-def _values_at(df, ranks, counts, limit):
-    """{key: {rank: value}} for keys (column, ...); a loop narrows the open
-    intervals of all keys at once.  An interval shrinks to the rank error of
-    the sketch each time; its end points are counted apart, so a value that
-    holds a large share of the rows is found or excluded at once."""
-    found: dict = {key: {} for key in ranks}
-    open_ = {
-        key: dict(wanted=set(r), low=None, high=None, below=0, inside=counts[key[0]], margin=2.0 / SKETCH_ACCURACY)
-        for key, r in ranks.items()
-    }
-
-    def number(key):
-        return col(key[0]).cast("double")
-
-    def inside(key):
-        s, v = open_[key], number(key)
-        test = v.isNotNull()
-        test = test if s["low"] is None else test & (v > s["low"])
-        return test if s["high"] is None else test & (v < s["high"])
-
-    while keys := [k for k, s in open_.items() if s["inside"] > limit]:
-        # Keys with the same interval share one sketch.
-        groups: dict = {}
-        for key in keys:
-            groups.setdefault((key[0], open_[key]["low"], open_[key]["high"]), []).append(key)
-        sketches = []
-        for members in groups.values():
-            shares = []
-            for key in members:
-                s = open_[key]
-                shares.append(max((min(s["wanted"]) - s["below"]) / s["inside"] - s["margin"], 0.0))
-                shares.append(min((max(s["wanted"]) + 1 - s["below"]) / s["inside"] + s["margin"], 1.0))
-            v = F.when(inside(members[0]), number(members[0]))
-            sketches.append(F.percentile_approx(v, shares, SKETCH_ACCURACY))
-        row = df.agg(*sketches).first()
-        bounds = {key: row[g][2 * i : 2 * i + 2] for g, members in enumerate(groups.values()) for i, key in enumerate(members)}
-        checks = []
-        for key in keys:
-            v, (low, high) = number(key), bounds[key]
-            checks += [F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if(v == high)]
-        exact = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(checks)]).first()
-        for i, key in enumerate(keys):
-            s, (low, high) = open_[key], bounds[key]
-            below, at_low, between, at_high = exact[4 * i : 4 * i + 4]
-            middle = below + at_low
-            top = middle + between + (at_high if high != low else 0)
-            if not all(below <= r < top for r in s["wanted"]):
-                s["margin"] *= 4  # the sketch missed: widen and look again
-                continue
-            for r in list(s["wanted"]):
-                if r < middle or r >= middle + between:
-                    found[key][r] = low if r < middle else high
-                    s["wanted"].discard(r)
-            s.update(low=low, high=high, below=middle, inside=between)
-        open_ = {k: s for k, s in open_.items() if s["wanted"]}
-
-    if open_:
-        exprs = []
-        for key, s in open_.items():
-            shares = [(r - s["below"]) / max(s["inside"] - 1, 1) for r in sorted(s["wanted"])]
-            exprs.append(F.percentile(F.when(inside(key), number(key)), F.array(*[F.lit(x) for x in shares])))
-        row = df.agg(*exprs).first()
-        for (key, s), values in zip(open_.items(), row):
-            found[key].update(zip(sorted(s["wanted"]), values))
-    return found
-
-
-def approx_quantiles(df: DataFrame, probs: dict[str, list[float]], accuracy: int = SKETCH_ACCURACY):
-    row = df.agg(
-        *[
-            F.expr(f"percentile_approx(cast({quoted(c)} as double), array({positions(ps)}), {accuracy})").alias(f"q{i}")
-            for i, (c, ps) in enumerate(probs.items())
-        ]
-    ).first()
-    return {c: list(row[i]) if row[i] is not None else [None] * len(ps) for i, (c, ps) in enumerate(probs.items())}
+    spark, names = df.sparkSession, list(probs)
+    cells = df.select(*[col(c).cast("double").alias(c) for c in names]).unpivot([], [f"`{c}`" for c in names], "column", "value")
+    counted = cells.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartitionByRange(ranges, "column", "value").withColumn("part", F.spark_partition_id())
+    dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # One row for each range and column it holds: ranges + columns rows at most.
+        sizes = sorted(dealt.groupBy("column", "part").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["column"], r["part"]))
+        totals: dict[str, int] = {}
+        before: dict[tuple[str, int], int] = {}
+        for r in sizes:
+            before[r["column"], r["part"]] = totals.get(r["column"], 0)
+            totals[r["column"]] = totals.get(r["column"], 0) + r["n"]
+        at = {(c, p): p * (totals[c] - 1) for c in names if c in totals for p in probs[c]}
+        ranks: dict[str, set[int]] = {}
+        for (c, _), x in at.items():
+            ranks.setdefault(c, set()).update((math.floor(x), math.ceil(x)))
+        wanted = []
+        for r in sizes:
+            low = before[r["column"], r["part"]]
+            wanted += [(r["column"], r["part"], k - low, k) for k in ranks[r["column"]] if low <= k < low + r["n"]]
+        upto = F.sum("n").over(Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        places = spark.createDataFrame(wanted, "column string, part int, place bigint, rank bigint")
+        needed = places.select("column", "part").distinct()
+        ends = dealt.join(needed, ["column", "part"], "left_semi").withColumn("upto", upto)
+        found = ends.join(places, ["column", "part"]).filter("place < upto AND place >= upto - n").select("column", "rank", "value")
+        values = {(r["column"], r["rank"]): r["value"] for r in found.collect()}
+    finally:
+        dealt.unpersist()
+
+    def interpolated(c: str, p: float) -> float | None:
+        if c not in totals:
+            return None
+        x = at[c, p]
+        low, high = values[c, math.floor(x)], values[c, math.ceil(x)]
+        return low + (high - low) * (x - math.floor(x)) if low != high else low
+
+    return {c: [interpolated(c, p) for p in probs[c]] for c in names}

@@ -9,20 +9,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabwright import config
 from tabwright.functions.normal import inverse_normal_cdf
 from tabwright.functions.nulls import col, nan_to_null
-from tabwright.operators.quantiles import approx_quantiles, exact_quantiles
+from tabwright.operators.quantiles import exact_quantiles
 from tabwright.operators.stage import StageEstimator, StageModel, param
 
 BOUND = 1e-7  # both ends of the uniform scale, so the normal scale stays within +-5.2
 
 
 class QuantileNormal(StageEstimator):
-    """Maps each column to a standard normal through its own quantiles.
-    Up to ``exactRows`` rows the quantiles are exact; above, a sketch is used."""
+    """Maps each column to a standard normal through its own exact quantiles."""
 
     cols = param("cols", "columns to transform")
     nQuantiles = param("nQuantiles", "number of quantiles")
-    exactRows = param("exactRows", "largest number of rows with exact quantiles")
-    DEFAULTS = {"cols": [], "nQuantiles": config.N_QUANTILES, "exactRows": config.QUANTILE_EXACT_ROWS}
+    DEFAULTS = {"cols": [], "nQuantiles": config.N_QUANTILES}
 
     def _fit(self, df: DataFrame) -> "QuantileNormalModel":
         cols = self.value("cols")
@@ -31,10 +29,7 @@ class QuantileNormal(StageEstimator):
         rows = df.count()
         n = max(2, min(self.value("nQuantiles"), rows))
         probs = {c: [i / (n - 1) for i in range(n)] for c in cols}
-        if rows <= self.value("exactRows"):
-            knots = exact_quantiles(df, probs, single_pass_cells=rows * len(cols))
-        else:
-            knots = approx_quantiles(df, probs)
+        knots = exact_quantiles(df, probs)
         return QuantileNormalModel(cols=cols, knots=[knots[c] for c in cols])
 
 

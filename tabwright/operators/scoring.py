@@ -93,11 +93,13 @@ def batch_response(scored: DataFrame, order: Column | str, by) -> DataFrame:
     )
 
 
-def numbered(scored: DataFrame, position: str) -> DataFrame:
-    """Result rows with a 1-based number taken from the input position."""
+def numbered(scored: DataFrame, position: str, keep=(), errors: bool = False) -> DataFrame:
+    """Result rows with a 1-based number taken from the input position; with ``errors`` also why a row has no price."""
     return scored.select(
         (F.col(position) + 1).alias("No"),
+        *[col(c) for c in keep],
         F.col("predicted_price").alias("Predicted Price"),
         F.col("confidence").alias("Confidence"),
         F.col("model_name").alias("Model"),
+        *([F.col("error").alias("Error")] if errors else []),
     )

@@ -58,11 +58,3 @@ def add_folds(
     df: DataFrame, row_id: str, k: int = config.CV_FOLDS, seed: int = config.SEED, fold: str = "fold"
 ) -> DataFrame:
     return df.withColumn(fold, fold_hash(col(row_id), k, seed))
-
-
-def train_part(df: DataFrame, split: str = "split") -> DataFrame:
-    return df.filter(col(split) == "train").drop(split)
-
-
-def test_part(df: DataFrame, split: str = "split") -> DataFrame:
-    return df.filter(col(split) == "test").drop(split)

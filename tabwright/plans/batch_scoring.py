@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright import config
 from tabwright.functions.nulls import col
 from tabwright.operators.metrics import score_summary
 from tabwright.operators.profile import histogram
 from tabwright.operators.projection import keep_successful, merge_defaults, normalize_records, validate_batch
-from tabwright.operators.scoring import score, score_explain
+from tabwright.operators.scoring import batch_response, numbered, score, score_explain
 from tabwright.plans.training import SavedModel
-from tabwright.sources.readers import read_batch_csv, read_json_batches
+from tabwright.sources.readers import read_batch_csv, read_json_batches, with_position
 from tabwright.sources.sinks import write_csv
 
 
@@ -36,13 +36,13 @@ def score_frame(
     return ScoredBatch(scored, keep_successful(scored), score_summary(scored), check)
 
 
-def score_csv(spark: SparkSession, source: str, target: str | None, model: SavedModel, max_rows: int | None = None) -> ScoredBatch:
-    records = read_batch_csv(spark, source)
-    # Scoring is row-wise: rows stay in their partition and in file order, so
-    # the result files follow the input without a sort.
-    batch = score_frame(records, model, max_rows)
+def score_csv(spark: SparkSession, source: str, target: str | None, model: SavedModel, max_rows: int | None = None, keep=()) -> ScoredBatch:
+    """Score a CSV file.  Every input row has a result row with its number in the input, the columns named in ``keep``, and the
+    reason where it has no price."""
+    records = with_position(read_batch_csv(spark, source))
+    batch = score_frame(records, model, max_rows, keep=["position", *keep])
     if target is not None:
-        write_csv(batch.successful.drop("error"), target)
+        write_csv(numbered(batch.scored, "position", keep, errors=True), target)
     return batch
 
 
@@ -53,5 +53,11 @@ def score_json(spark: SparkSession, source: str, model: SavedModel, explain: boo
     return score(records, model.pipeline, model.expected, model.name, ["source", "position"])
 
 
+def write_json_responses(scored: DataFrame, path: str) -> None:
+    """One JSON response per request body: its predictions in input order and how many records it had."""
+    response = batch_response(scored, "position", ["source"])
+    response.select(F.to_json(F.struct("source", "predictions", "total_processed")).alias("value")).write.mode("overwrite").text(path)
+
+
 def score_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:
     return histogram(scored.filter(col("error").isNull()), "predicted_price", bins)

@@ -22,7 +22,7 @@ from tabwright.operators.imputers import ImputerModel, SanitizerModel
 from tabwright.operators.lookup import most_frequent
 from tabwright.operators.profile import missing_counts
 from tabwright.operators.projection import feature_columns
-from tabwright.operators.quantiles import approx_quantiles, exact_quantiles
+from tabwright.operators.quantiles import exact_quantiles
 from tabwright.operators.scaling import QuantileNormalModel
 from tabwright.operators.stage import StageTransformer, param
 
@@ -85,7 +85,7 @@ def fit_feature_space(
     encoder = TargetEncoder(
         cols=[c for c in config.target_encoded if c in categorical], labelCol=label, alpha=config.smoothing
     ).fit(pooled)
-    medians, knots = _numeric_quantiles(df, complete, partial, rows, present, config)
+    medians, knots = _numeric_quantiles(df, complete, partial, rows, config)
     fills = {**_modes(df, ordinal), **{c: v for c, v in medians.items() if v is not None}}
 
     stages += [flags, pooler, encoder, ImputerModel(fills=fills, numeric=list(medians))]
@@ -117,19 +117,13 @@ def _modes(df: DataFrame, ordinal) -> dict:
     return {c: v for c, v in most_frequent(df, ordinal).items() if v is not None}
 
 
-def _numeric_quantiles(df, complete, partial, rows, present, config):
+def _numeric_quantiles(df, complete, partial, rows, config):
     """Medians of all numeric columns, and the quantile knots of complete ones."""
     n = max(2, min(config.n_quantiles, rows))
     grid = [i / (n - 1) for i in range(n)]
     clean = nan_columns_to_null(df.select(*[col(c) for c in complete + partial]))
-    exact = rows <= config.quantile_exact_rows
-    probs = {c: [0.5, *grid] if exact else [0.5] for c in complete} | {c: [0.5] for c in partial}
-    limit = {"single_pass_cells": max(rows * len(probs), 1)} if exact else {}
-    found = exact_quantiles(clean, probs, counts={c: present[c] for c in probs}, **limit)
-    medians = {c: v[0] for c, v in found.items()}
-    if exact:
-        return medians, {c: found[c][1:] for c in complete}
-    return medians, approx_quantiles(clean, {c: grid for c in complete}) if complete else {}
+    found = exact_quantiles(clean, {c: [0.5, *grid] for c in complete} | {c: [0.5] for c in partial})
+    return {c: v[0] for c, v in found.items()}, {c: found[c][1:] for c in complete}
 
 
 def one_hot_from_pool(pooler: RarePoolerModel, rows: int) -> OneHotLevelsModel | None:
@@ -174,7 +168,3 @@ def expected_columns(model: PipelineModel) -> dict[str, str]:
         if kind in ("ordinal", "numeric_complete", "numeric_missing")
     }
     return expected
-
-
-def uses_domain_features(model: PipelineModel) -> bool:
-    return any(isinstance(s, DomainFeaturesModel) for s in flat_stages(model))

@@ -22,6 +22,7 @@ from tabwright.operators.projection import (
     validate_batch,
     validation_error,
 )
+from tabwright.operators.quantiles import exact_quantiles
 from tabwright.operators.scoring import batch_response, check_records, numbered, with_prediction_result
 from tabwright.operators.split import add_folds, exact_split, hash_split
 from tabwright.plans.registry import query
@@ -255,16 +256,74 @@ def corr_matrix(spark, sf_dir):
 
 @query("corr_matrix_wide", f"WITH {SALES_SQL} SELECT * FROM ({_corr_sql(SALES_NUMERIC)}) WHERE a < b")
 def corr_matrix_wide(spark, sf_dir):
-    """The same matrix by masked cross products, as used for wide tables."""
-    out = profile._corr_by_moments(kept_sales(spark, sf_dir, SALES_NUMERIC), SALES_NUMERIC)
-    first = F.col("a") < F.col("b")
-    return out.select(
-        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"),
-        F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"),
-        rounded(F.col("corr")).alias("corr"),
+    """Many columns, each pair once."""
+    out = profile.correlation_matrix(kept_sales(spark, sf_dir, SALES_NUMERIC), SALES_NUMERIC).filter("a < b")
+    return out.withColumn("corr", rounded(F.col("corr")))
+
+
+EDGE_SQL = """edge AS (SELECT o_totalprice AS x, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey::DOUBLE END AS y,
+    3.0::DOUBLE AS constant, NULL::DOUBLE AS nothing FROM orders)"""
+
+
+def edge(spark, sf_dir):
+    """A plain column, one with NaN, a constant one and an empty one."""
+    y = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_custkey").cast("double"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_totalprice").alias("x"), y.alias("y"), F.lit(3.0).alias("constant"), F.lit(None).cast("double").alias("nothing")
     )
 
 
+@query(
+    "corr_edges",
+    f"""WITH {EDGE_SQL}, n AS (SELECT unnest(['x', 'y', 'constant', 'nothing']) AS c), r AS (SELECT round(corr(x, y), 6) AS xy FROM edge)
+    SELECT a.c AS a, b.c AS b, CASE WHEN a.c IN ('x', 'y') AND b.c IN ('x', 'y') THEN CASE WHEN a.c = b.c THEN 1.0 ELSE xy END END AS corr
+    FROM n AS a CROSS JOIN n AS b CROSS JOIN r""",
+)
+def corr_edges(spark, sf_dir):
+    """No correlation with a constant or an empty column; NaN is missing."""
+    return profile.correlation_matrix(edge(spark, sf_dir)).withColumn("corr", F.round("corr", 6))
+
+
+@query(
+    "describe_edges",
+    f"WITH {EDGE_SQL} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min,
+        round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q75, max({c}) AS max FROM edge"""
+        for c in ("x", "y", "constant", "nothing")
+    ),
+)
+def describe_edges(spark, sf_dir):
+    out = profile.describe(edge(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "median", "q75")})
+
+
+@query(
+    "quantiles_many_rows",
+    """SELECT unnest([0.0, 0.1, 0.5, 0.99, 1.0]) AS p, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.99, 1.0])), 6) AS price,
+    unnest(quantile_cont(l_quantity, [0.0, 0.1, 0.5, 0.99, 1.0])) AS quantity FROM lineitem""",
+)
+def quantiles_many_rows(spark, sf_dir):
+    """Exact quantiles of a column with many values and of one with few, by the same steps at any size."""
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    found = exact_quantiles(table(spark, sf_dir, "lineitem"), {"l_extendedprice": probs, "l_quantity": probs})
+    rows = list(zip(probs, found["l_extendedprice"], found["l_quantity"]))
+    return spark.createDataFrame(rows, "p double, price double, quantity double").withColumn("price", F.round("price", 6))
+
+
+CODES_SQL = "codes AS (SELECT p_partkey AS id, (p_partkey % 7)::VARCHAR || CASE WHEN p_partkey % 5 = 0 THEN 'F' ELSE 'D' END AS code, p_size AS size FROM part)"
+
+
+@query("csv_codes_stay_text", f"WITH {CODES_SQL} SELECT id, code, size::BIGINT AS size FROM codes")
+def csv_codes_stay_text(spark, sf_dir):
+    """Codes such as 1F and 2D are text, not numbers."""
+    suffix = F.when(F.col("p_partkey") % 5 == 0, "F").otherwise("D")
+    codes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat((F.col("p_partkey") % 7).cast("string"), suffix).alias("code"), F.col("p_size").alias("size"))
+    path = scratch_path(spark, "codes")
+    write_csv(codes, path)
+    return read_training_csv(spark, path)
+
+
 @query(
     "group_count_mean",
     f"""WITH {SALES_SQL} SELECT "Electrical", count("SalePrice") AS count, round(avg("SalePrice"), 3) AS mean

@@ -21,7 +21,7 @@ from tabwright.operators.projection import separate_target
 from tabwright.operators.ranking import final_ranking, rank_models, top_models
 from tabwright.operators.split import add_folds, exact_split, hash_split
 from tabwright.plans.feature_space import expected_columns, feature_names, fit_feature_space
-from tabwright.session import apply_runtime_settings, materialize, spread
+from tabwright.session import apply_runtime_settings, materialize
 from tabwright.sources.sinks import RunLog, model_card, write_csv, write_model_card, write_table
 
 LABEL = "label"
@@ -101,7 +101,7 @@ def train_model(
     spark = apply_runtime_settings(df.sparkSession)
     log = RunLog(spark, None if output is None else f"{output}/run_metrics", "training")
     # Every feature stage reads the rows again: keep them once, with their split.
-    prepared = prepare(spread(df, table.row_id), table, test_size, seed, exact_test_size, k)
+    prepared = prepare(df, table, test_size, seed, exact_test_size, k)
     data = materialize(prepared, "training") if storage == "table" else prepared.persist(StorageLevel.MEMORY_AND_DISK)
     for r in target_summary(data, LABEL).collect():
         log.metrics(**{f"{r['split']}_size": r["n"], f"{r['split']}_mean": r["mean"], f"{r['split']}_std": r["std"]})

@@ -58,22 +58,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a table that has fewer input splits than the cluster has
-    cores, so that expensive row work uses all of them.  A large table has more
-    splits and is left as it is: no shuffle."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 << 20
-    total = 0
-    for name in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-        if total >= cores * split:
-            return df
-    return df.repartition(cores, f"`{key}`") if total else df
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and
     the rows outlive a lost executor."""

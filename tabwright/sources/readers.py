@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tabwright import config
-from tabwright.functions.nulls import col, nan_columns_to_null, tokens_to_null
+from tabwright.functions.nulls import col, nan_columns_to_null, text_to_double, tokens_to_null
 from tabwright.operators.projection import enforce_schema
 
 
+WHOLE = r"^\s*[+-]?\d+\s*$"
+
+
 def request_schema(fields: dict[str, str] | None = None) -> T.StructType:
     kinds = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
     return T.StructType([T.StructField(c, kinds[k], True) for c, k in (fields or config.REQUEST_FIELDS).items()])
@@ -26,8 +29,9 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not names:
         return {}
-    bad = lambda c, kind: F.count_if(col(c).isNotNull() & col(c).try_cast(kind).isNull())
-    row = df.agg(*[bad(c, "bigint") for c in names], *[bad(c, "double") for c in names], *[F.count(col(c)) for c in names]).first()
+    bad = lambda c, value: F.count_if(col(c).isNotNull() & value.isNull())
+    whole = [bad(c, F.when(col(c).rlike(WHOLE), col(c).try_cast("bigint"))) for c in names]
+    row = df.agg(*whole, *[bad(c, text_to_double(col(c))) for c in names], *[F.count(col(c)) for c in names]).first()
     n = len(names)
     out = {}
     for i, c in enumerate(names):
@@ -45,7 +49,32 @@ def read_training_csv(spark: SparkSession, path: str, fields: dict[str, str] | N
     types = infer_types(text) if fields is None else {c: k for c, k in fields.items() if c in text.columns}
     rest = infer_types(text.select(*[col(c) for c in text.columns if c not in types])) if fields is not None else {}
     types = {**types, **rest}
-    return text.select(*[col(c).try_cast(types.get(c, "string")).alias(c) for c in text.columns])
+    return text.select(*[typed(c, types.get(c, "string")).alias(c) for c in text.columns])
+
+
+def typed(name: str, kind: str) -> Column:
+    """A text column as ``kind``; text that is no number of that kind becomes NULL."""
+    if kind == "string":
+        return col(name)
+    return F.when(text_to_double(col(name)).isNotNull(), col(name).try_cast(kind))
+
+
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a file table from 0 in the order of its splits.  Rows are counted by split first; the table of splits is
+    small, and no row moves."""
+    row = free_name(df, "_row")
+    placed = df.withColumn(row, F.monotonically_increasing_id())
+    split, place = F.shiftright(row, 33), col(row).bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(split.alias("_split")).agg(F.count(F.lit(1)).alias("_rows"))
+    first = F.coalesce(F.sum("_rows").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_split", first.alias("_first"))
+    return placed.join(starts, split == F.col("_split")).withColumn(name, place + F.col("_first")).drop(row, "_split", "_first")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def read_batch_csv(spark: SparkSession, path: str, fields: dict[str, str] | None = None, na_tokens=config.NA_TOKENS) -> DataFrame:

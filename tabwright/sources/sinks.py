@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright import config
@@ -19,35 +20,39 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 class ResultCache:
     """Tables by key under one folder, each with a metadata row."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _row(self, key: str):
+        try:
+            return self.spark.read.parquet(f"{self.root}/{key}/metadata").first()
+        except AnalysisException:  # no such folder, or nothing in it yet
+            return None
+
     def exists(self, key: str) -> bool:
-        # The metadata is written last, so a half-written table does not count.
-        return _exists(self.spark, f"{self.root}/{key}/metadata/_SUCCESS")
+        return self._row(key) is not None
 
     def save(self, df: DataFrame, key: str, metadata: dict | None = None) -> None:
-        write_table(df, f"{self.root}/{key}/table")
-        row = self.spark.createDataFrame([(key, json.dumps(metadata or {}))], "cache_key string, metadata string")
+        """Each save writes a folder of its own; the metadata, written last, names the one that counts."""
+        version = uuid.uuid4().hex
+        write_table(df, f"{self.root}/{key}/table-{version}")
+        row = self.spark.createDataFrame([(key, json.dumps(metadata or {}), version)], "cache_key string, metadata string, version string")
         write_table(row.withColumn("created_at", F.current_timestamp()), f"{self.root}/{key}/metadata")
 
     def load(self, key: str) -> tuple[DataFrame | None, dict | None]:
-        if not self.exists(key):
+        row = self._row(key)
+        if row is None:
             return None, None
-        row = self.spark.read.parquet(f"{self.root}/{key}/metadata").first()
         meta = {**json.loads(row["metadata"]), "cache_key": key, "created_at": row["created_at"]}
-        return self.spark.read.parquet(f"{self.root}/{key}/table"), meta
+        return self.spark.read.parquet(f"{self.root}/{key}/table-{row['version']}"), meta
 
     def read_or_compute(self, key: str, compute, metadata: dict | None = None) -> DataFrame:
-        if not self.exists(key):
+        """The table of ``key``, computed if there is none or if it was saved for other metadata."""
+        row = self._row(key)
+        if row is None or json.loads(row["metadata"]) != json.loads(json.dumps(metadata or {})):
             self.save(compute(), key, metadata)
         return self.load(key)[0]
 
@@ -95,7 +100,6 @@ def model_card(
             "target_encoder_alpha": table.smoothing,
             "rare_pooler_min_count": table.rare_min_count,
             "quantile_transformer_n_quantiles": table.n_quantiles,
-            "quantile_transformer_exact_rows": table.quantile_exact_rows,
             "imputation_strategy_categorical": "most_frequent",
             "imputation_strategy_numerical": "median",
         },

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tabwright.operators.scoring import score
-from tabwright.sources.readers import explode_batches, request_schema
-from tabwright.session import scratch_path
+from tabwright.sources.readers import request_schema
 
 
 def read_request_stream(spark: SparkSession, path: str, fmt: str = "json", schema=None, max_files: int | None = None) -> DataFrame:
@@ -20,22 +19,19 @@ def read_request_stream(spark: SparkSession, path: str, fmt: str = "json", schem
     return reader.load(path)
 
 
-def read_batch_request_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Files of JSON batches, one body per line, exploded to records."""
-    return explode_batches(spark.readStream.text(path), "value")
-
-
 def score_stream(requests: DataFrame, model: PipelineModel, expected: dict[str, str], model_name: str, keep=(), **checks) -> DataFrame:
     return score(requests, model, expected, model_name, keep, **checks)
 
 
 def write_scores(scored: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Parquet sink; progress and file log make each row appear once even if
-    executors or the driver are lost."""
+    executors or the driver are lost.  Progress is kept below the sink unless another
+    folder is given: both logs number the same batches, so a later start with the same
+    sink goes on after the last one."""
     writer = (
         scored.writeStream.format("parquet")
         .option("path", path)
-        .option("checkpointLocation", checkpoint or scratch_path(scored.sparkSession, "stream"))
+        .option("checkpointLocation", checkpoint or f"{path.rstrip('/')}/_progress")
         .outputMode("append")
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -17,7 +17,7 @@ from tabwright.operators.projection import keep_successful
 from tabwright.operators.ranking import best_model, final_ranking, rank_models, top_models
 from tabwright.operators.scoring import batch_response, score, score_explain
 from tabwright.operators.split import add_folds
-from tabwright.plans.batch_scoring import score_csv, score_frame, score_histogram, score_json
+from tabwright.plans.batch_scoring import score_csv, score_frame, score_histogram, score_json, write_json_responses
 from tabwright.plans.training import load_model, train_model
 from tabwright.sources.sinks import write_csv
 from tabwright.streaming.score_stream import read_request_stream, score_stream, write_scores
@@ -237,12 +237,18 @@ def test_bad_rows_do_not_stop_a_batch(spark, trained):
 
 def test_csv_and_json_jobs(spark, trained, tmp_path):
     _, _, saved = trained
-    (tmp_path / "in.csv").write_text("LotArea,OverallQual,1stFlrSF,Bedrooms\n8450,7,856,3\n9600,8,NA,4\n")
-    score_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), saved)
-    out = spark.read.option("header", True).csv(str(tmp_path / "out"))
-    assert out.columns == ["predicted_price", "confidence", "model_name"] and out.count() == 2
+    (tmp_path / "in.csv").write_text("Ref,LotArea,OverallQual,1stFlrSF,Bedrooms\nr1,8450,7,856,3\nr2,wide,8,NA,4\nr3,9600,8,NA,4\n")
+    score_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), saved, keep=["Ref"])
+    out = spark.read.option("header", True).csv(str(tmp_path / "out")).orderBy("No").collect()
+    assert list(out[0].asDict()) == ["No", "Ref", "Predicted Price", "Confidence", "Model", "Error"]
+    assert [(r["No"], r["Ref"], bool(r["Predicted Price"]), r["Error"]) for r in out] == [
+        ("1", "r1", True, None), ("2", "r2", False, "LotArea is not int"), ("3", "r3", True, None)
+    ]
     (tmp_path / "b.json").write_text(json.dumps({"houses": [{"LotArea": 8450, "FirstFlrSF": 856}, {"LotArea": "?"}]}))
     rows = score_json(spark, str(tmp_path / "b.json"), saved, explain=True, top_k=3).orderBy("position").collect()
+    write_json_responses(score_json(spark, str(tmp_path / "b.json"), saved), str(tmp_path / "responses"))
+    answers = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "responses")).collect()]
+    assert [(len(a["predictions"]), a["total_processed"]) for a in answers] == [(1, 2)]
     assert len(rows[0]["explanations"]) == 3 and rows[1]["explanations"] is None and rows[1]["error"] == "LotArea is not int"
 
 
@@ -271,3 +277,38 @@ def test_parts_kept_as_a_table_give_the_same_scores(points):
 def test_write_csv_has_headers(spark, tmp_path):
     write_csv(spark.range(2), str(tmp_path / "x"))
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).columns == ["id"]
+
+
+def test_both_solvers_give_the_same_ridge(spark):
+    from tabwright.operators.models import LabelStats, build
+
+    rows = spark.range(400).select((F.rand(1) * 5).alias("a"), (F.rand(2) * 5).alias("b"), F.randn(3).alias("e"))
+    rows = rows.withColumn("label", 3 * F.col("a") - F.col("b") + F.col("e")).cache()
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    stats = LabelStats(400, rows.agg(F.stddev_pop("label")).first()[0])
+    normal, other = (build("ridge", {"alpha": 30.0, "solver": s}, stats, 2).fit(data) for s in ("normal", "l-bfgs"))
+    assert list(other.coefficients) == pytest.approx(list(normal.coefficients), rel=1e-6)
+
+
+def test_trees_deeper_than_possible_are_refused():
+    from tabwright.operators.models import LabelStats, build
+
+    with pytest.raises(ValueError):
+        build("forest", {"n_estimators": 2, "max_depth": 31}, LabelStats(10, 1.0), 2)
+
+
+def test_long_level_tables_score_rows_with_maps_and_missing_keys(spark, monkeypatch):
+    from tabwright.operators import lookup
+    from tabwright.operators.encoders import TargetEncoder
+
+    train = spark.range(900).select((F.col("id") % 300).cast("string").alias("c"), F.rand(1).alias("label"))
+    new = spark.range(600).select(F.when(F.col("id") % 3 == 0, (F.col("id") % 400).cast("string")).alias("c"), F.create_map(F.lit("k"), F.lit("v")).alias("m"), "id")
+    want = {}
+    for bound in (lookup.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", bound)
+        model = TargetEncoder(cols=["c"]).fit(train)
+        want[bound] = {r["id"]: r["TE_c"] for r in model.transform(new).collect()}
+    first, second = want.values()
+    assert first == second and len(first) == 600

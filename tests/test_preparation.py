@@ -137,7 +137,6 @@ def test_json_batch_isolates_bad_records(spark, tmp_path):
     rows = readers.read_json_batches(spark, str(tmp_path / "b.json")).orderBy("position").collect()
     assert [r["LotArea"] for r in rows] == [100, None, None]
     assert [r["error"] for r in rows] == [None, "LotArea is not int", None]
-    assert p.unknown_columns(spark.createDataFrame([(1, 2)], "Bedrooms int, LotArea int")) == ["Bedrooms"]
 
 
 def test_cache_computes_once(spark, tmp_path):
@@ -159,3 +158,35 @@ def test_run_log_keeps_the_parent(spark, tmp_path):
     child.metrics(rmse=1.5)
     row = sinks.RunLog.read(spark, str(tmp_path / "log")).first()
     assert (row["parent_id"], row["run_name"], row["key"], row["value"]) == (log.run_id, "inner", "rmse", "1.5")
+
+
+def test_numbers_in_text(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("Id,code,n,x\n1,1F,7,1e3\n2,2D,-8,.5\n3,5d,9,NA\n")
+    df = readers.read_training_csv(spark, str(tmp_path / "t.csv")).orderBy("Id")
+    assert dict(df.dtypes) == {"Id": "bigint", "code": "string", "n": "bigint", "x": "double"}
+    assert [r["code"] for r in df.collect()] == ["1F", "2D", "5d"]
+    checked = p.enforce_schema(spark.createDataFrame([("5d",), ("-2147483648",), ("2147483648",)], "LotArea string"), {"LotArea": "int"}).collect()
+    assert [r["LotArea"] for r in checked] == [None, -2147483648, None] and [bool(r["error"]) for r in checked] == [True, False, True]
+
+
+def test_rows_are_numbered_in_the_order_of_the_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a\n" + "".join(f"{i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.with_position(spark.read.option("header", True).csv(str(tmp_path / "t.csv"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(int(r["a"]) == r["position"] for r in rows) and len(rows) == 5000
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from tabwright.streaming.score_stream import write_scores
+
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for start in (0, 5):
+        spark.range(start, start + 5).write.mode("append").parquet(source)
+        write_scores(spark.readStream.schema("id bigint").parquet(source), sink).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(10))
