@@ -7,7 +7,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -322,10 +322,8 @@ def feature_importance(model, names: DataFrame, top: int | None = 10) -> DataFra
 
 
 def mean_abs_shap(df: DataFrame, slots, shap: str = "shap") -> DataFrame:
+    """Mean absolute contribution of each slot: one sum per slot and task, no row is expanded."""
     names = F.lit([s["name"] for s in slots])
-    return (
-        df.select(F.posexplode(shap).alias("idx", "value"))
-        .groupBy("idx")
-        .agg(F.avg(F.abs("value")).alias("importance"))
-        .select(F.get(names, F.col("idx")).alias("name"), "importance")
-    )
+    means = df.select(array_to_vector(F.transform(shap, F.abs)).alias("v")).agg(Summarizer.mean(F.col("v")).alias("m"))
+    each = means.filter("m IS NOT NULL").select(F.posexplode(vector_to_array("m")).alias("idx", "importance"))
+    return each.select(F.get(names, F.col("idx")).alias("name"), "importance")

@@ -50,21 +50,21 @@ def predictions_report(df: DataFrame, label: str = "label", prediction: str = "p
     )
 
 
-def residual_statistics(df: DataFrame, label: str = "label", prediction: str = "prediction", **limits) -> DataFrame:
+def residual_statistics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """mean, population std, min, max and quartiles of label - prediction."""
-    return _report(df, label, prediction, None, limits).select("residuals.*")
+    return _report(df, label, prediction, None).select("residuals.*")
 
 
 def model_report(
-    df: DataFrame, model_name: str = "Model", label: str = "label", prediction: str = "prediction", **limits
+    df: DataFrame, model_name: str = "Model", label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    return _report(df, label, prediction, model_name, limits)
+    return _report(df, label, prediction, model_name)
 
 
-def _report(df, label, prediction, model_name, limits) -> DataFrame:
+def _report(df, label, prediction, model_name) -> DataFrame:
     y, p = col(label).cast("double"), col(prediction)
     errors = df.select(y.alias("y"), p.alias("p"), (y - p).alias("r"))
-    q25, median, q75 = exact_quantiles(errors, {"r": [0.25, 0.5, 0.75]}, **limits)["r"]
+    q25, median, q75 = exact_quantiles(errors, {"r": [0.25, 0.5, 0.75]})["r"]
     r = F.col("r")
     return errors.agg(
         F.struct(*[c.alias(k) for k, c in metric_columns(F.col("y"), F.col("p")).items()]).alias("metrics"),

@@ -13,9 +13,9 @@ from tabwright import config as defaults
 from tabwright.config import TableConfig
 from tabwright.functions.nulls import col
 from tabwright.operators.evaluate import evaluate_models, fit_part, make_part, prepare_folds, tune_models
-from tabwright.operators.explain import Explainer
-from tabwright.operators.metrics import predictions_report, regression_metrics
-from tabwright.operators.models import base_models
+from tabwright.operators.explain import Explainer, feature_importance, mean_abs_shap
+from tabwright.operators.metrics import model_report, predictions_report, regression_metrics
+from tabwright.operators.models import TREE_KINDS, base_models
 from tabwright.operators.profile import target_summary
 from tabwright.operators.projection import separate_target
 from tabwright.operators.ranking import final_ranking, rank_models, top_models
@@ -31,6 +31,11 @@ DOMAIN_FEATURES = [
 ]
 
 
+# --- fixed values: models to tune, in this order, when no comparison has ranked them ---
+UNRANKED_ORDER = ("XGB", "Cat", "LGBM", "RF", "Ridge")
+# --- end of fixed values ---
+
+
 @dataclass
 class TrainedModel:
     name: str
@@ -128,7 +133,7 @@ def train_model(
             top = top_models(results, top_models_to_tune)
             log.child("baseline").params(top=top)
         else:
-            top = [m for m in ("XGB", "Cat", "LGBM", "RF", "Ridge") if m in models][:top_models_to_tune]
+            top = [m for m in UNRANKED_ORDER if m in models][:top_models_to_tune]
         if run_tuning:
             tuned, trials = tune_models(top, parts, n_trials, seed, models, spaces, LABEL, parallelism)
         if tuned:
@@ -159,6 +164,12 @@ def train_model(
     if output is not None:
         trained.save(output)
         write_table(trained.report, f"{output}/predictions")
+        write_table(model_report(predicted, name, LABEL), f"{output}/model_report")
+        if kind in TREE_KINDS:
+            write_table(feature_importance(model, names, top=None), f"{output}/importance")
+        else:
+            explained = trained.explainer.explain(model.transform(final.train))
+            write_table(mean_abs_shap(explained, trained.explainer.slots()), f"{output}/importance")
         if results is not None:
             write_csv(rank_models(results), f"{output}/baseline_results")
             write_csv(ranking, f"{output}/final_ranking")
