@@ -163,20 +163,23 @@ def sketch(text) -> F.Column:
     return F.arrow_udf(run, SKETCH)(text_or_empty(text))
 
 
-def multiset(text) -> F.Column:
-    """Struct of the digest of a text's words and of its shingles as bytes: sorted hashes, then their numbers."""
+def multiset(text: F.Column, digest: F.Column) -> F.Column:
+    """Shingles of a text as bytes, sorted hashes, then their numbers; null where the digest of its words is another.  The comparison
+    is made in here, as a condition on the digest would be a join key, and all texts would be cut into shingles for it."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            digests, sets = [], []
-            for part in pieces(texts):
-                for value in map(normal, part.to_pylist()):
-                    digests.append(xxhash.xxh3_128_digest(value) if value else None)
-                    _, hashes, counts = shingles([value]) if value else (None, np.zeros(0, "<u8"), np.zeros(0))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, digests in batches:
+            sets = []
+            for value, wanted in zip(texts, digests):
+                value = normal(value.as_py())
+                if value and xxhash.xxh3_128_digest(value) == wanted.as_py():
+                    _, hashes, counts = shingles([value])
                     sets.append(hashes.tobytes() + counts.astype("<u4").tobytes())
-            yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+                else:
+                    sets.append(None)
+            yield pa.array(sets, pa.binary())
 
-    return F.arrow_udf(run, "struct<digest: binary, shingles: binary>")(text_or_empty(text))
+    return F.arrow_udf(run, "binary")(text_or_empty(text), digest)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -252,8 +255,8 @@ class NearDuplicates:
         wanted = near.select("node").union(near.select("hub")).distinct()
         wanted = self.keep(self.nodes.join(self.small(wanted), "node", "left_semi").select("node", F.col("id").alias("its_id"), F.col("digest").alias("its_digest")), "wanted")
         texts = self.docs.join(self.small(wanted), F.col("id").eqNullSafe(F.col("its_id")))
-        sets = texts.select("node", "its_digest", multiset("text").alias("m")).filter("m.digest = its_digest")
-        sets = self.keep(sets.groupBy("node").agg(F.first("m.shingles").alias("shingles")), "sets")
+        sets = texts.select("node", multiset(F.col("text"), F.col("its_digest")).alias("shingles")).filter("shingles is not null")
+        sets = self.keep(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         both = near.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")), "hub")
         alike = similarity(F.col("shingles"), F.col("other"))
         return self.keep(both.select("node", "hub", alike.alias("alike")).filter(F.col("alike") >= self.threshold).select("node", "hub"), "links")
