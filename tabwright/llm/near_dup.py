@@ -8,9 +8,11 @@ Points are made in order of time and only up to a limit at which all components
 
 Bands of components are candidate buckets.  Texts with equal words are one node from the start.  In each bucket every node
 is compared with one hub, so a bucket of n nodes gives n pairs; links give classes.  A bucket whose nodes are then in several
-classes is gone over with other hubs, and at the end the nodes outside its main class are compared with all nodes of other
-classes in it, so no pair that shares a bucket and could join two classes is left out.  A comparison looks at the signatures
-first (more than six standard deviations below the threshold is out), then at the whole multisets.
+classes is gone over with another hub.  What is left open is settled without pairs of a whole bucket: two texts that are similar
+enough share one of their rarest shingles, those that come first in a common order and weigh just more than the texts may
+differ by.  The nodes outside the main class of their bucket are compared with the open nodes of other classes that share such a
+shingle, so no pair that could join two classes is left out.  A comparison looks at the signatures first (more than six
+standard deviations below the threshold is out), then at the whole multisets.
 
 Defined cases: a text of one to four words is one shingle; a null text, or one without a word, is in a class of its own; an
 empty table gives an empty result; rows with the same id keep their own classes; a class is named by its smallest id.
@@ -36,8 +38,10 @@ BANDS, ROWS = 42, 6
 COMPONENTS = BANDS * ROWS
 #: Rows of a table of nodes that may be sent to all executors (about 50 bytes each); beyond it the join shuffles.
 SENT_ROWS = 200_000
-#: Passes with other hubs before the rest is compared in full.
-HUB_PASSES = 3
+#: Passes with hubs before the rest is settled by rare shingles.
+HUB_PASSES = 2
+#: Slots that count shingles, and the least count in a task and in all that makes a slot frequent.  They only shape the order.
+SLOTS, OFTEN_IN_TASK, OFTEN = 1 << 22, 2, 8
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 44) - 1)
@@ -182,6 +186,46 @@ def multiset(text: F.Column, digest: F.Column) -> F.Column:
     return F.arrow_udf(run, "binary")(text_or_empty(text), digest)
 
 
+def frequent_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of shingles that many of ``sets`` hold, and how many; at most ``SLOTS``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for data in batch.column("shingles"):
+                np.add.at(total, (unpacked(data.as_py())[0] % np.uint64(SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(total >= OFTEN_IN_TASK)
+        for start in range(0, len(slots), 50_000):
+            part = slots[start : start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["slot", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= OFTEN).orderBy("slot").toPandas()
+    return found["slot"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def rarest(sets: F.Column, frequent: tuple[np.ndarray, np.ndarray], threshold: float, spark) -> F.Column:
+    """The first shingles of each set, by how frequent their slot is, then by hash, until they weigh more than two sets may differ by."""
+    shared = spark.sparkContext.broadcast(frequent)
+
+    def first(data: bytes) -> np.ndarray:
+        hashes, counts = unpacked(data)
+        slots, often = shared.value
+        slot = (hashes % np.uint64(SLOTS)).astype(np.int64)
+        at = np.minimum(np.searchsorted(slots, slot), max(len(slots) - 1, 0))
+        rank = np.where(slots[at] == slot, often[at], 0) if len(slots) else np.zeros(len(hashes), np.int64)
+        order = np.lexsort((hashes, rank))
+        weight = int(counts.sum())
+        before = np.cumsum(counts[order]) - counts[order]
+        return hashes[order][before <= weight - int(np.ceil(threshold * weight - 1e-9))].astype(np.int64)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for data in batches:
+            yield pa.array([first(d.as_py()) for d in data], pa.list_(pa.int64()))
+
+    return F.arrow_udf(run, "array<bigint>")(sets)
+
+
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 12
     return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
@@ -246,17 +290,22 @@ class NearDuplicates:
         self.members = self.keep(bands.join(ends.select("band", "hub"), "band"), "members")
         self.links = None
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct (node, hub) pairs those whose texts are similar enough."""
+    def multisets(self, nodes: DataFrame) -> DataFrame:
+        """Shingles of the nodes: node, shingles."""
+        wanted = self.nodes.join(self.small(nodes), "node", "left_semi").select("node", F.col("id").alias("its_id"), F.col("digest").alias("its_digest"))
+        wanted = self.keep(wanted, "wanted")
+        texts = self.docs.join(self.small(wanted), F.col("id").eqNullSafe(F.col("its_id")))
+        sets = texts.select("node", multiset(F.col("text"), F.col("its_digest")).alias("shingles")).filter("shingles is not null")
+        return self.keep(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Of distinct (node, hub) pairs those whose texts are similar enough; ``sets`` are their shingles, if there already."""
         pairs = self.keep(pairs.distinct(), "pairs")
         sketches = self.nodes.select("node", "sketch")
         both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), "hub")
         near = self.keep(both.filter(agree(F.col("sketch"), F.col("other")) >= self.least_agreeing).select("node", "hub"), "near")
-        wanted = near.select("node").union(near.select("hub")).distinct()
-        wanted = self.keep(self.nodes.join(self.small(wanted), "node", "left_semi").select("node", F.col("id").alias("its_id"), F.col("digest").alias("its_digest")), "wanted")
-        texts = self.docs.join(self.small(wanted), F.col("id").eqNullSafe(F.col("its_id")))
-        sets = texts.select("node", multiset(F.col("text"), F.col("its_digest")).alias("shingles")).filter("shingles is not null")
-        sets = self.keep(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        if sets is None:
+            sets = self.multisets(near.select("node").union(near.select("hub")).distinct())
         both = near.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")), "hub")
         alike = similarity(F.col("shingles"), F.col("other"))
         return self.keep(both.select("node", "hub", alike.alias("alike")).filter(F.col("alike") >= self.threshold).select("node", "hub"), "links")
@@ -294,14 +343,20 @@ class NearDuplicates:
             hubs = opened.groupBy("band").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("hub"), F.col("label").alias("its"))).alias("h")).select("band", "h.hub", "h.its")
             labels = self.more(opened.join(hubs, "band").filter("label != its"), labels)
         self.members = opened = self.open_members(labels)
+        if opened.isEmpty():
+            return labels
         sizes = opened.groupBy("band", "label").count()
         main = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = opened.join(main, "band").filter("label != main").select("band", F.col("node").alias("hub"), F.col("label").alias("its"))
-        return self.more(opened.join(outside, "band").filter("label != its"), labels)
-
-    def more(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        outside = opened.join(main, "band").filter("label != main").select("node").distinct()
+        sets = self.multisets(opened.select("node").distinct())
+        first = sets.select("node", F.explode(rarest(F.col("shingles"), frequent_slots(sets), self.threshold, self.spark)).alias("shingle"))
+        first = self.keep(first.join(opened.select("node", "label").distinct(), "node"), "rarest")
+        theirs = first.join(self.small(outside), "node", "left_semi").select("shingle", F.col("node").alias("hub"), F.col("label").alias("its"))
+        return self.more(first.join(theirs, "shingle").filter("label != its"), labels, sets)
+
+    def more(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         fresh = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).filter("node != hub")
-        found = self.verified(fresh)
+        found = self.verified(fresh, sets)
         if found.isEmpty():
             return labels
         self.links = self.keep(self.links.union(found).distinct(), "links")
