@@ -26,9 +26,11 @@ from tabwright.operators.metrics import (
 from tabwright.operators.models import build, label_stats
 from tabwright.operators.ranking import best_model, final_ranking, rank_models
 from tabwright.operators.scaling import PopulationScaler, QuantileNormal
+from tabwright.operators.scoring import score, score_explain
 from tabwright.operators.split import add_folds, hash_split
 from tabwright.plans.feature_space import feature_names, fit_feature_space
 from tabwright.plans.registry import query
+from tabwright.plans.training import load_model, train_model
 from tabwright.plans.views import (
     PARTS_SQL,
     SALES_SQL,
@@ -729,6 +731,27 @@ def batch_score_summary(spark, sf_dir):
     )
 
 
+@query("train_save_score", "SELECT count(*) AS n, 0::BIGINT AS unequal, 0::BIGINT AS not_additive, 0::BIGINT AS errors FROM part")
+def train_save_score(spark, sf_dir):
+    """A training job, its model read back, and both scoring functions: prices are equal and are the base value plus all
+    contributions."""
+    df = parts(spark, sf_dir).select("row_id", "label", "x1", "x2", "brand")
+    roles = TableConfig(row_id="row_id", target="label", aliases={}, ordinal_levels={}, as_category=[], target_encoded=["brand"], domain_features=False)
+    path = scratch_path(spark, "job")
+    train_model(df, roles, {"Ridge": ("ridge", {"alpha": 10.0})}, run_tuning=False, k=2, output=path)
+    saved, checks = load_model(spark, path), {"fields": {"x1": "double", "x2": "double", "brand": "string"}, "aliases": {}}
+    plain = score(df, saved.pipeline, saved.expected, saved.name, ["row_id"], **checks)
+    explained = score_explain(df, saved.pipeline, saved.explainer, saved.expected, saved.name, 1000, ["row_id"], **checks)
+    sums = F.col("base_value") + F.aggregate("explanations", F.lit(0.0), lambda total, x: total + x.shap_value)
+    both = plain.select("row_id", F.col("predicted_price").alias("price"), "error").join(explained.drop("error"), "row_id")
+    return both.agg(
+        F.count("row_id").alias("n"),
+        F.count_if(F.abs(F.col("price") - F.col("predicted_price")) > 1e-9).alias("unequal"),
+        F.count_if(F.abs(sums - F.col("price")) > 1e-6 * F.abs(F.col("price")) + 1e-6).alias("not_additive"),
+        F.count("error").alias("errors"),
+    )
+
+
 @query("stream_score", SCORED_SQL)
 def stream_score(spark, sf_dir):
     """The same rows through a file stream that ends when all is read, in two starts on two parts of the input."""
