@@ -10,8 +10,9 @@ Bands of components are candidate buckets.  Texts with equal words are one node
 is compared with one hub, so a bucket of n nodes gives n pairs; links give classes.  A bucket whose nodes are then in several
 classes is gone over with another hub.  What is left open is settled without pairs of a whole bucket: two texts that are similar
 enough share one of their rarest shingles, those that come first in a common order and weigh just more than the texts may
-differ by.  The nodes outside the main class of their bucket are compared with the open nodes of other classes that share such a
-shingle, so no pair that could join two classes is left out.  A comparison looks at the signatures first (more than six
+differ by, and what follows the first one they share is heavy enough in both.  The nodes outside the main class of their
+bucket are compared with the open nodes of other classes with which they share such a shingle, so no pair that could join two
+classes is left out.  A comparison looks at the signatures first (more than six
 standard deviations below the threshold is out), then at the whole multisets.
 
 Defined cases: a text of one to four words is one shingle; a null text, or one without a word, is in a class of its own; an
@@ -205,10 +206,12 @@ def frequent_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarest(sets: F.Column, frequent: tuple[np.ndarray, np.ndarray], threshold: float, spark) -> F.Column:
-    """The first shingles of each set, by how frequent their slot is, then by hash, until they weigh more than two sets may differ by."""
+    """The first shingles of each set, by how frequent their slot is, then by hash, until they weigh more than two sets may differ by:
+    array of shingle, n, rest (weight of what follows) and weight (of the set)."""
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64()), ("rest", pa.int64()), ("weight", pa.int64())]))
     shared = spark.sparkContext.broadcast(frequent)
 
-    def first(data: bytes) -> np.ndarray:
+    def first(data: bytes) -> list[dict]:
         hashes, counts = unpacked(data)
         slots, often = shared.value
         slot = (hashes % np.uint64(SLOTS)).astype(np.int64)
@@ -216,14 +219,16 @@ def rarest(sets: F.Column, frequent: tuple[np.ndarray, np.ndarray], threshold: f
         rank = np.where(slots[at] == slot, often[at], 0) if len(slots) else np.zeros(len(hashes), np.int64)
         order = np.lexsort((hashes, rank))
         weight = int(counts.sum())
-        before = np.cumsum(counts[order]) - counts[order]
-        return hashes[order][before <= weight - int(np.ceil(threshold * weight - 1e-9))].astype(np.int64)
+        upto = np.cumsum(counts[order])
+        end = int(np.searchsorted(upto - counts[order], weight - int(np.ceil(threshold * weight - 1e-9)), side="right"))
+        rows = zip(hashes[order][:end].astype(np.int64).tolist(), counts[order][:end].tolist(), (weight - upto[:end]).tolist())
+        return [{"shingle": h, "n": n, "rest": r, "weight": weight} for h, n, r in rows]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for data in batches:
-            yield pa.array([first(d.as_py()) for d in data], pa.list_(pa.int64()))
+            yield pa.array([first(d.as_py()) for d in data], kind)
 
-    return F.arrow_udf(run, "array<bigint>")(sets)
+    return F.arrow_udf(run, "array<struct<shingle: bigint, n: bigint, rest: bigint, weight: bigint>>")(sets)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -349,10 +354,14 @@ class NearDuplicates:
         main = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         outside = opened.join(main, "band").filter("label != main").select("node").distinct()
         sets = self.multisets(opened.select("node").distinct())
-        first = sets.select("node", F.explode(rarest(F.col("shingles"), frequent_slots(sets), self.threshold, self.spark)).alias("shingle"))
+        first = sets.select("node", F.inline(rarest(F.col("shingles"), frequent_slots(sets), self.threshold, self.spark)))
         first = self.keep(first.join(opened.select("node", "label").distinct(), "node"), "rarest")
-        theirs = first.join(self.small(outside), "node", "left_semi").select("shingle", F.col("node").alias("hub"), F.col("label").alias("its"))
-        return self.more(first.join(theirs, "shingle").filter("label != its"), labels, sets)
+        other = {"node": "hub", "label": "its", "n": "m", "rest": "its_rest", "weight": "its_weight"}
+        theirs = first.join(self.small(outside), "node", "left_semi").withColumnsRenamed(other)
+        # Of a pair that is similar enough the first shingle both share passes; the others of it need not.
+        shared = F.least("n", "m") + F.least("rest", "its_rest")
+        enough = shared >= self.threshold / (1 + self.threshold) * (F.col("weight") + F.col("its_weight")) - 1e-6
+        return self.more(first.join(theirs, "shingle").filter("label != its").filter(enough), labels, sets)
 
     def more(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         fresh = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).filter("node != hub")
