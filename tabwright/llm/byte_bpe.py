@@ -100,6 +100,10 @@ class ByteBPE:
                 store[unit] = np.array(encoded.ids, "<i4").tobytes()
         return [b"".join(map(store.__getitem__, found)) for found in units]
 
+    def forget(self) -> None:
+        """Empty the stores: an idle worker keeps its memory."""
+        self.store, self.older = {}, {}
+
     def encode_words(self, words: list[str]) -> None:
         """Store the ids of words that the split pattern leaves whole; one call of the library for many."""
         bytewise = "\0".join(words).encode().decode("latin-1").split("\0") if words else []
@@ -147,6 +151,7 @@ def encode(text: str | Column, path: str, pattern: str) -> Column:
         bpe = load(path, pattern)
         for texts in batches:
             yield joined([id_lists(bpe.encode(part.to_pylist())) for part in pieces(texts)], pa.list_(pa.int32()))
+        bpe.forget()
 
     return F.arrow_udf(run, "array<int>")(text_or_empty(text))
 

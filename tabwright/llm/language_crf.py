@@ -36,7 +36,7 @@ LEXICON_WORDS, LEXICON_SHARE = 20_000, 0.8
 LONGEST_GRAM = 4
 BLOCK = 64
 #: Words whose scores a worker keeps; the store is emptied when it is full.  Results do not depend on it.
-STORE_WORDS = 200_000
+STORE_WORDS = 100_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,6 +135,11 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"store": {}, "kept": None}
 
+    def forget(self) -> None:
+        """Empty the store: an idle worker keeps its memory."""
+        self.store.clear()
+        self.kept = None
+
     def scores(self, words: list[str]) -> np.ndarray:
         slots, owner = word_features(words)
         begins = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -293,6 +298,7 @@ def predict(text: str | Column, model: LanguageModel, spark) -> Column:
                 for target, values in zip((names, scores), shared.value.predict(part.to_pylist())):
                     target.extend(values)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        shared.value.forget()
 
     return F.arrow_udf(run, "struct<lang: string, score: double>")(text_or_empty(text))
 

@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from tabwright.llm.columns import free_name, text_or_empty
 from tabwright.session import scratch_path
 
-#: State on disk; without setting room aside, as each of many small stores would take 4 MB.
+#: State on disk; without setting room aside, as each of many small stores would take 4 MB; with one bound for the memory of all
+#: stores of an executor.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
 }
 #: Rows of a table of digests that may be sent to all executors (about 100 bytes each); beyond it the join shuffles.
 SENT_ROWS = 100_000
