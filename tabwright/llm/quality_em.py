@@ -32,6 +32,8 @@ FALSE_ALARMS = 0.002
 LEAST = 0.5
 STORE_WORDS = 200_000
 TOKEN = re.compile(r"\S+")
+REPEATED = re.compile(r"(.)\1+")
+SHAPES = {c: "0" if chr(c).isdigit() else "A" if c < 128 and chr(c).isupper() else "a" for c in range(384) if chr(c).isalnum()}
 #: Stands in the place of a word that repeats the one before it.
 AGAIN = "\x00again"
 
@@ -46,11 +48,12 @@ def labelers(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda line: F.char_length(line) > 0)
     # a letter before a mark of noise, then the end of the word
     noisy = F.regexp_count(text, F.lit(r"[*&%$#|!]{2,}|(?<= )\|(?= )")) / words
-    capital = shares("[A-Z]") / F.greatest(shares("[A-Za-z]"), F.lit(1e-9))
+    others = F.regexp_count(text, F.lit(r"[^\p{L}]"))
+    capital = F.regexp_count(text, F.lit("[A-Z]")) / F.greatest(length - others, F.lit(1))
     repeated = 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
     sound = lambda bad: F.when(bad, 0).otherwise(1)
     return {
-        "letters": sound(shares("[\\p{L}]") < 0.6),
+        "letters": sound((length - others) / F.greatest(length, F.lit(1)) < 0.6),
         "noise marks": sound(noisy > 0.1),
         "capitals": sound(capital > 0.4),
         "sentences": F.when(F.regexp_count(text, F.lit(r"\p{L}[.?!](\s|$)")) > 0, 1).otherwise(2),
@@ -99,7 +102,7 @@ def tokens_of(text: str) -> list[str]:
 
 def token_slots(token: str) -> list[int]:
     """Slots of a word: itself, its end and its shape."""
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token))))
+    shape = REPEATED.sub(r"\1", token.translate(SHAPES))
     names = ("w" + token.lower(), "e" + token[-3:], "s" + shape)
     return [zlib.crc32(n.encode()) % SLOTS for n in names]
 
@@ -112,9 +115,10 @@ class HashedScorer:
     bias: float = 0.0
     scale: float = 20.0
     store: dict[str, float] = field(default_factory=dict, repr=False)
+    older: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"store": {}}
+        return self.__dict__ | {"store": {}, "older": {}}
 
     def score(self, text: str) -> float:
         tokens = tokens_of(text)
@@ -124,10 +128,15 @@ class HashedScorer:
         missing = {t for t in tokens if t not in store}
         if missing:
             if len(store) + len(missing) > STORE_WORDS:
-                store.clear()
-                missing = set(tokens)
+                self.older, self.store = store, {}
+                store, missing = self.store, set(tokens)
+            weights, older = self.weights, self.older
             for token in missing:
-                store[token] = float(self.weights[token_slots(token)].sum())
+                known = older.get(token)
+                if known is None:
+                    a, b, c = token_slots(token)
+                    known = float(weights[a] + weights[b] + weights[c])
+                store[token] = known
         total = self.scale * sum(map(store.__getitem__, tokens)) / len(tokens) + self.bias
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
@@ -165,8 +174,8 @@ def train(rows: list[tuple[str, float]], rounds: int = 80, penalty: float = 1e-6
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, storage: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, posterior (of the votes), score (of the scorer), kept.  Votes are kept in ``storage``, by
-    default a folder below ``spark.checkpoint.dir``."""
+    """One row per row of ``docs``: doc_id, score (of the scorer), kept.  Votes are kept in ``storage``, by default a folder below
+    ``spark.checkpoint.dir``."""
     spark = docs.sparkSession
     folder = f"{storage or scratch_path(spark, 'quality')}/votes"
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -176,7 +185,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     votes = spark.read.parquet(folder)
     patterns = sorted((r["votes"], r["count"]) for r in votes.groupBy("votes").count().collect())
     if not patterns:
-        return spark.createDataFrame([], "doc_id bigint, posterior double, score double, kept boolean")
+        return spark.createDataFrame([], "doc_id bigint, score double, kept boolean")
     ballots = np.array([[int(v) for v in p] for p, _ in patterns]).reshape(-1, len(names))
     found = estimate(ballots, np.array([n for _, n in patterns], float))
     posterior = dict(zip((p for p, _ in patterns), map(float, found.posterior(ballots))))
@@ -189,12 +198,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     sample = near.join(F.broadcast(keys), "order").select("order", "doc_id", "text", "votes").distinct().limit(2 * fit_rows).collect()
     sample = sorted(sample, key=lambda r: (r["order"], r["text"]))
     scorer = spark.sparkContext.broadcast(train([(r["text"], posterior[r["votes"]]) for r in sample]))
-    table = spark.createDataFrame([(p, posterior[p]) for p in posterior], "votes string, posterior double")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([scorer.value.score(t) for part in pieces(texts) for t in part.to_pylist()], pa.float64())
 
-    scored = rows.select("doc_id", F.concat(*(v.cast("string") for v in labelers(F.col("text")).values())).alias("votes"), F.arrow_udf(run, "double")("text").alias("score"))
-    # at most 3^8 rows
-    return scored.join(F.broadcast(table), "votes").select("doc_id", "posterior", "score", (F.col("score") >= LEAST).alias("kept"))
+    scored = rows.select("doc_id", F.arrow_udf(run, "double")("text").alias("score"))
+    return scored.select("doc_id", "score", (F.col("score") >= LEAST).alias("kept"))
