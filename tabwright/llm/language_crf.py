@@ -275,8 +275,12 @@ def fit_sample(docs: DataFrame, rows_each: int = FIT_ROWS, id_col: str = "doc_id
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).filter(~held_out("id") & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull())
     usable = usable.withColumn("rank", F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 40)))
-    counts = usable.groupBy("lang").count().withColumn("limit", F.lit(3.0 * rows_each * (1 << 40)) / F.col("count"))
-    near = usable.join(counts.select("lang", "limit"), "lang").filter(F.col("rank") < F.col("limit"))
+    # One number for each language, as many as the model has states.
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 3.0 * rows_each * (1 << 40) / n)])
+    near = usable.filter(F.col("rank") < limits[F.col("lang")])
     numbered = near.selectExpr("lang", "text", "id", "rank", "row_number() OVER (PARTITION BY lang ORDER BY rank, id, text) AS place")
     chosen = numbered.filter(F.col("place") <= rows_each).select("lang", "place", "text").collect()
     return [(r.lang, r.text) for r in sorted(chosen, key=lambda r: (r.lang, r.place))]
