@@ -33,11 +33,23 @@ LEAST = 0.5
 STORE_WORDS = 200_000
 TOKEN = re.compile(r"\S+")
 REPEATED = re.compile(r"(.)\1+")
-SHAPES = {c: "0" if chr(c).isdigit() else "A" if c < 128 and chr(c).isupper() else "a" for c in range(384) if chr(c).isalnum()}
 #: Stands in the place of a word that repeats the one before it.
 AGAIN = "\x00again"
 
 
+class Shapes(dict):
+    """Shape of each code point, found when it is first met: 0 for digits, A for capitals of ASCII, a for all other letters."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        shape = "0" if c.isdigit() else "A" if code < 128 and c.isupper() else "a" if c.isalnum() else c
+        self[code] = shape
+        return shape
+
+
+SHAPES = Shapes()
+
+
 def labelers(text: Column) -> dict[str, Column]:
     """Votes of the heuristics on a text: 1 sound, 0 faulty, 2 none."""
     length = F.char_length(text)
@@ -174,34 +186,37 @@ def train(rows: list[tuple[str, float]], rounds: int = 80, penalty: float = 1e-6
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, storage: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, score (of the scorer), kept.  Votes are kept in ``storage``, by default a folder below
-    ``spark.checkpoint.dir``."""
+    """One row per row of ``docs``: doc_id, posterior (of the votes), score (of the scorer), kept.  Texts and their votes are kept in
+    ``storage``, by default a folder below ``spark.checkpoint.dir``; both passes over the texts read this one table, so a posterior stays
+    with its row whatever the ids are."""
     spark = docs.sparkSession
     folder = f"{storage or scratch_path(spark, 'quality')}/votes"
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
     names = list(labelers(F.lit("")))
-    voted = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(*(v.cast("string") for v in labelers(F.col("text")).values())).alias("votes"))
-    voted.write.parquet(folder)
+    order = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("fit")), F.lit(1 << 40))
+    voted = rows.select("doc_id", "text", order.alias("order"), F.concat(*(v.cast("string") for v in labelers(F.col("text")).values())).alias("votes"))
+    voted.write.option("compression", "zstd").parquet(folder)
     votes = spark.read.parquet(folder)
     patterns = sorted((r["votes"], r["count"]) for r in votes.groupBy("votes").count().collect())
     if not patterns:
-        return spark.createDataFrame([], "doc_id bigint, score double, kept boolean")
+        return spark.createDataFrame([], "doc_id bigint, posterior double, score double, kept boolean")
     ballots = np.array([[int(v) for v in p] for p, _ in patterns]).reshape(-1, len(names))
     found = estimate(ballots, np.array([n for _, n in patterns], float))
     posterior = dict(zip((p for p, _ in patterns), map(float, found.posterior(ballots))))
     # The sample: the texts whose hashes are smallest, found among the votes first so that texts are not sorted.
-    order = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("fit")), F.lit(1 << 40))
     total = sum(n for _, n in patterns)
     limit = int((1 << 40) * min(1.0, 2.0 * fit_rows / total))
-    near = rows.withColumn("order", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("fit")), F.lit(1 << 40))).filter(F.col("order") < limit)
-    keys = votes.withColumn("order", order).filter(F.col("order") < limit).select("order", "votes").distinct().orderBy("order").limit(fit_rows)
-    sample = near.join(F.broadcast(keys), "order").select("order", "doc_id", "text", "votes").distinct().limit(2 * fit_rows).collect()
+    near = votes.filter(F.col("order") < limit)
+    keys = near.select("order", "votes").distinct().orderBy("order").limit(fit_rows).select("order")
+    sample = near.join(F.broadcast(keys), "order", "left_semi").distinct().limit(2 * fit_rows).collect()
     sample = sorted(sample, key=lambda r: (r["order"], r["text"]))
     scorer = spark.sparkContext.broadcast(train([(r["text"], posterior[r["votes"]]) for r in sample]))
+    table = spark.createDataFrame(list(posterior.items()), "votes string, posterior double")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([scorer.value.score(t) for part in pieces(texts) for t in part.to_pylist()], pa.float64())
 
-    scored = rows.select("doc_id", F.arrow_udf(run, "double")("text").alias("score"))
-    return scored.select("doc_id", "score", (F.col("score") >= LEAST).alias("kept"))
+    scored = votes.select("doc_id", "votes", F.arrow_udf(run, "double")("text").alias("score"))
+    # at most 3^8 rows
+    return scored.join(F.broadcast(table), "votes").select("doc_id", "posterior", "score", (F.col("score") >= LEAST).alias("kept"))
