@@ -5,8 +5,9 @@ A turn is written as ``<|turn|>role<|text|>text<|end|>`` and a line feed.  Insid
 pair.  For an Arrow batch the lengths of all segments give offsets by a running sum, and scatter indices copy headers
 and contents into one buffer, which is the data buffer of the result.
 
-Rows are dealt out by ranges of (conversation, turn), not by conversation, so that a conversation with a third of all
-rows is formatted by many tasks; a conversation comes out as blocks in order, each of whole turns.  ``read_back``
+Rows are dealt out by ranges of (conversation, turn, role, beginning of the text), not by conversation, so that a conversation
+with a third of all rows is formatted by many tasks, also when its turns are null or repeated.  The ranges follow the order inside
+them, so a conversation comes out as blocks in order, each of whole turns.  ``read_back``
 goes over the blocks of a conversation in order and keeps running digests only, never a whole conversation.
 
 Defined cases: null role and text count as empty; a null turn comes before all others; rows with the same turn are
@@ -32,6 +33,9 @@ from tabwright.llm.columns import text_or_empty
 TURN, TEXT, END = b"<|turn|>", b"<|text|>", b"<|end|>\n"
 TURN_FORM = re.compile(rb"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.DOTALL)
 ESCAPED = re.compile(rb"\\(.)", re.DOTALL)
+#: Characters of a text that take part in dealing out rows; the driver holds a sample of these keys.  A leading part never contradicts
+#: the order of whole texts; rows that are equal up to it go to one task, which sorts them by the whole.
+DEALT_CHARS = 200
 #: Bytes of formatted text after which a block ends (at the end of a turn).
 BLOCK_BYTES = 4 << 20
 BLOCKS = "conv_id bigint, task int, block bigint, n_turns bigint, formatted string, loss_spans array<struct<start: int, end: int>>"
@@ -108,8 +112,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.col("turn").cast("bigint").alias("turn"),
         text_or_empty("role").alias("role"),
         text_or_empty("text").alias("text"),
-    ).withColumn("tie", F.xxhash64("role", "text"))
-    keys = ["conv_id", "turn", "tie"]
+    )
+    keys = ["conv_id", "turn", "role", F.substring("text", 1, DEALT_CHARS)]
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -122,7 +126,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 block += made.num_rows
                 yield made
 
-    return rows.drop("turn", "tie").mapInArrow(run, BLOCKS)
+    return rows.drop("turn").mapInArrow(run, BLOCKS)
 
 
 def read_back(blocks: DataFrame) -> DataFrame:

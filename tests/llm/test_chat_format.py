@@ -51,3 +51,14 @@ def test_a_long_conversation_comes_in_blocks(spark, monkeypatch):
     for part in parts[:5]:
         data = part.formatted.encode()
         assert all(data[s.start : s.end].startswith(b"turn ") for s in part.loss_spans)
+
+
+def test_thousands_of_rows_of_one_turn_keep_their_order_over_tasks(spark):
+    rng = random.Random(5)
+    roles = ["assistant", "user", "system", None]
+    rows = [(1, t, rng.choice(roles), f"{rng.choice(['a', 'é', '日', '😀', ''])} {rng.randrange(3000)}") for t in (None, 4) for _ in range(4000)]
+    rows += [(None, 0, "assistant", "same beginning " * 20 + str(rng.randrange(500))) for _ in range(2000)]
+    rng.shuffle(rows)
+    got, blocks, _ = read(spark, rows)
+    assert got == plain(rows)
+    assert blocks.filter("conv_id = 1").select("task").distinct().count() > 3
