@@ -168,23 +168,18 @@ def sketch(text) -> F.Column:
     return F.arrow_udf(run, SKETCH)(text_or_empty(text))
 
 
-def multiset(text: F.Column, digest: F.Column) -> F.Column:
-    """Shingles of a text as bytes, sorted hashes, then their numbers; null where the digest of its words is another.  The comparison
-    is made in here, as a condition on the digest would be a join key, and all texts would be cut into shingles for it."""
+def multiset(text: F.Column) -> F.Column:
+    """Shingles of a text with words as bytes, sorted hashes, then their numbers."""
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, digests in batches:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             sets = []
-            for value, wanted in zip(texts, digests):
-                value = normal(value.as_py())
-                if value and xxhash.xxh3_128_digest(value) == wanted.as_py():
-                    _, hashes, counts = shingles([value])
-                    sets.append(hashes.tobytes() + counts.astype("<u4").tobytes())
-                else:
-                    sets.append(None)
+            for value in texts:
+                _, hashes, counts = shingles([normal(value.as_py())])
+                sets.append(hashes.tobytes() + counts.astype("<u4").tobytes())
             yield pa.array(sets, pa.binary())
 
-    return F.arrow_udf(run, "binary")(text_or_empty(text), digest)
+    return F.arrow_udf(run, "binary")(text)
 
 
 def frequent_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -269,25 +264,28 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float, storage: str | None):
         self.spark, self.threshold = docs.sparkSession, threshold
         self.storage = storage or scratch_path(self.spark, "near-dup")
-        self.docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         self.tables = 0
+        # Rows are numbered once, in a written table, because ids may be null or repeated.
+        self.row = free_name(docs, "row")
+        self.whole = self.keep(docs.withColumn(self.row, F.monotonically_increasing_id()), "docs", "zstd")
+        self.docs = self.whole.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(self.row).alias("row"))
         deviation = (COMPONENTS * threshold * (1 - threshold)) ** 0.5
         self.least_agreeing = int(COMPONENTS * threshold - 6 * deviation)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         self.tables += 1
         path = f"{self.storage}/{self.tables:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def small(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
     def sketches(self) -> None:
-        made = self.docs.select("id", sketch("text").alias("s")).select("id", "s.*")
-        self.rows = self.keep(made.withColumn("row", F.monotonically_increasing_id()), "rows")
-        same = self.rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "sketch"), "row").alias("s"))
-        self.nodes = self.keep(same.select(F.monotonically_increasing_id().alias("node"), "digest", "id", "s.*"), "nodes")
+        made = self.docs.select("id", "row", sketch("text").alias("s")).select("id", "row", "s.*")
+        self.rows = self.keep(made, "rows")
+        same = self.rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.min_by(F.struct("bands", "sketch"), "row").alias("s"))
+        self.nodes = self.keep(same.select(F.monotonically_increasing_id().alias("node"), "digest", "row", "s.*"), "nodes")
 
     def candidates(self) -> None:
         bands = self.nodes.select("node", F.explode("bands").alias("band"))
@@ -297,11 +295,10 @@ class NearDuplicates:
 
     def multisets(self, nodes: DataFrame) -> DataFrame:
         """Shingles of the nodes: node, shingles."""
-        wanted = self.nodes.join(self.small(nodes), "node", "left_semi").select("node", F.col("id").alias("its_id"), F.col("digest").alias("its_digest"))
+        wanted = self.nodes.join(self.small(nodes), "node", "left_semi").select("node", "row")
         wanted = self.keep(wanted, "wanted")
-        texts = self.docs.join(self.small(wanted), F.col("id").eqNullSafe(F.col("its_id")))
-        sets = texts.select("node", multiset(F.col("text"), F.col("its_digest")).alias("shingles")).filter("shingles is not null")
-        return self.keep(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        texts = self.docs.select("row", "text").join(self.small(wanted), "row")
+        return self.keep(texts.select("node", multiset(F.col("text")).alias("shingles")), "sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of distinct (node, hub) pairs those whose texts are similar enough; ``sets`` are their shingles, if there already."""
@@ -372,7 +369,7 @@ class NearDuplicates:
         return self.classes()
 
     def result(self) -> DataFrame:
-        """Each row with its class."""
+        """Each row with its class, and its number in ``whole``."""
         self.sketches()
         self.candidates()
         labels = self.join()
@@ -389,18 +386,19 @@ class NearDuplicates:
             F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
             F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True)).alias("kept"),
             "digest",
+            "row",
         )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, storage: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, class_id (smallest id of its class), class_size, kept (one row of each class), digest of
     its words.  ``storage`` is a folder that all executors reach; without it one below ``spark.checkpoint.dir`` is taken."""
-    return NearDuplicates(docs, id_col, text_col, threshold, storage).result()
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return NearDuplicates(docs, "id", "text", threshold, storage).result().drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, storage: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each class.  Ids are taken to name one row each; rows that
-    share an id stay if one of them does."""
+    """The rows of ``docs`` that stay, with all their columns: one of each class, whether ids are null, repeated or neither."""
     run = NearDuplicates(docs, id_col, text_col, threshold, storage)
-    gone = run.keep(run.result().groupBy("id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("id").alias(free_name(docs, "gone_id"))), "gone")
-    return docs.join(run.small(gone), F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(gone.columns[0])), "left_anti")
+    gone = run.keep(run.result().filter("not kept").select(F.col("row").alias(run.row)), "gone")
+    return run.whole.join(run.small(gone), run.row, "left_anti").drop(run.row)

@@ -109,3 +109,15 @@ def test_rows_that_stay_keep_their_columns(make, families, tmp_path):
     left = near_dup.drop_near_duplicates(docs, storage=str(tmp_path / "a"))
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(classes(families)))
+
+
+def test_near_copies_without_or_with_a_shared_id_go(make, words, tmp_path):
+    base, other = words(200, 7), words(200, 8)
+    near = [edited(base, 0.005, k) for k in range(12)]
+    rows = [(None, t) for t in near[:4]] + [(5, t) for t in near[4:8]] + [(k, t) for k, t in enumerate(near[8:], 20)]
+    rows += [(5, other), (5, other.upper()), (None, words(200, 9)), (None, None), (None, None), (5, "")]
+    docs = make([(i, t, "en") for i, t in rows])
+    left = near_dup.drop_near_duplicates(docs, storage=str(tmp_path / "a")).collect()
+    found = [r.text for r in left]
+    assert len(left) == 6 and sum(t in near for t in found) == 1 and sum(t in (other, other.upper()) for t in found) == 1
+    assert found.count(None) == 2 and found.count("") == 1 and words(200, 9) in found
