@@ -224,7 +224,8 @@ def plan_repairs(rows: DataFrame) -> DataFrame:
     whole = materialize(whole, "turn-letters")
     parted = whole.select("conv_id", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
     spread = parted.select("conv_id", "k", F.col("part.letters").alias("letters"), (F.col("k") == 0).alias("first"), (F.col("k") == F.col("n") - 1).alias("last"))
-    solved = spread.repartition("conv_id", "k").select("conv_id", "k", F.arrow_udf(tables, TABLE_SQL)("letters", "first", "last").alias("ways"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the letters are few bytes but much work
+    solved = spread.repartition(tasks, "conv_id", "k").select("conv_id", "k", F.arrow_udf(tables, TABLE_SQL)("letters", "first", "last").alias("ways"))
     ways = solved.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "ways"))).alias("parts"))
 
     def join(found: pa.Array) -> pa.Array:
