@@ -3,17 +3,16 @@ smoothed target means and one-hot vectors."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, functions as F
 
 from tabwright import config
 from tabwright.functions.nulls import col, missing_flag, nan_to_null, numeric_columns, text_or_nan, is_floating
 from tabwright.operators.lookup import LITERAL_LEVELS, LevelTable, level_counts, map_levels
 from tabwright.operators.profile import missing_counts
+from tabwright.operators.ranks import row_index
 from tabwright.operators.stage import StageEstimator, StageModel, StageTransformer, TableModel, param
 
-MAX_ONE_HOT_LEVELS = 10_000
-
 
 class OrdinalMapper(StageTransformer):
     """Level -> rank by configured order; unknown and missing levels -> NULL."""
@@ -175,53 +174,79 @@ class TargetEncoderModel(TableModel):
         return df.withColumns(encoded) if encoded else df
 
 
-class OneHotLevels(StageEstimator):
-    """One slot per level in sorted order; unknown and missing -> all zeros.
+def one_hot_slots(counts: DataFrame) -> DataFrame:
+    """(column, level, n, value): the place of each level among the sorted levels of its column.  Levels are dealt out by ranges, and the
+    sizes of the ranges before give the places, so no level goes to the driver and no column to one task."""
+    placed = row_index(counts, ["column", "level"], "place")
+    firsts = placed.groupBy("column").agg(F.min("place").alias("first"))
+    slots = placed.join(F.broadcast(firsts), "column")  # one row a column
+    return slots.select("column", "level", "n", (F.col("place") - F.col("first")).cast("double").alias("value"))
 
-    A column with more than ``maxLevels`` levels stops the fit: a vector that
-    wide belongs to the target encoder, and no level is dropped silently."""
+
+class OneHotLevels(StageEstimator):
+    """One slot per level in sorted order, as many as the data has; unknown and missing -> all zeros."""
 
     cols = param("cols", "columns to encode")
-    maxLevels = param("maxLevels", "largest number of levels of one column")
     suffix = param("suffix", "suffix of the vector columns")
-    DEFAULTS = {"cols": [], "maxLevels": MAX_ONE_HOT_LEVELS, "suffix": "_ohe"}
+    DEFAULTS = {"cols": [], "suffix": "_ohe"}
 
     def _fit(self, df: DataFrame) -> "OneHotLevelsModel":
-        cols, bound = self.value("cols"), self.value("maxLevels")
-        model = OneHotLevelsModel(cols=cols, suffix=self.value("suffix"))
-        labels: dict[str, list] = {c: [] for c in cols}
-        if cols:
-            counts = level_counts(df, cols, keep_null=True).filter(F.col("level").isNotNull())
-            for r in counts.limit(bound * len(cols) + 1).collect():
-                labels[r["column"]].append((-r["n"], r["level"]))
-            for c, levels in labels.items():
-                if len(levels) > bound:
-                    raise ValueError(f"column {c!r} has more than {bound} levels; pool or target-encode it")
-        frequent = [[level for _, level in sorted(labels[c])] for c in cols]
-        return model._set(labels=[sorted(levels) for levels in frequent], frequent=frequent)
-
-
-class OneHotLevelsModel(StageModel):
+        cols, suffix = self.value("cols"), self.value("suffix")
+        if not cols:
+            return OneHotLevelsModel(suffix=suffix)
+        counts = level_counts(df, cols, keep_null=True).filter(F.col("level").isNotNull())
+        bound = LITERAL_LEVELS * len(cols)
+        few = counts.limit(bound + 1).collect()
+        if len(few) <= bound and all(sum(r["column"] == c for r in few) <= LITERAL_LEVELS for c in cols):
+            found = {c: {r["level"]: r["n"] for r in few if r["column"] == c} for c in cols}
+            return OneHotLevelsModel.of_counts([found[c] for c in cols], cols=cols, suffix=suffix)
+        table = LevelTable(one_hot_slots(counts), cols)
+        model = OneHotLevelsModel.of_counts([table.counts.get(c) for c in cols], cols=cols, suffix=suffix)
+        model.levels = table
+        return model._set(sizes=[table.sizes[c] for c in cols])
+
+
+class OneHotLevelsModel(TableModel):
+    """Few levels are literals.  The slots of a column with many are a table, joined by level."""
+
     cols = param("cols", "encoded columns")
-    labels = param("labels", "sorted levels per column")
+    labels = param("labels", "sorted levels per column; null where they are a table")
     frequent = param("frequent", "the same levels, most frequent first")
+    sizes = param("sizes", "number of levels per column")
     suffix = param("suffix", "suffix of the vector columns")
-    DEFAULTS = {"cols": [], "labels": [], "frequent": [], "suffix": "_ohe"}
+    DEFAULTS = {"cols": [], "labels": [], "frequent": [], "sizes": [], "suffix": "_ohe"}
+    levels: LevelTable | None = None
+
+    @classmethod
+    def of_counts(cls, counts: list[dict[str, int] | None], **values) -> "OneHotLevelsModel":
+        frequent = [None if found is None else [level for level, _ in sorted(found.items(), key=lambda e: (-e[1], e[0]))] for found in counts]
+        labels = [None if f is None else sorted(f) for f in frequent]
+        return cls(labels=labels, frequent=frequent, sizes=[len(f or []) for f in frequent], **values)
+
+    def wide_columns(self) -> list[str]:
+        return [c for c, labels in zip(self.value("cols"), self.value("labels")) if labels is None]
 
     def output_columns(self) -> list[str]:
         return [c + self.value("suffix") for c in self.value("cols")]
 
+    def save_state(self, path: str) -> None:
+        if self.wide_columns():
+            self.levels.save(path)
+
+    def load_state(self, spark, path: str) -> None:
+        if self.wide_columns():
+            self.levels = LevelTable.load(spark, path, self.value("cols"))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         cols = self.value("cols")
         if not cols:
             return df
         index, indexed = {}, df
-        for c, labels, frequent in zip(cols, self.value("labels"), self.value("frequent")):
-            name, size = f"_idx_{c}", max(len(labels), 1)
-            if len(labels) > LITERAL_LEVELS:
-                # Many levels: the hash lookup of an indexer.
-                indexed = StringIndexerModel.from_labels(labels, inputCol=c, outputCol=name, handleInvalid="keep").transform(indexed)
-                slot = col(name)
+        for c, labels, frequent, size in zip(cols, self.value("labels"), self.value("frequent"), self.value("sizes")):
+            name, size = f"_idx_{c}", max(size, 1)
+            if labels is None:
+                indexed = self.levels.join_value(indexed, c, name)
+                slot = F.coalesce(F.when(col(c).isNotNull(), col(name)), F.lit(float(size)))
             else:
                 # Few levels: one literal search, frequent levels first.
                 slot_of = {level: i for i, level in enumerate(labels)}

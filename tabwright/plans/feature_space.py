@@ -104,8 +104,7 @@ def fit_feature_space(
     stages.append(
         FeatureRouter(
             oneHot=[
-                [c, vector, levels]
-                for c, vector, levels in zip(categorical, one_hot.output_columns(), one_hot.value("labels"))
+                list(block) for block in zip(categorical, one_hot.output_columns(), one_hot.value("labels"), one_hot.value("sizes"))
             ],
             scalars=[[c, sources.get(c, c), kinds[c]] for c in scalars if c not in empty],
         )
@@ -129,7 +128,7 @@ def _numeric_quantiles(df, complete, partial, rows, config):
 def one_hot_from_pool(pooler: RarePoolerModel, rows: int) -> OneHotLevelsModel | None:
     """The levels after pooling are the kept ones and, where rows are left, the
     pooled one: no further pass.  None when a level table is too long."""
-    table, other, frequent = pooler.levels, pooler.value("other"), []
+    table, other, found = pooler.levels, pooler.value("other"), []
     for c in pooler.value("cols"):
         if c not in table.literals:
             return None
@@ -137,8 +136,8 @@ def one_hot_from_pool(pooler: RarePoolerModel, rows: int) -> OneHotLevelsModel |
         rest = rows - sum(counts.values())
         if rest:
             counts[other] = counts.get(other, 0) + rest
-        frequent.append([level for level, _ in sorted(counts.items(), key=lambda e: (-e[1], e[0]))])
-    return OneHotLevelsModel(cols=pooler.value("cols"), labels=[sorted(f) for f in frequent], frequent=frequent)
+        found.append(counts)
+    return OneHotLevelsModel.of_counts(found, cols=pooler.value("cols"))
 
 
 def router_of(model: PipelineModel) -> FeatureRouter:
@@ -155,13 +154,14 @@ def flat_stages(model: PipelineModel) -> list:
 def feature_names(model: PipelineModel) -> DataFrame:
     from pyspark.sql import SparkSession
 
-    return feature_name_table(SparkSession.active(), router_of(model))
+    wide = [s.levels for s in flat_stages(model) if isinstance(s, OneHotLevelsModel) and s.levels]
+    return feature_name_table(SparkSession.active(), router_of(model), *wide[:1])
 
 
 def expected_columns(model: PipelineModel) -> dict[str, str]:
     """Column -> kind the fitted pipeline reads, derived features included."""
     router = router_of(model)
-    expected = {c: "string" for c, _, _ in router.value("oneHot")}
+    expected = {c: "string" for c, *_ in router.value("oneHot")}
     expected |= {
         c: "string" if kind == "ordinal" else "double"
         for c, _, kind in (tuple(s) for s in router.value("scalars"))

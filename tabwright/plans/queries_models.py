@@ -179,6 +179,22 @@ def one_hot_long(spark, sf_dir):
     return slots.filter("on = 1").select("row_id", "slot", F.get(labels, F.col("slot")).alias("level"))
 
 
+@query(
+    "one_hot_wide",
+    f"""WITH s AS (SELECT *, {split_sql('o_orderkey')} AS split FROM orders), lv AS (SELECT level, dense_rank() OVER (ORDER BY level) - 1 AS slot
+      FROM (SELECT DISTINCT o_custkey::VARCHAR AS level FROM s WHERE split = 'train'))
+    SELECT o_orderkey, (SELECT count(*) FROM lv) AS width, coalesce(slot, -1) AS slot FROM s LEFT JOIN lv ON level = o_custkey::VARCHAR""",
+)
+def one_hot_wide(spark, sf_dir):
+    """Thousands of levels: their slots are a table, and the sparse vectors name the slot that is on."""
+    df = hash_split(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "split", F.col("o_custkey").cast("string").alias("customer"))
+    model = OneHotLevels(cols=["customer"]).fit(df.filter("split = 'train'"))
+    vector = F.regexp_extract_all(F.col("customer_ohe").cast("string"), F.lit(r"(\d+)[,\]]"), F.lit(1))
+    slots = model.transform(df).select("o_orderkey", vector.alias("v"))
+    slot = F.when(F.size("v") > 1, F.get("v", F.lit(1)).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+    return slots.select("o_orderkey", F.get("v", F.lit(0)).cast("bigint").alias("width"), slot.alias("slot"))
+
+
 def _polynomial_sql(x: str, coefficients) -> str:
     out = f"{coefficients[-1]!r}::DOUBLE"
     for k in reversed(coefficients[:-1]):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tabwright.config import TableConfig
 from tabwright.operators import lookup, profile, quantiles
-from tabwright.operators.encoders import MissingFlags, OneHotLevels, OrdinalMapper, RarePooler, TargetEncoder
+from tabwright.operators.assembly import FeatureRouter, feature_name_table
+from tabwright.operators.encoders import MissingFlags, OneHotLevels, OneHotLevelsModel, OrdinalMapper, RarePooler, TargetEncoder
 from tabwright.operators.imputers import MedianImputer, ModeImputer, RuleImputer, Sanitizer
 from tabwright.operators.projection import separate_target
+from tabwright.operators.ranks import row_index
 from tabwright.operators.scaling import PopulationScaler, QuantileNormal
 from tabwright.plans.feature_space import expected_columns, feature_names, fit_feature_space
 
@@ -81,17 +83,45 @@ def test_one_hot_ignores_unknown_and_missing(spark):
     assert model.value("labels") == [["a", "b"]] and model.value("frequent") == [["a", "b"]]
     got = [list(r[0]) for r in model.transform(new).select(vector_to_array("c_ohe")).collect()]
     assert got == [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0], [0.0, 0.0]]
-    with pytest.raises(ValueError):
-        OneHotLevels(cols=["c"], maxLevels=1).fit(train)
 
 
-def test_one_hot_of_many_levels_uses_the_indexer(spark, monkeypatch):
+def test_one_hot_table_equals_the_literals(spark, monkeypatch, tmp_path):
     import tabwright.operators.encoders as encoders
+    import tabwright.operators.lookup as lookup
+
+    train = spark.range(30).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("c"), (F.col("id") % 3).cast("string").alias("d"))
+    new = train.unionByName(spark.createDataFrame([("nan", "0"), (None, None), ("k100", "1")], "c string, d string"))
+    vectors = lambda model: sorted((r["c"] or "", r["d"] or "", *r["x"], *r["y"]) for r in model.transform(new).select("c", "d", vector_to_array("c_ohe").alias("x"), vector_to_array("d_ohe").alias("y")).collect())
+    want = vectors(OneHotLevels(cols=["c", "d"]).fit(train))
+    for module in (encoders, lookup):
+        monkeypatch.setattr(module, "LITERAL_LEVELS", 5)
+    model = OneHotLevels(cols=["c", "d"]).fit(train)
+    assert model.value("labels") == [None, ["0", "1", "2"]] and model.value("sizes") == [30, 3] and vectors(model) == want
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    assert vectors(model) == want
+    model.write().overwrite().save(str(tmp_path / "m"))
+    assert vectors(OneHotLevelsModel.load(str(tmp_path / "m"))) == want
+
 
-    train = spark.range(30).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("c"))
-    want = OneHotLevels(cols=["c"]).fit(train).transform(train).select(vector_to_array("c_ohe")).collect()
-    monkeypatch.setattr(encoders, "LITERAL_LEVELS", 5)
-    assert OneHotLevels(cols=["c"]).fit(train).transform(train).select(vector_to_array("c_ohe")).collect() == want
+def test_one_hot_of_any_width(spark):
+    """More levels than a fit may hold on the driver: every level has its slot, and the sum over the rows is one for each."""
+    n = 200_000
+    train = spark.range(n).select(F.format_string("level%07d", (F.col("id") * 7919) % n).alias("c"), F.col("id"))
+    model = OneHotLevels(cols=["c"]).fit(train)
+    assert model.value("labels") == [None] and model.value("sizes") == [n]
+    text = F.col("c_ohe").cast("string")
+    slots = model.transform(train).select("c", F.regexp_extract(text, r"^\((\d+),\[(\d*)\]", 1).cast("int").alias("size"), F.regexp_extract(text, r"\[(\d*)\]", 1).cast("int").alias("slot"))
+    row = slots.agg(F.min("size"), F.max("size"), F.count_distinct("slot"), F.count_if(F.col("slot") != F.substring("c", 6, 7).cast("int"))).first()
+    assert tuple(row) == (n, n, n, 0)
+    names = feature_name_table(spark, FeatureRouter(oneHot=[["c", "c_ohe", None, n]], scalars=[["x", "x", "numeric_complete"]]), model.levels)
+    assert names.count() == n + 1 and names.filter("idx = 5").first()["name"] == "c_level0000005" and names.filter(f"idx = {n}").first()["name"] == "x"
+
+
+def test_row_index_is_dense_and_in_order(spark):
+    df = spark.range(5000).select((F.col("id") % 700).alias("k"), F.lit("hot").alias("h"))
+    rows = row_index(df, ["h", F.col("k").desc()], "place").orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(5000)) and [r["k"] for r in rows] == sorted((r["k"] for r in rows), reverse=True)
+    assert row_index(df.limit(0), ["k"]).collect() == []
 
 
 def test_quantile_normal_is_monotone_and_bounded(spark):
