@@ -26,7 +26,7 @@ FEW_VALUES = 1 << 22
 def first_part(value: Column) -> Column:
     """Grows with the value: sixteenths of its logarithm, with its sign; 0 for 0.  The least double gives -17184."""
     place = F.floor(F.least(F.log2(F.abs(value)) * FIRST_PARTS, F.lit(20_000.0))) + 17_200
-    return F.coalesce(F.when(value < 0, -place).otherwise(place), F.lit(0)).cast("double")
+    return F.when(value == 0, 0).when(value < 0, -place).otherwise(place).cast("double")
 
 
 def counted(cells: DataFrame) -> DataFrame:

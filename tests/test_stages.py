@@ -159,6 +159,15 @@ def test_quantiles_over_any_number_of_ranges(spark, ranges):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     empty = quantiles.exact_quantiles(spark.createDataFrame([(None,), (float("nan"),)], "x double"), {"x": [0.5]})
     assert empty == {"x": [None]}
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1.7e308, -1.7e308, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, 2.0, 2.0 - 2**-52, -1.0, 3.0]
+    row = spark.createDataFrame([(x,) for x in odd * 3], "x double")
+    grid = [i / (3 * len(odd) - 1) for i in range(3 * len(odd))]
+    few = quantiles.FEW_VALUES
+    for quantiles.FEW_VALUES in (few, 0):
+        assert quantiles.exact_quantiles(row, {"x": grid})["x"] == pytest.approx(sorted(odd * 3), abs=0, rel=1e-12)
+    quantiles.FEW_VALUES = few
+    ends = spark.createDataFrame([(x,) for x in (float("inf"), -float("inf"), 1.0)], "x double")
+    assert quantiles.exact_quantiles(ends, {"x": [0.0, 0.5, 1.0]})["x"] == [-float("inf"), 1.0, float("inf")]
     pdf = df.toPandas()
     for c in df.columns:
         assert got[c] == pytest.approx(list(np.quantile(pdf[c].dropna(), probs)), abs=1e-12)
