@@ -16,9 +16,14 @@ from tabwright import config
 from tabwright.functions.hashing import seeded_hash
 from tabwright.functions.nulls import col
 from tabwright.functions.scalars import contribution_type
-from tabwright.session import scratch_path
+from tabwright.operators.ranks import row_index
+from tabwright.session import materialize, scratch_path
 
 LEAVES_PER_STEP = 256
+#: Levels of the trees that are joined before the paths are written.
+LEVELS_PER_WRITE = 5
+#: Bytes of the leaf arrays that are sent to the workers at once.
+BLOCK_BYTES = 32 << 20
 
 
 # --- tree ensembles -------------------------------------------------------------
@@ -48,40 +53,83 @@ def node_table(model) -> DataFrame:
     )
 
 
+def tree_edges(nodes: DataFrame) -> DataFrame:
+    """One row per node but the roots: its parent, the interval of the parent's feature that leads to it, its share of the parent's
+    rows, and its own prediction."""
+    inner = nodes.filter("left >= 0")
+    threshold, infinite = F.col("split")[0], F.lit(float("inf"))
+    ways = F.array(
+        F.struct(F.col("left").alias("id"), -infinite, threshold), F.struct(F.col("right").alias("id"), threshold, infinite)
+    ).cast("array<struct<id: int, low: double, high: double>>")
+    parents = inner.select("tree", F.col("id").alias("parent"), "feature", F.col("cover").alias("whole"), F.inline(ways))
+    own = nodes.select("tree", "id", "prediction", "cover")
+    share = F.when(F.col("whole") > 0, F.col("cover") / F.col("whole")).otherwise(0.0)
+    return parents.join(own, ["tree", "id"]).select("tree", "parent", "id", "feature", "low", "high", share.alias("part"), "prediction")
+
+
+def onward(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every path one edge further; those at a leaf stay."""
+    e = edges.select(F.col("tree").alias("its_tree"), "parent", *[F.col(c).alias(f"e_{c}") for c in ("id", "feature", "low", "high", "part", "prediction")])
+    joined = paths.join(e, (F.col("tree") == F.col("its_tree")) & (F.col("id") == F.col("parent")), "left")
+    step = F.struct(F.col("e_feature").alias("feature"), F.col("e_low").alias("low"), F.col("e_high").alias("high"), F.col("e_part").alias("cover"))
+    narrower = F.transform(
+        "path",
+        lambda p: F.when(
+            p.feature == F.col("e_feature"),
+            F.struct(
+                p.feature.alias("feature"),
+                F.greatest(p.low, F.col("e_low")).alias("low"),
+                F.least(p.high, F.col("e_high")).alias("high"),
+                (p.cover * F.col("e_part")).alias("cover"),
+            ),
+        ).otherwise(p),
+    )
+    seen = F.exists("path", lambda p: p.feature == F.col("e_feature"))
+    moved = F.col("e_id").isNotNull()
+    return joined.select(
+        "tree",
+        "weight",
+        F.coalesce("e_id", "id").alias("id"),
+        F.coalesce("e_prediction", "prediction").alias("prediction"),
+        F.when(moved, F.col("share") * F.col("e_part")).otherwise(F.col("share")).alias("share"),
+        F.when(~moved, F.col("path")).when(seen, narrower).otherwise(F.concat("path", F.array(step))).alias("path"),
+    )
+
+
 def leaf_table(nodes: DataFrame) -> DataFrame:
-    """One row per leaf: its weighted value and, per distinct feature on the way
-    to it, the interval that leads there and the share of rows that take it.
-    The table is as large as the model, which the driver holds anyway."""
-    rows = {(r["tree"], r["id"]): r for r in nodes.collect()}
-    if any(r["left"] >= 0 and r["categories"] >= 0 for r in rows.values()):
+    """One row per leaf: its weighted value and, per distinct feature on the way to it, the interval that leads there and the share of
+    rows that take it; and the block it is explained in.
+
+    Paths grow by a join of the node table with itself, ``LEVELS_PER_WRITE`` levels before they are written, until every path
+    stands at a leaf.  No node goes to the driver."""
+    nodes = materialize(nodes, "nodes")
+    if not nodes.filter("left >= 0 AND categories >= 0").isEmpty():
         raise ValueError("categorical splits are not supported: encode categories before the trees")
-    leaves, stack = [], [(key, {}, 1.0) for key in rows if key[1] == 0]
-    while stack:
-        key, path, share = stack.pop()
-        node, tree = rows[key], key[0]
-        if node["left"] < 0:
-            features = sorted(path)
-            leaves.append(
-                (
-                    tree,
-                    node["weight"] * node["prediction"],
-                    share,
-                    features,
-                    [path[f][0] for f in features],
-                    [path[f][1] for f in features],
-                    [path[f][2] for f in features],
-                )
-            )
-            continue
-        f, t = node["feature"], node["split"][0]
-        low, high, z = path.get(f, (float("-inf"), float("inf"), 1.0))
-        for child, bounds in ((node["left"], (low, min(high, t))), (node["right"], (max(low, t), high))):
-            part = rows[tree, child]["cover"] / node["cover"] if node["cover"] else 0.0
-            stack.append(((tree, child), {**path, f: (*bounds, z * part)}, share * part))
-    return nodes.sparkSession.createDataFrame(
-        leaves,
-        "tree int, value double, share double, features array<int>, low array<double>, high array<double>, cover array<double>",
-    )
+    edges = materialize(tree_edges(nodes), "edges")
+    empty = F.array().cast("array<struct<feature: int, low: double, high: double, cover: double>>")
+    paths = nodes.filter("id = 0").select("tree", "weight", "id", "prediction", F.lit(1.0).alias("share"), empty.alias("path"))
+    inner = edges.select("tree", F.col("parent").alias("id")).distinct()
+    while True:
+        for _ in range(LEVELS_PER_WRITE):
+            paths = onward(paths, edges)
+        paths = materialize(paths, "paths")
+        if paths.join(inner, ["tree", "id"], "left_semi").isEmpty():
+            break
+    leaves = paths.withColumn("path", F.array_sort("path")).select(
+        "tree", "id", (F.col("weight") * F.col("prediction")).alias("value"), "share",
+        *[F.col(f"path.{field}").alias(name) for field, name in (("feature", "features"), ("low", "low"), ("high", "high"), ("cover", "cover"))],
+    )
+    return in_blocks(leaves).drop("id")
+
+
+def in_blocks(leaves: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``leaves`` with ``block``: as many leaves each as fill ``block_bytes`` when all paths are as long as the longest."""
+    count, depth = leaves.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    each = max(1, block_bytes // (8 + 32 * max(depth or 0, 1)))
+    if count <= each:
+        return leaves.withColumn("block", F.lit(0).cast("long"))
+    numbered = row_index(leaves, ["tree", "id"], "block")
+    return numbered.withColumn("block", F.floor(F.col("block") / each))
 
 
 def base_value(leaves: DataFrame) -> float:
@@ -139,10 +187,9 @@ def shapley_of_batch(x: np.ndarray, leaves: dict) -> np.ndarray:
     return out
 
 
-def tree_shap(df: DataFrame, leaves: DataFrame, features: str = "features", out: str = "shap") -> DataFrame:
-    """Add ``out``: array of one contribution per feature.  The leaf arrays are
-    broadcast; rows are explained in Arrow batches where they are."""
-    arrays = df.sparkSession.sparkContext.broadcast(_padded(leaves))
+def block_contributions(features: str, leaves: DataFrame) -> Column:
+    """Contributions of the leaves of one block, whose arrays are broadcast."""
+    arrays = leaves.sparkSession.sparkContext.broadcast(_padded(leaves))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def values(vectors: pd.Series) -> pd.Series:
@@ -153,7 +200,24 @@ def tree_shap(df: DataFrame, leaves: DataFrame, features: str = "features", out:
         )
         return pd.Series(list(phi))
 
-    return df.withColumn(out, values(vector_to_array(col(features))))
+    return values(vector_to_array(col(features)))
+
+
+def tree_shap(df: DataFrame, leaves: DataFrame, features: str = "features", out: str = "shap") -> DataFrame:
+    """Add ``out``: array of one contribution per feature.  Rows are explained in Arrow batches where they are, block of leaves by block
+    of leaves; the contributions of the blocks are added up element by element.  A model of more than one block has its rows
+    written between the blocks, so one block at a time, of at most ``BLOCK_BYTES``, is in the memory of the driver and the workers."""
+    blocks = [r["block"] for r in leaves.select("block").distinct().orderBy("block").collect()]
+    for k, block in enumerate(blocks):
+        own = leaves.filter(F.col("block") == block) if len(blocks) > 1 else leaves
+        more = block_contributions(features, own)
+        if k == 0:
+            df = df.withColumn(out, more)
+        else:
+            df = df.withColumn("_more", more).withColumn(out, F.zip_with(out, "_more", lambda a, b: a + b)).drop("_more")
+        if k + 1 < len(blocks) and not df.isStreaming:
+            df = materialize(df, "contributions")
+    return df
 
 
 # --- linear models ----------------------------------------------------------------

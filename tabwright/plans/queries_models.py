@@ -720,6 +720,59 @@ def tree_shap_boosting(spark, sf_dir):
     return _additivity(spark, sf_dir, "boosting", {"n_estimators": 8, "learning_rate": 0.3, "max_depth": 4})
 
 
+# --- fixed values: a small ensemble, as a fitted model is stored ----------------------
+# tree, weight, node, prediction, rows, left, right, feature, threshold
+STORED_TREES = [
+    (0, 1.0, 0, 3.0, 100.0, 1, 2, 0, 500.0),
+    (0, 1.0, 1, 4.0, 60.0, 3, 4, 1, 20.0),
+    (0, 1.0, 2, 6.0, 40.0, 5, 6, 0, 800.0),
+    (0, 1.0, 3, 10.0, 35.0, -1, -1, -1, None),
+    (0, 1.0, 4, -4.0, 25.0, -1, -1, -1, None),
+    (0, 1.0, 5, 7.5, 30.0, -1, -1, -1, None),
+    (0, 1.0, 6, 1.0, 10.0, -1, -1, -1, None),
+    (1, 0.5, 0, 1.0, 100.0, 1, 2, 1, 30.5),
+    (1, 0.5, 1, 2.0, 70.0, -1, -1, -1, None),
+    (1, 0.5, 2, 3.0, 30.0, 3, 4, 2, 1400.0),
+    (1, 0.5, 3, 5.0, 12.0, -1, -1, -1, None),
+    (1, 0.5, 4, -3.0, 18.0, 5, 6, 1, 45.0),
+    (1, 0.5, 5, 8.0, 6.0, -1, -1, -1, None),
+    (1, 0.5, 6, 0.5, 12.0, -1, -1, -1, None),
+]
+# --- end of fixed values -----------------------------------------------------------------
+
+
+def _subsets_sql(trees) -> str:
+    """Contributions by their definition: the expected output for every subset of known features."""
+    rows = ", ".join(str(tuple("NULL" if v is None else v for v in t)).replace("'NULL'", "NULL::DOUBLE") for t in trees)
+    shares = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}  # weights of subsets of 0, 1 and 2 of the other two features
+    phi = lambda j: " + ".join(
+        f"{shares[bin(s).count('1')]!r} * (max(v) FILTER (s = {s | 1 << j}) - max(v) FILTER (s = {s}))" for s in range(8) if not s >> j & 1
+    )
+    return f"""WITH RECURSIVE {PARTS_SQL}, nodes(tree, weight, id, prediction, n, l, r, f, t) AS (VALUES {rows}),
+    x AS (SELECT row_id, unnest([x1, x2, label]) AS x, unnest([0, 1, 2]) AS f FROM parts),
+    subsets AS (SELECT unnest(range(8)) AS s),
+    walk(row_id, s, tree, id, p) AS (
+      SELECT row_id, s, tree, 0, weight::DOUBLE FROM parts, subsets, nodes WHERE id = 0
+      UNION ALL
+      SELECT w.row_id, w.s, w.tree, c.id, w.p * CASE WHEN (w.s >> a.f) & 1 = 1 THEN ((x.x <= a.t) = (c.id = a.l))::INTEGER ELSE c.n::DOUBLE / a.n END
+      FROM walk w JOIN nodes a ON a.tree = w.tree AND a.id = w.id AND a.l >= 0 JOIN nodes c ON c.tree = a.tree AND c.id IN (a.l, a.r)
+      JOIN x ON x.row_id = w.row_id AND x.f = a.f),
+    v AS (SELECT row_id, s, sum(p * prediction::DOUBLE) AS v FROM walk JOIN nodes USING (tree, id) WHERE l < 0 GROUP BY 1, 2)
+    SELECT row_id, round({phi(0)}, 6) AS phi_x1, round({phi(1)}, 6) AS phi_x2, round({phi(2)}, 6) AS phi_price, round(max(v) FILTER (s = 0), 6) AS base
+    FROM v GROUP BY 1"""
+
+
+@query("tree_shap_values", _subsets_sql(STORED_TREES))
+def tree_shap_values(spark, sf_dir):
+    """Contributions of stored trees against the expected outputs of all subsets of features."""
+    stored = spark.createDataFrame(STORED_TREES, "tree int, weight double, id int, prediction double, cover double, left int, right int, feature int, t double")
+    leaves = explain.leaf_table(stored.withColumn("split", F.array("t")).withColumn("categories", F.lit(-1)).drop("t"))
+    rows = VectorAssembler(inputCols=["x1", "x2", "label"], outputCol="features").transform(parts(spark, sf_dir))
+    shap = explain.tree_shap(rows.select("row_id", "features"), leaves)
+    base = F.round(F.lit(explain.base_value(leaves)), 6).alias("base")
+    return shap.select("row_id", *[F.round(F.get("shap", F.lit(i)), 6).alias(f"phi_{c}") for i, c in enumerate(("x1", "x2", "price"))], base)
+
+
 @query("feature_importance", "SELECT 2::BIGINT AS slots, 1.0::DOUBLE AS total, 0::BIGINT AS negative")
 def feature_importance(spark, sf_dir):
     model, _ = _tree_model(spark, sf_dir, "forest", {"n_estimators": 10, "max_depth": 5, "max_features": None})

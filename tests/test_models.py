@@ -157,6 +157,10 @@ def test_tree_contributions_equal_brute_force(points, kind, params):
     base, collected = explain.base_value(leaves), nodes.collect()
     for r in rows:
         assert base + sum(r["shap"]) == pytest.approx(r["prediction"], abs=1e-9)
+    blocks = leaves.transform(lambda d: explain.in_blocks(d.withColumn("id", F.monotonically_increasing_id()), 700))
+    assert blocks.select("block").distinct().count() > 2
+    by_block = explain.tree_shap(df, blocks).select("Id", F.col("shap").alias("again")).collect()
+    assert all(dict(by_block)[r["Id"]] == pytest.approx(r["shap"], abs=1e-9) for r in rows)
     for r in rows[:12]:
         phi, expected_base = brute_force(collected, x[r["Id"]])
         assert r["shap"] == pytest.approx(phi, abs=1e-9) and base == pytest.approx(expected_base)
