@@ -4,6 +4,7 @@ models, top contributions per row, waterfall and importance tables."""
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,6 @@ from tabwright.operators.ranks import row_index
 from tabwright.session import materialize, scratch_path
 
 LEAVES_PER_STEP = 256
-#: Levels of the trees that are joined before the paths are written.
-LEVELS_PER_WRITE = 5
 #: Bytes of the leaf arrays that are sent to the workers at once.
 BLOCK_BYTES = 32 << 20
 
@@ -53,73 +52,49 @@ def node_table(model) -> DataFrame:
     )
 
 
-def tree_edges(nodes: DataFrame) -> DataFrame:
-    """One row per node but the roots: its parent, the interval of the parent's feature that leads to it, its share of the parent's
-    rows, and its own prediction."""
-    inner = nodes.filter("left >= 0")
-    threshold, infinite = F.col("split")[0], F.lit(float("inf"))
-    ways = F.array(
-        F.struct(F.col("left").alias("id"), -infinite, threshold), F.struct(F.col("right").alias("id"), threshold, infinite)
-    ).cast("array<struct<id: int, low: double, high: double>>")
-    parents = inner.select("tree", F.col("id").alias("parent"), "feature", F.col("cover").alias("whole"), F.inline(ways))
-    own = nodes.select("tree", "id", "prediction", "cover")
-    share = F.when(F.col("whole") > 0, F.col("cover") / F.col("whole")).otherwise(0.0)
-    return parents.join(own, ["tree", "id"]).select("tree", "parent", "id", "feature", "low", "high", share.alias("part"), "prediction")
-
-
-def onward(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every path one edge further; those at a leaf stay."""
-    e = edges.select(F.col("tree").alias("its_tree"), "parent", *[F.col(c).alias(f"e_{c}") for c in ("id", "feature", "low", "high", "part", "prediction")])
-    joined = paths.join(e, (F.col("tree") == F.col("its_tree")) & (F.col("id") == F.col("parent")), "left")
-    step = F.struct(F.col("e_feature").alias("feature"), F.col("e_low").alias("low"), F.col("e_high").alias("high"), F.col("e_part").alias("cover"))
-    narrower = F.transform(
-        "path",
-        lambda p: F.when(
-            p.feature == F.col("e_feature"),
-            F.struct(
-                p.feature.alias("feature"),
-                F.greatest(p.low, F.col("e_low")).alias("low"),
-                F.least(p.high, F.col("e_high")).alias("high"),
-                (p.cover * F.col("e_part")).alias("cover"),
-            ),
-        ).otherwise(p),
-    )
-    seen = F.exists("path", lambda p: p.feature == F.col("e_feature"))
-    moved = F.col("e_id").isNotNull()
-    return joined.select(
-        "tree",
-        "weight",
-        F.coalesce("e_id", "id").alias("id"),
-        F.coalesce("e_prediction", "prediction").alias("prediction"),
-        F.when(moved, F.col("share") * F.col("e_part")).otherwise(F.col("share")).alias("share"),
-        F.when(~moved, F.col("path")).when(seen, narrower).otherwise(F.concat("path", F.array(step))).alias("path"),
-    )
+LEAVES = "tree int, id int, value double, share double, features array<int>, low array<double>, high array<double>, cover array<double>"
+
+
+def leaf_paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leaves of trees whose nodes come one after the other, each before its children.  Held are the paths to the children of the nodes
+    seen that have not come yet: at most one a level."""
+    columns = [field.split()[0] for field in LEAVES.split(", ")]
+    waiting: dict[tuple[int, int], tuple] = {}
+    for frame in frames:
+        found = []
+        for tree, weight, id_, prediction, cover, left, right, feature, threshold in frame.itertuples(index=False):
+            path, share, last, whole = waiting.pop((tree, id_), ({}, 1.0, None, cover))
+            part = cover / whole if whole else 0.0
+            if last is not None:
+                low, high, z = path[last]
+                path[last] = (low, high, z * part)
+            if left < 0:
+                features = sorted(path)
+                found.append((tree, id_, weight * prediction, share * part, features, *([path[f][k] for f in features] for k in range(3))))
+                continue
+            low, high, z = path.get(feature, (-np.inf, np.inf, 1.0))
+            for child, bounds in ((left, (low, min(high, threshold))), (right, (max(low, threshold), high))):
+                waiting[tree, child] = {**path, feature: (*bounds, z)}, share * part, feature, cover
+        yield pd.DataFrame(found, columns=columns)
 
 
 def leaf_table(nodes: DataFrame) -> DataFrame:
     """One row per leaf: its weighted value and, per distinct feature on the way to it, the interval that leads there and the share of
     rows that take it; and the block it is explained in.
 
-    Paths grow by a join of the node table with itself, ``LEVELS_PER_WRITE`` levels before they are written, until every path
-    stands at a leaf.  No node goes to the driver."""
+    A fitted ensemble numbers the nodes of a tree in the order of a walk that takes the left side first.  In that order one pass over a tree makes
+    the paths and holds one entry a level; trees go to different tasks, and no node goes to the driver."""
     nodes = materialize(nodes, "nodes")
-    if not nodes.filter("left >= 0 AND categories >= 0").isEmpty():
+    categorical, unordered = (F.count_if(F.expr(f"left >= 0 AND {x}")) for x in ("categories >= 0", "(left <= id OR right <= left)"))
+    wrong = nodes.agg(categorical, unordered).first()
+    if wrong[0]:
         raise ValueError("categorical splits are not supported: encode categories before the trees")
-    edges = materialize(tree_edges(nodes), "edges")
-    empty = F.array().cast("array<struct<feature: int, low: double, high: double, cover: double>>")
-    paths = nodes.filter("id = 0").select("tree", "weight", "id", "prediction", F.lit(1.0).alias("share"), empty.alias("path"))
-    inner = edges.select("tree", F.col("parent").alias("id")).distinct()
-    while True:
-        for _ in range(LEVELS_PER_WRITE):
-            paths = onward(paths, edges)
-        paths = materialize(paths, "paths")
-        if paths.join(inner, ["tree", "id"], "left_semi").isEmpty():
-            break
-    leaves = paths.withColumn("path", F.array_sort("path")).select(
-        "tree", "id", (F.col("weight") * F.col("prediction")).alias("value"), "share",
-        *[F.col(f"path.{field}").alias(name) for field, name in (("feature", "features"), ("low", "low"), ("high", "high"), ("cover", "cover"))],
-    )
-    return in_blocks(leaves).drop("id")
+    if wrong[1]:
+        raise ValueError("the nodes of a tree must be numbered with the left side first")
+    ordered = nodes.repartition("tree").sortWithinPartitions("tree", "id")
+    threshold = F.get("split", F.lit(0)).alias("threshold")
+    walked = ordered.select("tree", "weight", "id", "prediction", "cover", "left", "right", "feature", threshold).mapInPandas(leaf_paths, LEAVES)
+    return in_blocks(materialize(walked, "leaves")).drop("id")
 
 
 def in_blocks(leaves: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

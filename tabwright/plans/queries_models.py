@@ -723,11 +723,11 @@ def tree_shap_boosting(spark, sf_dir):
 # --- fixed values: a small ensemble, as a fitted model is stored ----------------------
 # tree, weight, node, prediction, rows, left, right, feature, threshold
 STORED_TREES = [
-    (0, 1.0, 0, 3.0, 100.0, 1, 2, 0, 500.0),
-    (0, 1.0, 1, 4.0, 60.0, 3, 4, 1, 20.0),
-    (0, 1.0, 2, 6.0, 40.0, 5, 6, 0, 800.0),
-    (0, 1.0, 3, 10.0, 35.0, -1, -1, -1, None),
-    (0, 1.0, 4, -4.0, 25.0, -1, -1, -1, None),
+    (0, 1.0, 0, 3.0, 100.0, 1, 4, 0, 500.0),
+    (0, 1.0, 1, 4.0, 60.0, 2, 3, 1, 20.0),
+    (0, 1.0, 2, 10.0, 35.0, -1, -1, -1, None),
+    (0, 1.0, 3, -4.0, 25.0, -1, -1, -1, None),
+    (0, 1.0, 4, 6.0, 40.0, 5, 6, 0, 800.0),
     (0, 1.0, 5, 7.5, 30.0, -1, -1, -1, None),
     (0, 1.0, 6, 1.0, 10.0, -1, -1, -1, None),
     (1, 0.5, 0, 1.0, 100.0, 1, 2, 1, 30.5),
