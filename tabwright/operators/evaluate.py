@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright import config
 from tabwright.functions.nulls import col
 from tabwright.operators.metrics import metric_columns
-from tabwright.operators.models import LabelStats, base_models, build, label_stats, n_features
+from tabwright.operators.models import NORMAL_EQUATION_FEATURES, LabelStats, base_models, build, label_stats, n_features
+from tabwright.operators.moments import LINEAR_KINDS, cross_validate_moments, second_moments
 from tabwright.session import ensure_checkpoint_dir, materialize
 
 RESULT_SCHEMA = (
@@ -182,16 +183,26 @@ def tune_models(
     parallelism: int = 1,
 ) -> tuple[dict, DataFrame]:
     """Seeded random search, minimising the CV RMSE.  Returns
-    {name: {best_params, best_cv_rmse}} and the table of all trials."""
+    {name: {best_params, best_cv_rmse}} and the table of all trials.
+
+    All trials of the linear models share one pass over each fold: its second moments."""
     models = models or base_models()
     spark = parts[0].train.sparkSession
     ensure_checkpoint_dir(spark)
+    searched = [n for n in names if n in models and n in (spaces or SEARCH_SPACES)]
+    from_moments = {n for n in searched if models[n][0] in LINEAR_KINDS and all(p.width <= NORMAL_EQUATION_FEATURES for p in parts)}
+    folds = []
+    if from_moments:
+        folds = _in_parallel(spark, [lambda p=p: second_moments(p.kept, "_train", label=label) for p in parts], parallelism)
 
     def job(name, trial, params):
         def run():
             kind, base = models[name]
             try:
-                cv = cross_validate(kind, {**base, **params}, parts, label, seed)
+                if name in from_moments:
+                    cv = cross_validate_moments(kind, {**base, **params}, folds)
+                else:
+                    cv = cross_validate(kind, {**base, **params}, parts, label, seed)
                 return (name, trial, json.dumps(params), cv["cv_rmse"], cv["cv_r2"], "ok", None)
             except Exception as e:
                 return (name, trial, json.dumps(params), None, None, "fail", str(e))
@@ -200,7 +211,7 @@ def tune_models(
 
     rows, jobs = [], []
     for name in names:
-        if name not in models or name not in (spaces or SEARCH_SPACES):
+        if name not in searched:
             rows.append((name, None, None, None, None, "skipped", "no model or no search space of this name"))
             continue
         jobs += [job(name, i, p) for i, p in enumerate(trial_params(name, n_trials, seed, spaces))]

@@ -7,11 +7,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabwright.config import TableConfig
+from tabwright.config import SEED, TableConfig
 from tabwright.functions.normal import CENTRAL_DEN, CENTRAL_NUM, FAR_DEN, FAR_NUM, NEAR_DEN, NEAR_NUM
+from tabwright.functions.hashing import seeded_hash
 from tabwright.operators import explain
 from tabwright.operators.encoders import MissingFlags, OneHotLevels, OrdinalMapper, RarePooler, TargetEncoder
-from tabwright.operators.evaluate import cross_validate, evaluate_models, fit_part, make_part, prepare_folds, tune_models
+from tabwright.operators.evaluate import cross_validate, evaluate_models, fit_part, make_part, prepare_folds, trial_params, tune_models
 from tabwright.operators.imputers import MedianImputer, ModeImputer, RuleImputer, Sanitizer
 from tabwright.operators.linear import ols_by_group, one_feature_cv, ridge_two_features
 from tabwright.operators.metrics import (
@@ -24,7 +25,7 @@ from tabwright.operators.metrics import (
     residual_statistics,
 )
 from tabwright.operators.models import build, label_stats
-from tabwright.operators.ranking import best_model, final_ranking, rank_models
+from tabwright.operators.ranking import final_ranking, rank_models
 from tabwright.operators.scaling import PopulationScaler, QuantileNormal
 from tabwright.operators.scoring import score, score_explain
 from tabwright.operators.split import add_folds, hash_split
@@ -416,18 +417,6 @@ def model_ranking(spark, sf_dir):
     return listed.select("m.model", F.round("m.cv_rmse", 5).alias("cv_rmse"), (F.col("i") + 1).cast("bigint").alias("place"))
 
 
-@query(
-    "final_ranking",
-    f"""WITH {CV_CTE}, best AS (SELECT model FROM cv ORDER BY cv_rmse, model LIMIT 1)
-    SELECT model, round(cv_rmse, 5) AS test_rmse, round(cv_r2, 5) + 0.0 AS test_r2 FROM cv
-    UNION ALL SELECT model || ' (Tuned)', 1.5::DOUBLE, 0.5::DOUBLE FROM best""",
-)
-def final_ranking_query(spark, sf_dir):
-    results = mean_over_folds(_fold_scores(spark, sf_dir)).withColumn("status", F.lit("ok"))
-    baseline = results.select("model", F.round("cv_rmse", 5).alias("test_rmse"), rounded(F.col("cv_r2"), 5).alias("test_r2"))
-    return final_ranking(baseline, best_model(results), 1.5, 0.5)
-
-
 BRAND_MEAN_SQL = f"""{PARTS_SQL}, pr AS (SELECT brand, avg(label) AS p FROM parts GROUP BY 1),
     j AS (SELECT row_id, parts.brand, label, pr.p FROM parts JOIN pr USING (brand))"""
 
@@ -577,8 +566,16 @@ def elastic_net_closed_form(spark, sf_dir):
     return _one_feature_scores(spark, sf_dir, "elastic_net", {"alpha": 50.0, "l1_ratio": 0.4})
 
 
-def _folds(spark, sf_dir, k=3):
-    data = add_folds(parts(spark, sf_dir), "row_id", k)
+#: Prices of parts are a line of their key; a hash of the key makes them less so.
+NOISY_SQL = f"{PARTS_SQL}, noisy AS (SELECT * REPLACE (label + {hash_sql('noise', 'row_id')} % 50 AS label) FROM parts)"
+
+
+def _noisy_parts(spark, sf_dir):
+    return parts(spark, sf_dir).withColumn("label", F.col("label") + seeded_hash(F.col("row_id"), "noise") % 50)
+
+
+def _folds(data, k=3):
+    data = add_folds(data, "row_id", k)
     assembler = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
     return prepare_folds(data, lambda train: assembler.transform, "row_id", k)
 
@@ -589,23 +586,88 @@ def _folds(spark, sf_dir, k=3):
 )
 def model_comparison(spark, sf_dir):
     models = {"Ridge": ("ridge", {"alpha": 10.0}), "Lasso": ("lasso", {"alpha": 0.0005}), "Linear": ("linear", {}), "Broken": ("none", {})}
-    results, _, _ = evaluate_models(models, _folds(spark, sf_dir), _final_part(spark, sf_dir), "row_id", parallelism=3)
+    results, _, _ = evaluate_models(models, _folds(parts(spark, sf_dir)), _final_part(spark, sf_dir), "row_id", parallelism=3)
     # Scores of fitted models lie between those of the mean and of a perfect model; a failed one has a reason and no score.
     fitted = F.col("cv_r2").between(0, 1) & F.col("test_r2").between(0, 1) & (F.col("cv_rmse") > 0) & (F.col("test_rmse") > 0)
     right = F.when(F.col("status") == "ok", fitted).otherwise(F.col("cv_rmse").isNull() & F.col("error").isNotNull())
     return results.select("model", "status", F.when(right, 0).otherwise(1).cast("bigint").alias("violations"))
 
 
+ALPHAS = [params["alpha"] for params in trial_params("Ridge", 3, SEED)]  # a seeded search is known beforehand
+
+
+def _ridge_sql(rows: str, by: str, alphas: str) -> str:
+    """w: coefficients for each (t, alpha) of ``alphas``, fitted on all of ``rows`` (or apart for each fold, on the other folds)."""
+    fold, join, group = ("k.fold", f"JOIN (SELECT DISTINCT fold FROM {rows}) k ON a.fold <> k.fold", "GROUP BY k.fold") if by else ("0 AS fold", "", "")
+    return f"""SELECT t, fold, m1, m2, my, ((s22 + alpha) * s1y - s12 * s2y) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1,
+        ((s11 + alpha) * s2y - s12 * s1y) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2
+      FROM (SELECT {fold}, avg(x1) AS m1, avg(x2) AS m2, avg(label) AS my, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22,
+              covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, label) * count(*) AS s1y, covar_pop(x2, label) * count(*) AS s2y
+            FROM {rows} a {join} {group}) CROSS JOIN ({alphas})"""
+
+
+RIDGE_ERROR = "(label - my - w1 * (x1 - m1) - w2 * (x2 - m2)) ** 2"
+TRIALS_SQL = " UNION ALL ".join(f"SELECT {t} AS t, {alpha!r}::DOUBLE AS alpha" for t, alpha in enumerate(ALPHAS))
+
+
+def _search_sql(rows: str) -> str:
+    return f"""wf AS ({_ridge_sql(rows, "fold", TRIALS_SQL)}),
+      ef AS (SELECT t, fold, sqrt(avg({RIDGE_ERROR})) AS rmse, 1 - avg({RIDGE_ERROR}) / var_pop(label) AS r2 FROM {rows} JOIN wf USING (fold) GROUP BY 1, 2),
+      trials AS (SELECT t, avg(rmse) AS cv_rmse, avg(r2) AS cv_r2 FROM ef GROUP BY 1)"""
+
+
 @query(
     "tuning_trials",
-    """SELECT m AS model, t::INTEGER AS trial, 'ok' AS status, 0::BIGINT AS violations FROM (VALUES ('Ridge'), ('Lasso')) AS a(m) CROSS JOIN (VALUES (0), (1), (2)) AS b(t)
-    UNION ALL SELECT 'Unknown', -1, 'skipped', 0""",
+    f"""WITH {NOISY_SQL}, fp AS (SELECT *, {fold_sql('row_id', 3)} AS fold FROM noisy), {_search_sql('fp')}
+    SELECT 'Ridge' AS model, t::INTEGER AS trial, 'ok' AS status, round(cv_rmse, 5) AS cv_rmse, round(cv_r2, 6) AS cv_r2, 0::BIGINT AS violations FROM trials
+    UNION ALL SELECT 'Lasso', unnest([0, 1, 2]), 'ok', NULL, NULL, 0
+    UNION ALL SELECT 'Unknown', -1, 'skipped', NULL, NULL, 0""",
 )
 def tuning_trials(spark, sf_dir):
-    tuned, trials = tune_models(["Ridge", "Lasso", "Unknown"], _folds(spark, sf_dir), n_trials=3, parallelism=3)
+    tuned, trials = tune_models(["Ridge", "Lasso", "Unknown"], _folds(_noisy_parts(spark, sf_dir)), n_trials=3, parallelism=3)
     fitted = F.col("cv_r2").between(0, 1) & (F.col("cv_rmse") > 0) & F.col("params").isNotNull()
     right = F.when(F.col("status") == "ok", fitted).otherwise(F.col("cv_rmse").isNull())
-    return trials.select("model", F.coalesce("trial", F.lit(-1)).alias("trial"), "status", F.when(right, 0).otherwise(1).cast("bigint").alias("violations"))
+    closed_form = F.col("model") == "Ridge"
+    return trials.select(
+        "model",
+        F.coalesce("trial", F.lit(-1)).alias("trial"),
+        "status",
+        F.when(closed_form, F.round("cv_rmse", 5)).alias("cv_rmse"),
+        F.when(closed_form, F.round("cv_r2", 6)).alias("cv_r2"),
+        F.when(right, 0).otherwise(1).cast("bigint").alias("violations"),
+    )
+
+
+RANKED_SQL = "SELECT -1 AS t, 10.0::DOUBLE AS alpha UNION ALL SELECT -2, 0.0::DOUBLE"
+
+
+@query(
+    "final_ranking",
+    f"""WITH {NOISY_SQL}, sp AS (SELECT *, {split_sql('row_id')} AS split, {fold_sql('row_id', 3)} AS fold FROM noisy),
+      tr AS (SELECT * FROM sp WHERE split = 'train'), {_search_sql('tr')},
+      best AS (SELECT t FROM trials ORDER BY cv_rmse, t LIMIT 1),
+      w AS ({_ridge_sql('tr', '', f"{TRIALS_SQL} UNION ALL {RANKED_SQL}")})
+    SELECT CASE WHEN t = -1 THEN 'Ridge' WHEN t = -2 THEN 'Linear' ELSE 'Ridge (Tuned)' END AS model,
+      round(sqrt(avg({RIDGE_ERROR})), 5) AS test_rmse, round(1 - avg({RIDGE_ERROR}) / var_pop(label), 6) + 0.0 AS test_r2
+    FROM sp, w WHERE split = 'test' AND (t < 0 OR t = (SELECT t FROM best)) GROUP BY t""",
+)
+def final_ranking_query(spark, sf_dir):
+    """Two models by their test scores, and the one that has a search space again with what the search over the training folds found."""
+    data = add_folds(hash_split(_noisy_parts(spark, sf_dir), "row_id"), "row_id", 3)
+    assembler = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
+    final = make_part(data, F.col("split") == "train", assembler.transform, ["row_id"])
+    folds = prepare_folds(data.filter("split = 'train'").drop("split"), lambda train: assembler.transform, "row_id", 3)
+    models = {"Linear": ("linear", {}), "Ridge": ("ridge", {"alpha": 10.0})}
+    results, _, _ = evaluate_models(models, folds, final, "row_id", parallelism=2)
+    tuned, _ = tune_models(["Ridge"], folds, n_trials=3, models=models)
+    name = min(tuned, key=lambda m: (tuned[m]["best_cv_rmse"], m))
+    kind, base = models[name]
+    scored = fit_part(kind, {**base, **tuned[name]["best_params"]}, final).transform(final.valid)
+    test = regression_metrics(scored).first()
+    for part in [*folds, final]:
+        part.release()
+    ranked = final_ranking(results.filter("status = 'ok'"), name, test["rmse"], test["r2"])
+    return ranked.select("model", F.round("test_rmse", 5).alias("test_rmse"), rounded(F.col("test_r2"), 6).alias("test_r2"))
 
 
 # --- explanations ----------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from tabwright.operators import explain
 from tabwright.operators.evaluate import SEARCH_SPACES, cross_validate, make_part, prepare_folds, trial_params, tune_models
 from tabwright.operators.linear import one_feature_cv
 from tabwright.operators.metrics import model_report, predictions_report, regression_metrics
+from tabwright.operators.moments import cross_validate_moments, second_moments
 from tabwright.operators.models import BASE_MODELS, base_models, build, label_stats, n_features
 from tabwright.operators.projection import keep_successful
 from tabwright.operators.ranking import best_model, final_ranking, rank_models, top_models
@@ -116,6 +117,32 @@ def test_tuning_skips_models_without_a_space(points):
     assert tuned["Ridge"]["best_cv_rmse"] == best and set(tuned) == {"Ridge"}
 
 
+SEARCHED = [("linear", {}), ("ridge", {"alpha": 3.0}), ("ridge", {"alpha": 250.0}), ("lasso", {"alpha": 0.4}), ("elastic_net", {"alpha": 0.2, "l1_ratio": 0.3})]
+
+
+def test_moments_give_the_scores_of_fitted_models(points):
+    _, _, df = points
+    folds = prepare_folds(add_folds(df.withColumn("label", F.col("label") + 1e3), "Id", 3), lambda t: lambda rows: rows, "Id", 3)
+    shared = [second_moments(p.kept, "_train") for p in folds]
+    for kind, params in SEARCHED:
+        want = cross_validate(kind, params, folds)
+        got = cross_validate_moments(kind, params, shared)
+        assert (got["cv_rmse"], got["cv_r2"]) == pytest.approx((want["cv_rmse"], want["cv_r2"]), rel=1e-6), kind
+
+
+def test_a_search_of_linear_models_reads_each_fold_once(spark, points):
+    _, _, df = points
+    folds = prepare_folds(add_folds(df, "Id", 2), lambda t: lambda rows: rows, "Id", 2)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("search", "search")
+    try:
+        tune_models(["Ridge", "Lasso", "ENet"], folds, n_trials=15)
+        jobs = len(tracker.getJobIdsForGroup("search"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12  # two folds: means and products, with their shuffles; 90 fits before
+
+
 # --- explanations ---------------------------------------------------------------------
 
 
