@@ -11,8 +11,9 @@ is compared with one hub, so a bucket of n nodes gives n pairs; links give class
 classes is gone over with another hub.  What is left open is settled without pairs of a whole bucket: two texts that are similar
 enough share one of their rarest shingles, those that come first in a common order and weigh just more than the texts may
 differ by, and what follows the first one they share is heavy enough in both.  The nodes outside the main class of their
-bucket are compared with the open nodes of other classes with which they share such a shingle, so no pair that could join two
-classes is left out.  A comparison looks at the signatures first (more than six
+bucket have pairs with the open nodes of other classes with which they share such a shingle.  Of the pairs of two classes one is
+compared first, a few times over; what that joins needs no other pair.  All pairs of classes that are still apart follow, so no
+pair that could join two classes is left out.  A comparison looks at the signatures first (more than six
 standard deviations below the threshold is out), then at the whole multisets.
 
 Defined cases: a text of one to four words is one shingle; a null text, or one without a word, is in a class of its own; an
@@ -41,6 +42,8 @@ COMPONENTS = BANDS * ROWS
 SENT_ROWS = 200_000
 #: Passes with hubs before the rest is settled by rare shingles.
 HUB_PASSES = 2
+#: Passes in which one pair of each two classes is compared, before the rest of their pairs.
+CLASS_PASSES = 3
 #: Slots that count shingles, and the least count in a task and in all that makes a slot frequent.  They only shape the order.
 SLOTS, OFTEN_IN_TASK, OFTEN = 1 << 22, 2, 8
 
@@ -265,6 +268,7 @@ class NearDuplicates:
         self.spark, self.threshold = docs.sparkSession, threshold
         self.storage = storage or scratch_path(self.spark, "near-dup")
         self.tables = 0
+        self.compared: list[DataFrame] = []  # pairs, the smaller node first
         # Rows are numbered once, in a written table, because ids may be null or repeated.
         self.row = free_name(docs, "row")
         self.whole = self.keep(docs.withColumn(self.row, F.monotonically_increasing_id()), "docs", "zstd")
@@ -303,11 +307,14 @@ class NearDuplicates:
     def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of distinct (node, hub) pairs those whose texts are similar enough; ``sets`` are their shingles, if there already."""
         pairs = self.keep(pairs.distinct(), "pairs")
-        sketches = self.nodes.select("node", "sketch")
-        both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), "hub")
-        near = self.keep(both.filter(agree(F.col("sketch"), F.col("other")) >= self.least_agreeing).select("node", "hub"), "near")
+        self.compared.append(pairs)
         if sets is None:
+            sketches = self.nodes.select("node", "sketch")
+            both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), "hub")
+            near = self.keep(both.filter(agree(F.col("sketch"), F.col("other")) >= self.least_agreeing).select("node", "hub"), "near")
             sets = self.multisets(near.select("node").union(near.select("hub")).distinct())
+        else:  # pairs of the same rare shingle and weight are close: nearly all signatures would let them pass
+            near = pairs
         both = near.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")), "hub")
         alike = similarity(F.col("shingles"), F.col("other"))
         return self.keep(both.select("node", "hub", alike.alias("alike")).filter(F.col("alike") >= self.threshold).select("node", "hub"), "links")
@@ -335,7 +342,7 @@ class NearDuplicates:
 
     def join(self) -> DataFrame:
         """Labels of all linked nodes, after every pair that could join two classes was compared."""
-        self.links = self.verified(self.members.filter("node != hub").select("node", "hub"))
+        self.links = self.verified(self.members.filter("node != hub").select(F.col("hub").alias("node"), F.col("node").alias("hub")))
         labels = self.classes()
         for turn in range(1, HUB_PASSES):
             self.members = opened = self.open_members(labels)
@@ -358,10 +365,25 @@ class NearDuplicates:
         # Of a pair that is similar enough the first shingle both share passes; the others of it need not.
         shared = F.least("n", "m") + F.least("rest", "its_rest")
         enough = shared >= self.threshold / (1 + self.threshold) * (F.col("weight") + F.col("its_weight")) - 1e-6
-        return self.more(first.join(theirs, "shingle").filter("label != its").filter(enough), labels, sets)
+        pairs = first.join(theirs, "shingle").filter("label != its").filter(enough)
+        swap = F.col("label") > F.col("its")
+        pairs = pairs.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("node", "hub"), ("hub", "node"), ("label", "its"), ("its", "label"))))
+        pairs = self.keep(pairs.distinct(), "rare-pairs")
+        for turn in range(CLASS_PASSES):
+            # One pair of each two classes; those that it joins have no use for their other pairs.
+            one = pairs.groupBy("label", "its").agg(F.min_by(F.struct("node", "hub"), F.xxhash64("node", "hub", F.lit(turn))).alias("p"))
+            one = self.keep(one.select("label", "its", "p.*"), "one")
+            labels = self.more(one, labels, sets)
+            now = labels.select(F.col("node").alias("label"), F.col("label").alias("a"))
+            its = now.withColumnsRenamed({"label": "its", "a": "b"})
+            joined = one.join(now, "label", "left").join(its, "its", "left").filter(F.coalesce("a", "label") == F.coalesce("b", "its"))
+            pairs = self.keep(pairs.join(joined.select("label", "its"), ["label", "its"], "left_anti"), "rare-pairs")
+        return self.more(pairs, labels, sets)
 
     def more(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         fresh = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).filter("node != hub")
+        for pairs in self.compared:
+            fresh = fresh.join(pairs, ["node", "hub"], "left_anti")
         found = self.verified(fresh, sets)
         if found.isEmpty():
             return labels
