@@ -1,8 +1,8 @@
 """Secrets in texts, with Spark's functions only.
 
 Three patterns give the base spans.  Further candidates are runs of 20 characters or more of the kinds that keys and tokens are made of.
-A window of 20 characters slides over a candidate; the number of each character in it changes by one in and one out, and so
-does the sum of n log2 n that gives the window's Shannon entropy.  The largest entropy is held against the limit of the
+A window of 20 characters slides over a candidate, in time that grows with its length; the number of each character in it
+changes by one in and one out, and so does the sum of n log2 n that gives the window's Shannon entropy.  The largest entropy is held against the limit of the
 candidate's character class (hexadecimal, letters and digits, or with marks).  An allow-list suppresses candidates that only look
 like secrets.  Base spans are never suppressed.
 
@@ -43,6 +43,8 @@ ALLOWED = (
 #: Words and names made of words have no digit; these changes of case inside a word make a candidate none of them.
 NO_WORD = "[0-9]|[a-z][A-Z]"
 BLOCK = 256
+#: Characters of a candidate that are gone over at once; counts of characters in a word of 60 bits, and the bits of one.
+PIECE, PER_WORD, BITS = 1024, 12, 5
 
 
 def running_sum(values: Column) -> Column:
@@ -67,23 +69,53 @@ def placed(text: Column, pattern: str, matched: Column) -> Column:
 
 
 def best_entropy(candidate: Column) -> Column:
-    """Entropy in bits of the window of ``candidate`` that has most, by counts that go with the window."""
+    """Entropy in bits of the window of ``candidate`` that has most.
+
+    A candidate is gone over in pieces that overlap by a window less one character, so each window is in one of them."""
+    pieces = F.regexp_extract_all(candidate, F.lit(f"(?=(.{{1,{PIECE + WINDOW - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.array_max(F.transform(pieces, best_in_piece))
+
+
+def best_in_piece(piece: Column) -> Column:
+    """Counts go with the window: 5 bits for each character of the alphabet, 12 in a word.  A step changes the count of the character that
+    enters and of the one that leaves, and the sum of n log2 n by their terms."""
     terms = F.array(*(F.lit(n * log2(n) if n else 0.0) for n in range(WINDOW + 2)))
-    code = lambda at: F.when(at > 0, F.instr(F.lit(ALPHABET), F.substring(candidate, at, F.lit(1))) - 1).otherwise(F.lit(-1))
-
-    def onward(state: Column, at: Column) -> Column:
-        entering, leaving = code(at), code(at - WINDOW)
-        sizes = F.transform(state.sizes, lambda n, i: n + (i == entering).cast("int") - (i == leaving).cast("int"))
-        changed = lambda sums, i: F.coalesce(F.get(terms, F.get(sums, i)), F.lit(0.0))
-        same = entering == leaving
-        total = state.total + F.when(same, 0.0).otherwise(
-            changed(sizes, entering) - changed(state.sizes, entering) + F.when(leaving >= 0, changed(sizes, leaving) - changed(state.sizes, leaving)).otherwise(0.0)
-        )
-        entropy = F.when(at >= WINDOW, F.lit(log2(WINDOW)) - total / WINDOW).otherwise(0.0)
-        return F.struct(sizes.alias("sizes"), total.alias("total"), F.greatest(state.best, entropy).alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("sizes"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, onward, lambda state: state.best)
+    codes = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    lagging = F.concat(F.array_repeat(F.lit(-1), WINDOW), codes)
+    steps = F.zip_with(codes, F.slice(lagging, 1, F.size(codes)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    one = F.lit(1).cast("long")
+    names = [f"w{k}" for k in range(-(-len(ALPHABET) // PER_WORD))]
+    word = lambda code: F.floor(code / PER_WORD)
+    shift = lambda code: (code % PER_WORD * BITS).cast("int")
+
+    def count(words: Column, code: Column) -> Column:
+        held = F.lit(None).cast("long")
+        for k, name in reversed(list(enumerate(names))):
+            held = F.when(word(code) == k, words[name]).otherwise(held)
+        return F.call_function("shiftright", held, shift(code)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def changed(words: Column, code: Column, by: int) -> Column:
+        step = F.call_function("shiftleft", one, shift(code)) * by
+        return F.struct(*(F.when(word(code) == k, words[name] + step).otherwise(words[name]).alias(name) for k, name in enumerate(names)))
+
+    def onward(state: Column, step: Column) -> Column:
+        n = count(state.words, step.enters)
+        grown = F.struct(changed(state.words, step.enters, 1).alias("words"), (state.total + F.get(terms, n + 1) - F.get(terms, n)).alias("total"))
+
+        def left(now: Column) -> Column:
+            m = count(now.words, step.leaves)
+            gone = F.struct(changed(now.words, step.leaves, -1).alias("words"), (now.total + F.get(terms, m - 1) - F.get(terms, m)).alias("total"))
+            return F.when(step.leaves >= 0, gone).otherwise(now)
+
+        moved = F.get(F.transform(F.transform(F.array(grown), left), lambda now: F.struct(
+            now.words.alias("words"), now.total.alias("total"), (state.at + 1).alias("at"),
+            F.greatest(state.best, F.when(state.at + 1 >= WINDOW, F.lit(log2(WINDOW)) - now.total / WINDOW).otherwise(0.0)).alias("best"),
+        )), F.lit(0))
+        return moved
+
+    nothing = F.struct(*(F.lit(0).cast("long").alias(name) for name in names))
+    start = F.struct(nothing.alias("words"), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(0.0).alias("best"))
+    return F.aggregate(steps, start, onward, lambda state: state.best)
 
 
 def is_secret(candidate: Column) -> Column:
