@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -78,3 +79,20 @@ def test_defined_cases(messy, empty, tmp_path):
     kinds = [sorted(s.kind for s in r.spans) for r in rows if r.spans]
     assert kinds == [["email", "phone"]]
     assert pii.personal_data(empty, storage=str(tmp_path / "b")).collect() == []
+
+
+def test_overlapping_spans_in_proportion(monkeypatch):
+    rng = random.Random(12)
+    classifier = pii.SpanClassifier(np.zeros(pii.SLOTS))
+    span = lambda start, end: {"kind": "phone", "start": start, "end": end, "base": False, "features": []}
+    monkeypatch.setattr(pii.SpanClassifier, "probability", lambda self, slots: 0.9)
+    spans = [span(a, a + rng.randint(1, 9)) for a in (rng.randrange(600) for _ in range(400))]
+    chosen, occupied = [], []
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if all(s["end"] <= a or s["start"] >= b for a, b in occupied):
+            occupied.append((s["start"], s["end"]))
+            chosen.append(s)
+    assert pii.decide(spans, classifier, 0.5) == chosen
+    began = time.time()
+    assert len(pii.decide([span(10 * i, 10 * i + 5) for i in range(100_000)], classifier, 0.5)) == 100_000
+    assert time.time() - began < 10
