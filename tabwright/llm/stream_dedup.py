@@ -52,6 +52,8 @@ def arrive(docs: DataFrame, folder: str, id_col: str, text_col: str, digest: Cal
     ).write.mode("append").parquet(folder)
 
 
+#: Rows from which on a group is compared by several tasks, and how many.
+HOT_ROWS, SALTS = 1000, 32
 ARRIVAL = "id bigint, digest binary, locator struct<file: string, row: bigint>"
 
 
@@ -76,11 +78,14 @@ def run_stream(spark, folder: str, checkpoint: str, files_at_once: int | None =
 
 def differing(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests under which some text is not the text that the state points to."""
-    hits = groups.filter("group_size > 1").select("digest", F.col("keep.id").alias("keep_id"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
+    hits = groups.filter("group_size > 1").select("digest", F.col("keep.id").alias("keep_id"), F.when(F.col("group_size") > HOT_ROWS, SALTS).otherwise(1).alias("salts"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", digest(F.col("text"))).join(small(hits, hits.count()), "digest")
-    kept = rows.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("text").alias("kept_text"))
-    return rows.join(kept, "digest").filter("text != kept_text").select("digest").distinct()
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")))
+    kept = rows.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("text").alias("kept_text"), F.max("salts").alias("salts"))
+    # The rows of a large group are compared by many tasks, each with a copy of the text that stays.
+    kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return rows.drop("salts").join(kept, ["digest", "salt"]).filter("text != kept_text").select("digest").distinct()
 
 
 def exact_groups(
