@@ -12,7 +12,7 @@ classes is gone over with another hub.  What is left open is settled without pai
 enough share one of their rarest shingles, those that come first in a common order and weigh just more than the texts may
 differ by, and what follows the first one they share is heavy enough in both.  The nodes outside the main class of their
 bucket have pairs with the open nodes of other classes with which they share such a shingle.  Of the pairs of two classes one is
-compared first, a few times over; what that joins needs no other pair.  All pairs of classes that are still apart follow, so no
+compared first; what that joins needs no other pair.  All pairs of classes that are still apart follow, so no
 pair that could join two classes is left out.  A comparison looks at the signatures first (more than six
 standard deviations below the threshold is out), then at the whole multisets.
 
@@ -43,7 +43,7 @@ SENT_ROWS = 200_000
 #: Passes with hubs before the rest is settled by rare shingles.
 HUB_PASSES = 2
 #: Passes in which one pair of each two classes is compared, before the rest of their pairs.
-CLASS_PASSES = 3
+CLASS_PASSES = 1
 #: Slots that count shingles, and the least count in a task and in all that makes a slot frequent.  They only shape the order.
 SLOTS, OFTEN_IN_TASK, OFTEN = 1 << 22, 2, 8
 
