@@ -925,6 +925,23 @@ def cache_read(spark, sf_dir):
     return cache.read_or_compute("brand_counts", lambda: compute().filter("n < 0"), {"source": "part"})
 
 
+@query("cache_follows_input", f"WITH {PARTS_SQL} SELECT brand, count(*) AS n FROM parts GROUP BY 1")
+def cache_follows_input(spark, sf_dir):
+    """The folder grows between two reads of the cache, which has to notice; the third read finds the second's table."""
+    cache, folder = ResultCache(spark, scratch_path(spark, "cache")), scratch_path(spark, "input")
+
+    def read(spoiled=False):
+        rows = spark.read.schema("row_id bigint, brand string").parquet(folder)
+        counts = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
+        return cache.read_or_compute("brand_counts", lambda: counts.filter("n < 0") if spoiled else counts, source=rows)
+
+    for part in (0, 1):
+        rows = parts(spark, sf_dir).select("row_id", "brand").filter(F.col("row_id") % 2 == part)
+        rows.write.mode("append").parquet(folder)
+        read()
+    return read(spoiled=True)
+
+
 @query(
     "model_card",
     f"""WITH {PARTS_SQL}, {RIDGE_CTE} SELECT 'Ridge' AS name, round(sqrt(avg((label - my - w1 * (x1 - m1) - w2 * (x2 - m2)) ** 2)), 4) AS rmse,

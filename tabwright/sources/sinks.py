@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +23,41 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def input_state(spark: SparkSession, files: list[str]) -> str:
+    """Digest of the paths, sizes and times of files.  Only the listing is read, by Spark's own file source, and combined there."""
+    if not files:
+        return "none"
+    literal = [re.sub(r"([\\[\]{}*?\\\\])", r"\\\1", unquote(f)) for f in files]
+    listed = spark.read.format("binaryFile").load(literal).select("path", "length", "modificationTime")
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    row = listed.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(one), F.sum(F.shiftright(one, 16))).first()
+    return "-".join(str(v) for v in row)
+
+
+def source_key(df: DataFrame) -> str:
+    """What a table was made from: the text of its plan, and its input files with size and time.
+
+    Numbers of expressions count from 0 in each plan, so a later session finds the same key.  Rows that stand in the plan itself (made
+    from Python) count by the plan's hash.  A Python function counts by its name: a changed body is not seen.  The files are those listed
+    when ``df`` was made; read the folder again to see new ones."""
+    spark = df.sparkSession
+    wide = "spark.sql.debug.maxToStringFields", "spark.sql.maxPlanStringLength"
+    before = {key: spark.conf.get(key, None) for key in wide}
+    try:
+        for key in wide:
+            spark.conf.set(key, str(2**31 - 1 - 16))
+        plan = df._jdf.queryExecution().analyzed()
+        text = plan.toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    places: dict[str, int] = {}
+    text = re.sub(r"#(\d+)", lambda m: f"#{places.setdefault(m.group(1), len(places))}", text)
+    files = sorted(df.inputFiles())
+    inside = "" if files and "LocalRelation" not in text and "LogicalRDD" not in text else str(df.semanticHash())
+    return hashlib.sha256("\n".join((text, inside, input_state(spark, files))).encode()).hexdigest()
+
+
 class ResultCache:
     """Tables by key under one folder, each with a metadata row."""
 
@@ -49,11 +87,13 @@ class ResultCache:
         meta = {**json.loads(row["metadata"]), "cache_key": key, "created_at": row["created_at"]}
         return self.spark.read.parquet(f"{self.root}/{key}/table-{row['version']}"), meta
 
-    def read_or_compute(self, key: str, compute, metadata: dict | None = None) -> DataFrame:
-        """The table of ``key``, computed if there is none or if it was saved for other metadata."""
+    def read_or_compute(self, key: str, compute, metadata: dict | None = None, source: DataFrame | None = None) -> DataFrame:
+        """The table of ``key``, computed if there is none or if it was saved for other metadata, or from another state of ``source``
+        (see ``source_key``)."""
+        wanted = dict(metadata or {}) if source is None else {**(metadata or {}), "source_key": source_key(source)}
         row = self._row(key)
-        if row is None or json.loads(row["metadata"]) != json.loads(json.dumps(metadata or {})):
-            self.save(compute(), key, metadata)
+        if row is None or json.loads(row["metadata"]) != json.loads(json.dumps(wanted)):
+            self.save(compute(), key, wanted)
         return self.load(key)[0]
 
 

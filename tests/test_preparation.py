@@ -152,6 +152,34 @@ def test_cache_computes_once(spark, tmp_path):
     assert len(calls) == 1 and cache.load("k")[1]["a"] == 1
 
 
+def test_cache_follows_its_input(spark, tmp_path):
+    cache, calls, path = sinks.ResultCache(spark, str(tmp_path / "cache")), [], str(tmp_path / "a b [1]")
+
+    def total(where="id >= 0"):
+        rows = spark.read.schema("id bigint").parquet(path.replace("[", "\\[").replace("]", "\\]")).filter(where)
+
+        def compute():
+            calls.append(1)
+            return rows.groupBy().count()
+
+        return cache.read_or_compute("k", compute, source=rows).first()[0]
+
+    spark.range(3).write.parquet(path)
+    assert (total(), total(), len(calls)) == (3, 3, 1)
+    spark.range(2).write.mode("append").parquet(path)
+    assert (total(), total(), len(calls)) == (5, 5, 2)
+    spark.range(10, 14).write.mode("overwrite").parquet(path)
+    assert (total(), total(), len(calls)) == (4, 4, 3)
+    assert (total("id > 11"), total("id > 11"), len(calls)) == (2, 2, 4)
+
+
+def test_source_key_of_rows_in_the_plan(spark):
+    one, other = (spark.sql(f"SELECT * FROM VALUES (1), ({n}) AS t(a)") for n in (2, 3))
+    again = spark.sql("SELECT * FROM VALUES (1), (2) AS t(a)")
+    assert sinks.source_key(one) == sinks.source_key(again) != sinks.source_key(other)
+    assert sinks.source_key(spark.range(3)) != sinks.source_key(spark.range(4))
+
+
 def test_run_log_keeps_the_parent(spark, tmp_path):
     log = sinks.RunLog(spark, str(tmp_path / "log"), "outer")
     child = log.child("inner")
