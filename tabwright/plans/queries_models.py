@@ -48,7 +48,7 @@ from tabwright.plans.views import (
 )
 from tabwright.session import materialize, scratch_path
 from tabwright.sources.sinks import ResultCache, RunLog, model_card
-from tabwright.streaming.score_stream import read_request_stream, write_scores
+from tabwright.streaming.score_stream import read_body_stream, read_request_stream, score_bodies, score_stream, write_bodies, write_scores
 
 # --- fixed values: order of the priorities, lowest first ---------------------------
 PRIORITY_LEVELS = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -849,14 +849,22 @@ SCORED_SQL = f"""WITH {PARTS_SQL}, {RIDGE_CTE} SELECT row_id, round(my + w1 * (x
     FROM parts CROSS JOIN w"""
 
 
+def _ridge_pipeline(df):
+    """The ridge model of two columns as a pipeline, with the checks its rows need."""
+    model, _ = _ridge(df)
+    steps = PipelineModel([VectorAssembler(inputCols=["x1", "x2"], outputCol="features", handleInvalid="keep"), model])
+    return steps, {"x1": "double", "x2": "double"}
+
+
 @query(
     "batch_score_summary",
     f"""WITH s AS ({SCORED_SQL}) SELECT count(*) AS n, round(min(predicted_price), 3) AS min_price,
     round(max(predicted_price), 3) AS max_price, round(avg(predicted_price), 3) AS avg_price FROM s""",
 )
 def batch_score_summary(spark, sf_dir):
-    model, vectors = _ridge(parts(spark, sf_dir))
-    scored = model.transform(vectors).select(F.round("prediction", 4).alias("p"))
+    df = parts(spark, sf_dir)
+    model, fields = _ridge_pipeline(df)
+    scored = score(df, model, fields, "Ridge", ["row_id"], fields=fields, aliases={}).select(F.round("predicted_price", 4).alias("p"))
     return scored.agg(
         F.count("p").alias("n"), F.round(F.min("p"), 3).alias("min_price"), F.round(F.max("p"), 3).alias("max_price"), F.round(F.avg("p"), 3).alias("avg_price")
     )
@@ -887,16 +895,43 @@ def train_save_score(spark, sf_dir):
 def stream_score(spark, sf_dir):
     """The same rows through a file stream that ends when all is read, in two starts on two parts of the input."""
     df = parts(spark, sf_dir)
-    model, _ = _ridge(df)
+    model, fields = _ridge_pipeline(df)
     source, target = scratch_path(spark, "requests"), scratch_path(spark, "scores")
     for part in (0, 1):
         df.filter(F.col("row_id") % 2 == part).select("row_id", "x1", "x2").write.mode("append").parquet(source)
         requests = read_request_stream(spark, source, "parquet", schema="row_id bigint, x1 double, x2 double")
-        scored = model.transform(_vectors(requests)).select("row_id", F.round("prediction", 4).alias("predicted_price"))
+        scored = score_stream(requests, model, fields, "Ridge", ["row_id"], fields=fields, aliases={})
+        scored = scored.select("row_id", F.round("predicted_price", 4).alias("predicted_price"))
         write_scores(scored, target).awaitTermination()
     return spark.read.schema(scored.schema).parquet(target)
 
 
+@query(
+    "stream_bodies",
+    f"""WITH p AS ({SCORED_SQL}),
+    r AS (SELECT row_id, u.i AS position, predicted_price FROM p CROSS JOIN (SELECT unnest([0, 1]) AS i) u WHERE row_id % 10 <> 0)
+    SELECT row_id, position, CASE WHEN position = 0 THEN predicted_price END AS predicted_price,
+      CASE WHEN position = 1 THEN 'x1 is not double' END AS error FROM r
+    UNION ALL SELECT row_id, NULL, NULL, 'the body has no list of houses' FROM p WHERE row_id % 10 = 0""",
+)
+def stream_bodies(spark, sf_dir):
+    """Request bodies as a stream with a sink for prices and one for what was refused: each body has a good and a bad record, each
+    tenth body is no JSON."""
+    df = parts(spark, sf_dir)
+    model, fields = _ridge_pipeline(df)
+    record = F.to_json(F.struct("x1", "x2"))
+    body = F.concat(F.lit('{"houses": ['), record, F.lit(', {"x1": "none", "x2": 1.5}]}'))
+    source, results, rejects = (scratch_path(spark, name) for name in ("bodies", "results", "rejects"))
+    for part in (0, 1):
+        some = df.filter(F.col("row_id") % 2 == part).select("row_id", F.when(F.col("row_id") % 10 == 0, "[").otherwise(body).alias("body"))
+        some.write.mode("append").parquet(source)
+        bodies = read_body_stream(spark, source, "row_id bigint, body string", "parquet")
+        scored_by = lambda batch: score_bodies(batch, model, fields, "Ridge", "row_id", fields=fields, aliases={})
+        write_bodies(bodies, scored_by, results, rejects).awaitTermination()
+    prices = spark.read.parquet(results).select("row_id", "position", F.round("predicted_price", 4).alias("predicted_price"))
+    return prices.unionByName(spark.read.parquet(rejects).select("row_id", "position", "error"), allowMissingColumns=True)
+
+
 @query(
     "run_metrics_append",
     f"""WITH {PARTS_SQL} SELECT 'fit' AS run_name, 'metric' AS kind, 'rows' AS key, count(*)::VARCHAR AS value FROM parts

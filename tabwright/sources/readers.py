@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from tabwright import config
 from tabwright.functions.nulls import col, nan_columns_to_null, text_to_double, tokens_to_null
 from tabwright.operators.projection import enforce_schema
+from tabwright.sources.json_lists import read_list_records
 
 
 WHOLE = r"^\s*[+-]?\d+\s*$"
@@ -91,6 +92,15 @@ def read_json_batches(spark: SparkSession, path: str, fields: dict[str, str] | N
     return explode_batches(text, "body", fields, keep=("source",))
 
 
+def read_large_json_batches(spark: SparkSession, path: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """``read_json_batches`` for files of any size: the records of one file come from many tasks (see ``json_lists``)."""
+    fields = fields or config.REQUEST_FIELDS
+    record = T.StructType([T.StructField(c, T.StringType(), True) for c in fields])
+    found = read_list_records(spark, path).select("source", "position", F.from_json("value", record).alias("record"), F.col("error").alias("_refused"))
+    typed = enforce_schema(found.select("source", "position", "record.*", "_refused"), fields)
+    return typed.withColumn("error", F.coalesce("_refused", "error")).drop("_refused")
+
+
 def explode_batches(df: DataFrame, body: str, fields: dict[str, str] | None = None, keep=()) -> DataFrame:
     """Parse a JSON batch column.  Fields are read as text first, so one value
     of the wrong type spoils its record only and not the whole batch."""
@@ -103,5 +113,12 @@ def explode_batches(df: DataFrame, body: str, fields: dict[str, str] | None = No
     return enforce_schema(rows, fields)
 
 
+def spoiled_batches(df: DataFrame, body: str, keep=()) -> DataFrame:
+    """The bodies from which no record can be read, each with the reason in ``error``."""
+    records = F.from_json(col(body), "houses array<string>")["houses"]
+    reason = F.when(records.isNull(), "the body has no list of houses").when(F.size(records) == 0, "the list of houses is empty")
+    return df.select(*[col(c) for c in keep], reason.alias("error")).filter("error IS NOT NULL")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return nan_columns_to_null(spark.read.parquet(path))

@@ -295,6 +295,48 @@ def test_stream_equals_batch(spark, sales, trained, tmp_path):
     assert got == pytest.approx(want) and len(got) == 600
 
 
+def test_body_stream_survives_a_stop_between_its_two_sinks(spark, trained, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from tabwright.streaming.score_stream import read_body_stream, score_bodies, write_bodies
+
+    _, _, saved = trained
+    house = {"LotArea": 8450, "OverallQual": 7, "FirstFlrSF": 856}
+    good = [(f"g{i}", json.dumps({"houses": [house, {"LotArea": "wide"}, {**house, "LotArea": 9000 + i}]})) for i in range(5)]
+    bad = [("b1", "{"), ("b2", json.dumps({"other": 1})), ("b3", json.dumps({"houses": []})), ("b4", None), ("b5", json.dumps({"houses": 7}))]
+    for part in (good[:2] + bad[:2], good[2:] + bad[2:]):
+        spark.createDataFrame(part, "request_id string, body string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    results, rejects = str(tmp_path / "results"), str(tmp_path / "rejects")
+
+    def start():
+        bodies = read_body_stream(spark, str(tmp_path / "in"), max_files=1)
+        one = lambda batch: score_bodies(batch, saved.pipeline, saved.expected, saved.name, explainer=saved.explainer, top_k=2)
+        write_bodies(bodies, one, results, rejects).awaitTermination()
+
+    plain, stopped = DataFrameWriter.parquet, []
+
+    def stop_once(writer, path, *args, **kwargs):
+        if path.endswith("rejects/batch=1") and not stopped:
+            stopped.append(path)
+            raise RuntimeError("stopped between the sinks")
+        return plain(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", stop_once)
+    with pytest.raises(Exception, match="stopped between the sinks"):
+        start()
+    assert stopped and spark.read.parquet(results).select("batch").distinct().count() == 2
+    start()
+    start()  # nothing is new
+    rows = spark.read.parquet(results).orderBy("request_id", "position").collect()
+    assert [(r["request_id"], r["position"]) for r in rows] == [(f"g{i}", p) for i in range(5) for p in (0, 2)]
+    assert all(r["predicted_price"] > 0 and len(r["explanations"]) == 2 for r in rows)
+    wrong = {(r["request_id"], r["position"]): r["error"] for r in spark.read.parquet(rejects).collect()}
+    assert spark.read.parquet(rejects).count() == len(wrong) == 10
+    assert all(wrong[f"g{i}", 1] == "LotArea is not int" for i in range(5))
+    none = "the body has no list of houses"
+    assert {k: wrong[k, None] for k, _ in bad} == {"b1": none, "b2": none, "b3": "the list of houses is empty", "b4": none, "b5": none}
+
+
 def test_parts_kept_as_a_table_give_the_same_scores(points):
     _, _, df = points
     data = df.withColumn("split", F.when(F.col("Id") % 5 == 0, "test").otherwise("train"))
