@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright import config
 from tabwright.functions.nulls import col
 from tabwright.operators.metrics import metric_columns
-from tabwright.operators.models import NORMAL_EQUATION_FEATURES, LabelStats, base_models, build, label_stats, n_features
+from tabwright.operators.models import NORMAL_EQUATION_FEATURES, TREE_KINDS, LabelStats, base_models, build, label_stats, n_features
 from tabwright.operators.moments import LINEAR_KINDS, cross_validate_moments, second_moments
+from tabwright.operators.prefixes import prefix_scores
 from tabwright.session import ensure_checkpoint_dir, materialize
 
 RESULT_SCHEMA = (
@@ -119,6 +120,16 @@ def cross_validate(kind: str, params: dict, parts: list[Part], label: str = "lab
     return {f"cv_{m}": sum(s[m] for s in scores) / len(scores) for m in ("rmse", "r2")}
 
 
+def cross_validate_counts(kind: str, params: dict, counts, parts: list[Part], label: str = "label", seed: int = config.SEED) -> dict[int, dict]:
+    """``cross_validate`` of an ensemble for several numbers of trees, from one fit a fold, of the most trees."""
+    wanted, totals = sorted(set(counts)), {}
+    for part in parts:
+        model = fit_part(kind, {**params, "n_estimators": wanted[-1]}, part, label, seed)
+        for r in prefix_scores(model, part.valid, label).filter(F.col("n_estimators").isin(wanted)).collect():  # a row a count
+            totals.setdefault(r["n_estimators"], []).append((r["rmse"], r["r2"]))
+    return {n: {f"cv_{m}": sum(s[i] for s in scores) / len(parts) for i, m in enumerate(("rmse", "r2"))} for n, scores in totals.items()}
+
+
 def evaluate_models(
     models: dict, parts: list[Part], final: Part, row_id: str, label: str = "label", parallelism: int = 1, seed: int = config.SEED
 ) -> tuple[DataFrame, DataFrame | None, dict]:
@@ -181,12 +192,14 @@ def tune_models(
     spaces: dict | None = None,
     label: str = "label",
     parallelism: int = 1,
+    every_tree_count: bool = False,
 ) -> tuple[dict, DataFrame]:
     """Seeded random search, minimising the CV RMSE.  Returns
     {name: {best_params, best_cv_rmse}} and the table of all trials.
 
-    All trials of the linear models share one pass over each fold: its second moments."""
-    models = models or base_models()
+    All trials of the linear models share one pass over each fold: its second moments.  With ``every_tree_count`` a trial of an
+    ensemble is fitted once a fold with the most trees of its search space, and takes the best of all numbers of trees there."""
+    models, spaces_of = models or base_models(), spaces or SEARCH_SPACES
     spark = parts[0].train.sparkSession
     ensure_checkpoint_dir(spark)
     searched = [n for n in names if n in models and n in (spaces or SEARCH_SPACES)]
@@ -195,11 +208,16 @@ def tune_models(
     if from_moments:
         folds = _in_parallel(spark, [lambda p=p: second_moments(p.kept, "_train", label=label) for p in parts], parallelism)
 
-    def job(name, trial, params):
+    def job(name, trial, drawn):
         def run():
-            kind, base = models[name]
+            (kind, base), params = models[name], drawn
             try:
-                if name in from_moments:
+                if every_tree_count and kind in TREE_KINDS and "n_estimators" in spaces_of[name]:
+                    _, low, high, step = spaces_of[name]["n_estimators"]
+                    scores = cross_validate_counts(kind, {**base, **params}, range(low, high + 1, step), parts, label, seed)
+                    best = min(scores, key=lambda n: (scores[n]["cv_rmse"], n))
+                    params, cv = {**params, "n_estimators": best}, scores[best]
+                elif name in from_moments:
                     cv = cross_validate_moments(kind, {**base, **params}, folds)
                 else:
                     cv = cross_validate(kind, {**base, **params}, parts, label, seed)

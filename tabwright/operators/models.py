@@ -83,7 +83,7 @@ def build(
         return GBTRegressor(
             **columns,
             maxIter=params["n_estimators"],
-            stepSize=params["learning_rate"],
+            stepSize=params["learning_rate"] / 2,  # Spark fits its trees to twice the residual
             maxDepth=_boosting_depth(params),
             subsamplingRate=params.get("subsample", 1.0),
             featureSubsetStrategy=str(params["colsample"]) if params.get("colsample", 1.0) < 1 else "all",

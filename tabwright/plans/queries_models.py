@@ -25,6 +25,7 @@ from tabwright.operators.metrics import (
     residual_statistics,
 )
 from tabwright.operators.models import build, label_stats
+from tabwright.operators.prefixes import prefix_scores
 from tabwright.operators.ranking import final_ranking, rank_models
 from tabwright.operators.scaling import PopulationScaler, QuantileNormal
 from tabwright.operators.scoring import score, score_explain
@@ -528,6 +529,42 @@ def gbt_scores(spark, sf_dir):
     return _better_than_mean(spark, sf_dir, "boosting", {"n_estimators": 10, "learning_rate": 0.3, "max_depth": 4, "subsample": 0.8})
 
 
+#: Prices of parts are a line of their key; a hash of the key makes them less so.
+NOISY_SQL = f"{PARTS_SQL}, noisy AS (SELECT * REPLACE (label + {hash_sql('noise', 'row_id')} % 50 AS label) FROM parts)"
+
+STUMPS, STUMP_RATE = 4, 0.3
+
+
+def _stumps_sql() -> str:
+    """Boosted trees of one split each: the split with the least squared error, means of the residuals as outputs; the first tree counts
+    whole, the others by the rate."""
+    steps = ["s0 AS (SELECT *, 0.0::DOUBLE AS f0 FROM st)"]
+    for k in range(1, STUMPS + 1):
+        rate = 1.0 if k == 1 else STUMP_RATE
+        steps.append(f"""g{k} AS (SELECT step, sum(n) OVER w AS nl, sum(r) OVER w AS sl, sum(n) OVER () AS nn, sum(r) OVER () AS ss, max(step) OVER () AS top
+              FROM (SELECT step, count(*) AS n, sum(label - f{k - 1}) AS r FROM s{k - 1} WHERE split = 'train' GROUP BY step) WINDOW w AS (ORDER BY step)),
+            b{k} AS (SELECT step AS cut, sl / nl AS low, (ss - sl) / (nn - nl) AS high FROM g{k} WHERE step < top
+              ORDER BY sl * sl / nl + (ss - sl) * (ss - sl) / (nn - nl) DESC, step LIMIT 1),
+            s{k} AS (SELECT s.*, f{k - 1} + {rate} * CASE WHEN step <= cut THEN low ELSE high END AS f{k} FROM s{k - 1} s CROSS JOIN b{k})""")
+    scores = " UNION ALL ".join(
+        f"""SELECT {k} AS n_estimators, round(sqrt(avg((label - f{k}) ** 2)), 4) AS rmse, round(avg(abs(label - f{k})), 4) AS mae,
+        round(1 - avg((label - f{k}) ** 2) / var_pop(label), 6) AS r2 FROM s{STUMPS} WHERE split = 'test'"""
+        for k in range(1, STUMPS + 1)
+    )
+    return f"WITH {NOISY_SQL}, st AS (SELECT label, floor(x1 / 40)::BIGINT AS step, {split_sql('row_id')} AS split FROM noisy), {', '.join(steps)} {scores}"
+
+
+@query("boosted_stumps", _stumps_sql())
+def boosted_stumps(spark, sf_dir):
+    """Test errors after 1, 2, ... trees of one fitted ensemble."""
+    data = hash_split(_noisy_parts(spark, sf_dir).withColumn("step", F.floor(F.col("x1") / 40).cast("double")), "row_id")
+    assembler = VectorAssembler(inputCols=["step"], outputCol="features")
+    part = make_part(data, F.col("split") == "train", assembler.transform, ["row_id"])
+    model = fit_part("boosting", {"n_estimators": STUMPS, "learning_rate": STUMP_RATE, "max_depth": 1}, part)
+    found = prefix_scores(model, part.valid)
+    return found.select("n_estimators", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
+
+
 @query("elastic_net", BETTER_SQL)
 def elastic_net(spark, sf_dir):
     return _better_than_mean(spark, sf_dir, "elastic_net", {"alpha": 0.01, "l1_ratio": 0.5})
@@ -566,10 +603,6 @@ def elastic_net_closed_form(spark, sf_dir):
     return _one_feature_scores(spark, sf_dir, "elastic_net", {"alpha": 50.0, "l1_ratio": 0.4})
 
 
-#: Prices of parts are a line of their key; a hash of the key makes them less so.
-NOISY_SQL = f"{PARTS_SQL}, noisy AS (SELECT * REPLACE (label + {hash_sql('noise', 'row_id')} % 50 AS label) FROM parts)"
-
-
 def _noisy_parts(spark, sf_dir):
     return parts(spark, sf_dir).withColumn("label", F.col("label") + seeded_hash(F.col("row_id"), "noise") % 50)
 

@@ -28,7 +28,7 @@ from tabwright.operators.split import add_folds, exact_split, hash_split
 from tabwright.plans.registry import query
 from tabwright.plans.views import PARTS_SQL, SALES_SQL, fold_sql, hash_sql, kept_sales, parts, rounded, sales, split_sql, table
 from tabwright.session import scratch_path
-from tabwright.sources.readers import explode_batches, read_training_csv
+from tabwright.sources.readers import explode_batches, read_large_json_batches, read_training_csv
 from tabwright.sources.sinks import write_csv
 
 SALES_NUMERIC = [
@@ -480,6 +480,32 @@ def json_batch_score(spark, sf_dir):
     )
 
 
+@query(
+    "json_large_body",
+    f"""WITH {PARTS_SQL} SELECT 'list=' || (row_id % 3)::VARCHAR AS list, row_number() OVER (PARTITION BY row_id % 3 ORDER BY row_id) - 1 AS position,
+    row_id::INTEGER AS row_id, label, "type" FROM parts""",
+)
+def json_large_body(spark, sf_dir):
+    """Three bodies that hold all rows, read in byte ranges of 64 KB."""
+    p = parts(spark, sf_dir)
+    record = F.concat(F.to_json(F.struct("row_id", "label", "type")), F.lit(","))
+    rows = p.select((F.col("row_id") % 3).alias("list"), F.lit(1).alias("part"), "row_id", record.alias("value"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit('{"of": {"houses": [{}]}, "houses": [').alias("value")), F.struct(F.lit(2).alias("part"), F.lit("{}]}").alias("value"))))
+    ends = rows.select("list").distinct().select("list", ends.alias("e")).select("list", "e.part", F.lit(0).alias("row_id"), "e.value")
+    folder = scratch_path(spark, "bodies")
+    dealt = rows.unionByName(ends).repartition("list").sortWithinPartitions("list", "part", "row_id")
+    dealt.select("list", "value").write.partitionBy("list").text(folder)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        read = read_large_json_batches(spark, folder, {"row_id": "int", "label": "double", "type": "string"})
+    finally:
+        spark.conf.set(key, before)
+    of = F.regexp_extract("source", "list=[0-9]+", 0).alias("list")
+    return read.filter("row_id IS NOT NULL OR error IS NOT NULL").select(of, "position", "row_id", "label", "type")
+
+
 @query(
     "csv_roundtrip",
     f"""WITH {PARTS_SQL} SELECT row_id, label, size::DOUBLE AS size, "type", CASE WHEN row_id % 6 = 0 THEN NULL ELSE brand END AS brand FROM parts""",
