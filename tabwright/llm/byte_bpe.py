@@ -156,6 +156,25 @@ def encode(text: str | Column, path: str, pattern: str) -> Column:
     return F.arrow_udf(run, "array<int>")(text_or_empty(text))
 
 
+def encode_and_decode(text: str | Column, path: str, pattern: str) -> Column:
+    """Struct of ``ids`` as by ``encode`` and ``decoded``, the bytes that they give again: one worker a task does both."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = load(path, pattern)
+        for texts in batches:
+            lists, decoded = [], []
+            for part in pieces(texts):
+                ids = id_lists(bpe.encode(part.to_pylist()))
+                data, token_ends = bpe.decode(ids.values.to_numpy())
+                byte_ends = np.concatenate(([0], token_ends))[ids.offsets.to_numpy()].astype("<i4")
+                lists.append(ids)
+                decoded.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(byte_ends), pa.py_buffer(data)]))
+            yield pa.StructArray.from_arrays([joined(lists, pa.list_(pa.int32())), joined(decoded, pa.binary())], ["ids", "decoded"])
+        bpe.forget()
+
+    return F.arrow_udf(run, "struct<ids: array<int>, decoded: binary>")(text_or_empty(text))
+
+
 def encode_with_offsets(text: str | Column, path: str, pattern: str) -> Column:
     """Struct of three arrays of int: ``ids``, and ``starts`` and ``ends`` of each token in characters of the text."""
 

@@ -58,6 +58,13 @@ def test_defined_cases(messy, empty):
     assert empty.select(byte_bpe.encode("text", *VOCABULARY)).collect() == []
 
 
+def test_one_worker_for_both_ways_gives_the_same(messy, empty):
+    both = byte_bpe.encode_and_decode("text", *VOCABULARY)
+    for row in messy.select("text", byte_bpe.encode("text", *VOCABULARY).alias("one"), both.alias("both")).collect():
+        assert row.both.ids == row.one and bytes(row.both.decoded).decode() == (row.text or "")
+    assert empty.select(both).collect() == []
+
+
 def test_offsets_cover_split_characters(spark):
     text = "naïve 日本語 😀 x"
     row = spark.createDataFrame([(text,)], "text string").select(byte_bpe.encode_with_offsets("text", *VOCABULARY).alias("o")).first().o
