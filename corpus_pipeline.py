@@ -44,10 +44,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their whole texts, their number, and whether the decoded ids give the text again."""
     bounded_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids, n_tokens, round_trip = (free_name(docs, name) for name in ("ids", "n_tokens", "round_trip"))
-    encoded = docs.withColumn(ids, byte_bpe.encode("text", *vocabulary))
+    ids, n_tokens, round_trip, coded = (free_name(docs, name) for name in ("ids", "n_tokens", "round_trip", "coded"))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return encoded.withColumn(n_tokens, F.size(ids).cast("long")).withColumn(round_trip, byte_bpe.decode(ids, *vocabulary) == text)
+    docs = docs.withColumn(coded, byte_bpe.encode_and_decode("text", *vocabulary)).withColumn(ids, F.col(f"{coded}.ids"))
+    return docs.withColumn(n_tokens, F.size(ids).cast("long")).withColumn(round_trip, F.col(f"{coded}.decoded") == text).drop(coded)
 
 
 STAGES = [
