@@ -11,9 +11,9 @@ is compared with one hub, so a bucket of n nodes gives n pairs; links give class
 classes is gone over with another hub.  What is left open is settled without pairs of a whole bucket: two texts that are similar
 enough share one of their rarest shingles, those that come first in a common order and weigh just more than the texts may
 differ by, and what follows the first one they share is heavy enough in both.  The nodes outside the main class of their
-bucket have pairs with the open nodes of other classes with which they share such a shingle.  Of the pairs of two classes one is
-compared first; what that joins needs no other pair.  All pairs of classes that are still apart follow, so no
-pair that could join two classes is left out.  A comparison looks at the signatures first (more than six
+bucket have pairs with the open nodes of other classes with which they share such a shingle.  A few members of each class are
+compared first, then eight times as many, and so on to the last; what a pass joins needs no other pair.  All pairs of classes
+that are still apart have their turn, so no pair that could join two classes is left out.  A comparison looks at the signatures first (more than six
 standard deviations below the threshold is out), then at the whole multisets.
 
 Defined cases: a text of one to four words is one shingle; a null text, or one without a word, is in a class of its own; an
@@ -23,6 +23,7 @@ empty table gives an empty result; rows with the same id keep their own classes;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ COMPONENTS = BANDS * ROWS
 SENT_ROWS = 200_000
 #: Passes with hubs before the rest is settled by rare shingles.
 HUB_PASSES = 2
-#: Passes in which one pair of each two classes is compared, before the rest of their pairs.
-CLASS_PASSES = 1
+#: Members of a class whose pairs by rare shingles are compared first, and how many times as many the next passes take.
+SLICE, SLICE_GROWTH = 8, 8
 #: Slots that count shingles, and the least count in a task and in all that makes a slot frequent.  They only shape the order.
 SLOTS, OFTEN_IN_TASK, OFTEN = 1 << 22, 2, 8
 
@@ -268,7 +269,7 @@ class NearDuplicates:
         self.spark, self.threshold = docs.sparkSession, threshold
         self.storage = storage or scratch_path(self.spark, "near-dup")
         self.tables = 0
-        self.compared: list[DataFrame] = []  # pairs, the smaller node first
+        self.compared: list[DataFrame] = []  # pairs of the passes with hubs, the smaller node first
         # Rows are numbered once, in a written table, because ids may be null or repeated.
         self.row = free_name(docs, "row")
         self.whole = self.keep(docs.withColumn(self.row, F.monotonically_increasing_id()), "docs", "zstd")
@@ -306,9 +307,9 @@ class NearDuplicates:
 
     def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of distinct (node, hub) pairs those whose texts are similar enough; ``sets`` are their shingles, if there already."""
-        pairs = self.keep(pairs.distinct(), "pairs")
-        self.compared.append(pairs)
+        pairs = self.keep(pairs, "pairs")
         if sets is None:
+            self.compared.append(pairs)
             sketches = self.nodes.select("node", "sketch")
             both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), "hub")
             near = self.keep(both.filter(agree(F.col("sketch"), F.col("other")) >= self.least_agreeing).select("node", "hub"), "near")
@@ -342,7 +343,7 @@ class NearDuplicates:
 
     def join(self) -> DataFrame:
         """Labels of all linked nodes, after every pair that could join two classes was compared."""
-        self.links = self.verified(self.members.filter("node != hub").select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+        self.links = self.verified(self.members.filter("node != hub").select(F.col("hub").alias("node"), F.col("node").alias("hub")).distinct())
         labels = self.classes()
         for turn in range(1, HUB_PASSES):
             self.members = opened = self.open_members(labels)
@@ -354,36 +355,48 @@ class NearDuplicates:
         self.members = opened = self.open_members(labels)
         if opened.isEmpty():
             return labels
+        nodes = self.sliced(opened)
+        sets = self.multisets(nodes.select("node"))
+        first = sets.select("node", F.inline(rarest(F.col("shingles"), frequent_slots(sets), self.threshold, self.spark)))
+        first = self.keep(first.join(nodes, "node"), "rarest")
+        for turn in range(nodes.agg(F.max("slice")).first()[0] + 1):
+            labels = self.more(self.rare_pairs(first, labels, turn), labels, sets)
+        return labels
+
+    def sliced(self, opened: DataFrame) -> DataFrame:
+        """Open nodes with ``outside``, whether one is outside the main class of a bucket, and ``slice``: the members of a class are
+        dealt into a slice of about ``SLICE``, one that makes it ``SLICE_GROWTH`` times as many, and so on."""
         sizes = opened.groupBy("band", "label").count()
         main = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = opened.join(main, "band").filter("label != main").select("node").distinct()
-        sets = self.multisets(opened.select("node").distinct())
-        first = sets.select("node", F.inline(rarest(F.col("shingles"), frequent_slots(sets), self.threshold, self.spark)))
-        first = self.keep(first.join(opened.select("node", "label").distinct(), "node"), "rarest")
-        other = {"node": "hub", "label": "its", "n": "m", "rest": "its_rest", "weight": "its_weight"}
-        theirs = first.join(self.small(outside), "node", "left_semi").withColumnsRenamed(other)
+        nodes = opened.join(main, "band").groupBy("node", "label").agg(F.bool_or(F.col("label") != F.col("main")).alias("outside"))
+        classes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        place = F.pmod(F.xxhash64("node", F.lit(HUB_PASSES)), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
+        number = F.when(place < SLICE, 0).otherwise(F.floor(F.log(place / SLICE) / F.log(F.lit(float(SLICE_GROWTH)))) + 1)
+        return self.keep(nodes.join(classes, "label").select("node", "outside", number.cast("int").alias("slice")), "slices")
+
+    def rare_pairs(self, first: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+        """Pairs of nodes in different classes that share one of their rarest shingles, one of them outside a main class, the later
+        of their slices being ``turn``."""
+        now = first.filter(F.col("slice") <= turn).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = now.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("size"), F.max("slice").alias("top"))
+        held = sizes.groupBy("shingle").agg(
+            F.max_by("label", F.struct("size", "label")).alias("main"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("top").alias("top")
+        )
+        held = held.filter((F.col("a") < F.col("b")) & (F.col("top") == turn)).select("shingle", "main")
+        now = self.keep(now.join(held, "shingle"), "rare")
+        # Of two classes one is not the shingle's main class, so its members need no pairs with one another.
+        other = {"node": "hub", "label": "its", "n": "m", "rest": "its_rest", "weight": "its_weight", "outside": "its_outside", "slice": "its_slice"}
+        theirs = now.filter("label != main").drop("main").withColumnsRenamed(other)
         # Of a pair that is similar enough the first shingle both share passes; the others of it need not.
         shared = F.least("n", "m") + F.least("rest", "its_rest")
         enough = shared >= self.threshold / (1 + self.threshold) * (F.col("weight") + F.col("its_weight")) - 1e-6
-        pairs = first.join(theirs, "shingle").filter("label != its").filter(enough)
-        swap = F.col("label") > F.col("its")
-        pairs = pairs.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("node", "hub"), ("hub", "node"), ("label", "its"), ("its", "label"))))
-        pairs = self.keep(pairs.distinct(), "rare-pairs")
-        for turn in range(CLASS_PASSES):
-            # One pair of each two classes; those that it joins have no use for their other pairs.
-            one = pairs.groupBy("label", "its").agg(F.min_by(F.struct("node", "hub"), F.xxhash64("node", "hub", F.lit(turn))).alias("p"))
-            one = self.keep(one.select("label", "its", "p.*"), "one")
-            labels = self.more(one, labels, sets)
-            now = labels.select(F.col("node").alias("label"), F.col("label").alias("a"))
-            its = now.withColumnsRenamed({"label": "its", "a": "b"})
-            joined = one.join(now, "label", "left").join(its, "its", "left").filter(F.coalesce("a", "label") == F.coalesce("b", "its"))
-            pairs = self.keep(pairs.join(joined.select("label", "its"), ["label", "its"], "left_anti"), "rare-pairs")
-        return self.more(pairs, labels, sets)
+        wanted = (F.col("label") != F.col("its")) & (F.col("outside") | F.col("its_outside")) & (F.greatest("slice", "its_slice") == turn)
+        return now.join(theirs, "shingle").filter(wanted & enough).select("node", "hub")
 
     def more(self, pairs: DataFrame, labels: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        fresh = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).filter("node != hub")
-        for pairs in self.compared:
-            fresh = fresh.join(pairs, ["node", "hub"], "left_anti")
+        """Labels after the pairs were compared that no pass with hubs has; two slices have no pair in common."""
+        fresh = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).filter("node != hub").distinct()
+        fresh = fresh.join(reduce(DataFrame.union, self.compared), ["node", "hub"], "left_anti")
         found = self.verified(fresh, sets)
         if found.isEmpty():
             return labels

@@ -79,6 +79,28 @@ def test_hubs_alone_would_lose_links(make, families, tmp_path):
     assert run.links.count() >= first > 0
 
 
+def test_nodes_beside_a_large_class_are_not_compared_with_all_of_it(make, words, tmp_path, monkeypatch):
+    """Copies with more edits than the rest reach a few members each: slices of the class find one, and the classes are those of all pairs."""
+    base, rng, texts = words(150, 4242).split(), random.Random(9), []
+    for _ in range(400):
+        copy = list(base)
+        for place in rng.sample(range(150), rng.choice((1, 2, 3))):
+            copy[place] = f"new{rng.random():.9f}"
+        texts.append(" ".join(copy))
+    compared, verified = [], near_dup.NearDuplicates.verified
+
+    def counted(self, pairs, sets=None):
+        compared.append(0 if sets is None else pairs.count())
+        return verified(self, pairs, sets)
+
+    monkeypatch.setattr(near_dup.NearDuplicates, "verified", counted)
+    monkeypatch.setattr(near_dup, "HUB_PASSES", 1)
+    rows = {r.id: r.class_id for r in near_dup.near_duplicates(make(list(zip(range(400), texts, ["en"] * 400))), storage=str(tmp_path / "a")).collect()}
+    want = classes(texts)
+    assert [rows[i] for i in range(400)] == want and max(Counter(want).values()) > 300
+    assert sum(compared) < 6000
+
+
 def test_signatures_are_unbiased_for_weights():
     rng = np.random.default_rng(1)
     pairs = []
