@@ -51,6 +51,8 @@ SLOTS, OFTEN_IN_TASK, OFTEN = 1 << 22, 2, 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 44) - 1)
 
+#: Slots whose ranks come to the driver in one row, a byte each.
+SLOT_BLOCK = 1 << 16
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -186,8 +188,9 @@ def multiset(text: F.Column) -> F.Column:
     return F.arrow_udf(run, "binary")(text)
 
 
-def frequent_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of shingles that many of ``sets`` hold, and how many; at most ``SLOTS``."""
+def frequent_slots(sets: DataFrame) -> np.ndarray:
+    """A rank for each slot of shingles that grows with the number of ``sets`` that hold one, in steps of a tenth; 0 if they are
+    few.  A byte for each of ``SLOTS`` comes to the driver, however many sets there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int32)
@@ -200,23 +203,27 @@ def frequent_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["slot", "n"])
 
     counted = sets.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= OFTEN).orderBy("slot").toPandas()
-    return found["slot"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    blocks = counted.filter(F.col("n") >= OFTEN).withColumn("block", F.floor(F.col("slot") / SLOT_BLOCK)).groupBy("block")
+    ranks = np.zeros(SLOTS, np.uint8)
+    for row in blocks.applyInArrow(packed, "block bigint, ranks binary").collect():
+        ranks[row["block"] * SLOT_BLOCK :][:SLOT_BLOCK] = np.frombuffer(row["ranks"], np.uint8)
+    return ranks
 
+    def packed(block: pa.Table) -> pa.Table:
+        ranks = np.zeros(SLOT_BLOCK, np.uint8)
+        ranks[block["slot"].to_numpy() % SLOT_BLOCK] = np.minimum(8 * np.log2(block["n"].to_numpy()), 255)
+        return pa.table({"block": block["block"][:1], "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
-def rarest(sets: F.Column, frequent: tuple[np.ndarray, np.ndarray], threshold: float, spark) -> F.Column:
-    """The first shingles of each set, by how frequent their slot is, then by hash, until they weigh more than two sets may differ by:
+
+def rarest(sets: F.Column, ranks: np.ndarray, threshold: float, spark) -> F.Column:
+    """The first shingles of each set, by the rank of their slot, then by hash, until they weigh more than two sets may differ by:
     array of shingle, n, rest (weight of what follows) and weight (of the set)."""
     kind = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64()), ("rest", pa.int64()), ("weight", pa.int64())]))
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(ranks)
 
     def first(data: bytes) -> list[dict]:
         hashes, counts = unpacked(data)
-        slots, often = shared.value
-        slot = (hashes % np.uint64(SLOTS)).astype(np.int64)
-        at = np.minimum(np.searchsorted(slots, slot), max(len(slots) - 1, 0))
-        rank = np.where(slots[at] == slot, often[at], 0) if len(slots) else np.zeros(len(hashes), np.int64)
-        order = np.lexsort((hashes, rank))
+        order = np.lexsort((hashes, shared.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
         weight = int(counts.sum())
         upto = np.cumsum(counts[order])
         end = int(np.searchsorted(upto - counts[order], weight - int(np.ceil(threshold * weight - 1e-9)), side="right"))

@@ -101,6 +101,15 @@ def test_nodes_beside_a_large_class_are_not_compared_with_all_of_it(make, words,
     assert sum(compared) < 6000
 
 
+def test_ranks_of_slots_come_as_a_byte_each(spark):
+    """20 sets hold the first shingle, 10 the second, 3 the last; the driver gets blocks of bytes, not a row for each frequent slot."""
+    last = near_dup.SLOTS - 1
+    held = [[h for h, most in ((7, 20), (last, 10), (70_000, 3)) if k < most] for k in range(20)]
+    sets = [(np.array(sorted(h), "<u8").tobytes() + np.ones(len(h), "<u4").tobytes(),) for h in held]
+    ranks = near_dup.frequent_slots(spark.createDataFrame(sets, "shingles binary").coalesce(1))
+    assert ranks.nbytes == near_dup.SLOTS and np.flatnonzero(ranks).tolist() == [7, last] and ranks[7] > ranks[last]
+
+
 def test_signatures_are_unbiased_for_weights():
     rng = np.random.default_rng(1)
     pairs = []
