@@ -41,18 +41,22 @@ BANDS, ROWS = 42, 6
 COMPONENTS = BANDS * ROWS
 #: Rows of a table of nodes that may be sent to all executors (about 50 bytes each); beyond it the join shuffles.
 SENT_ROWS = 200_000
+#: The same for labels, which several joins of each pass send: the driver makes each of these tables in its heap.
+SENT_LABELS = 50_000
+#: Links of classes that one task puts together (16 bytes each); beyond it labels go over them in rounds.
+ONE_TASK_LINKS = 200_000
 #: Passes with hubs before the rest is settled by rare shingles.
 HUB_PASSES = 2
 #: Members of a class whose pairs by rare shingles are compared first, and how many times as many the next passes take.
 SLICE, SLICE_GROWTH = 8, 8
 #: Slots that count shingles, and the least count in a task and in all that makes a slot frequent.  They only shape the order.
 SLOTS, OFTEN_IN_TASK, OFTEN = 1 << 22, 2, 8
+#: Slots whose ranks come to the driver in one row, a byte each.
+SLOT_BLOCK = 1 << 16
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 44) - 1)
 
-#: Slots whose ranks come to the driver in one row, a byte each.
-SLOT_BLOCK = 1 << 16
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -202,6 +206,11 @@ def frequent_slots(sets: DataFrame) -> np.ndarray:
             part = slots[start : start + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["slot", "n"])
 
+    def packed(block: pa.Table) -> pa.Table:
+        ranks = np.zeros(SLOT_BLOCK, np.uint8)
+        ranks[block["slot"].to_numpy() % SLOT_BLOCK] = np.minimum(8 * np.log2(block["n"].to_numpy()), 255)
+        return pa.table({"block": block["block"][:1], "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
     counted = sets.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     blocks = counted.filter(F.col("n") >= OFTEN).withColumn("block", F.floor(F.col("slot") / SLOT_BLOCK)).groupBy("block")
     ranks = np.zeros(SLOTS, np.uint8)
@@ -209,11 +218,6 @@ def frequent_slots(sets: DataFrame) -> np.ndarray:
         ranks[row["block"] * SLOT_BLOCK :][:SLOT_BLOCK] = np.frombuffer(row["ranks"], np.uint8)
     return ranks
 
-    def packed(block: pa.Table) -> pa.Table:
-        ranks = np.zeros(SLOT_BLOCK, np.uint8)
-        ranks[block["slot"].to_numpy() % SLOT_BLOCK] = np.minimum(8 * np.log2(block["n"].to_numpy()), 255)
-        return pa.table({"block": block["block"][:1], "ranks": pa.array([ranks.tobytes()], pa.binary())})
-
 
 def rarest(sets: F.Column, ranks: np.ndarray, threshold: float, spark) -> F.Column:
     """The first shingles of each set, by the rank of their slot, then by hash, until they weigh more than two sets may differ by:
@@ -269,6 +273,20 @@ def similarity(left: F.Column, right: F.Column) -> F.Column:
     return F.arrow_udf(run, "double")(left, right)
 
 
+def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node that each node of the links in ``batches`` reaches."""
+    links = pa.Table.from_batches(batches, pa.schema([("node", pa.int64()), ("hub", pa.int64())]))
+    nodes, ends = np.unique(np.concatenate([links["node"].to_numpy(), links["hub"].to_numpy()]), return_inverse=True)
+    left, right = ends[: len(links)], ends[len(links) :]
+    label = np.arange(len(nodes))
+    while len(apart := np.flatnonzero(label[left] != label[right])):
+        one, other = label[left[apart]], label[right[apart]]
+        np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+        while (further := label[label]).tobytes() != label.tobytes():
+            label = further
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
 class NearDuplicates:
     """One run over a table, with its intermediate tables in ``storage``."""
 
@@ -290,14 +308,14 @@ class NearDuplicates:
         df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def small(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= SENT_ROWS else df
+    def small(self, df: DataFrame, most: int | None = None) -> DataFrame:
+        return F.broadcast(df) if df.count() <= (SENT_ROWS if most is None else most) else df
 
     def sketches(self) -> None:
         made = self.docs.select("id", "row", sketch("text").alias("s")).select("id", "row", "s.*")
         self.rows = self.keep(made, "rows")
-        same = self.rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.min_by(F.struct("bands", "sketch"), "row").alias("s"))
-        self.nodes = self.keep(same.select(F.monotonically_increasing_id().alias("node"), "digest", "row", "s.*"), "nodes")
+        same = self.rows.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min_by(F.struct("bands", "sketch"), "row").alias("s"))
+        self.nodes = self.keep(same.select("node", "digest", "s.*"), "nodes")
 
     def candidates(self) -> None:
         bands = self.nodes.select("node", F.explode("bands").alias("band"))
@@ -306,10 +324,8 @@ class NearDuplicates:
         self.links = None
 
     def multisets(self, nodes: DataFrame) -> DataFrame:
-        """Shingles of the nodes: node, shingles."""
-        wanted = self.nodes.join(self.small(nodes), "node", "left_semi").select("node", "row")
-        wanted = self.keep(wanted, "wanted")
-        texts = self.docs.select("row", "text").join(self.small(wanted), "row")
+        """Shingles of the nodes of a kept table: node, shingles.  A node is the first row of its words."""
+        texts = self.docs.select(F.col("row").alias("node"), "text").join(self.small(nodes), "node")
         return self.keep(texts.select("node", multiset(F.col("text")).alias("shingles")), "sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -320,17 +336,40 @@ class NearDuplicates:
             sketches = self.nodes.select("node", "sketch")
             both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), "hub")
             near = self.keep(both.filter(agree(F.col("sketch"), F.col("other")) >= self.least_agreeing).select("node", "hub"), "near")
-            sets = self.multisets(near.select("node").union(near.select("hub")).distinct())
+            sets = self.multisets(self.keep(near.select("node").union(near.select("hub")).distinct(), "wanted"))
         else:  # pairs of the same rare shingle and weight are close: nearly all signatures would let them pass
             near = pairs
         both = near.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")), "hub")
         alike = similarity(F.col("shingles"), F.col("other"))
         return self.keep(both.select("node", "hub", alike.alias("alike")).filter(F.col("alike") >= self.threshold).select("node", "hub"), "links")
 
-    def classes(self) -> DataFrame:
-        """The smallest node that each linked node reaches: labels go over links and follow one another until none changes."""
-        edges = self.links.select("node", F.col("hub").alias("to")).union(self.links.select(F.col("hub").alias("node"), F.col("node").alias("to"))).distinct()
-        edges = self.keep(edges, "edges")
+    def classes(self, found: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+        """Labels (node, label: the smallest node that it reaches) of all linked nodes after the links ``found`` were added to those
+        behind ``labels``.  They are links of classes, so a pass works on its own links and not on those of all passes again."""
+        if labels is None:
+            return self.small(self.components(found), SENT_LABELS)
+        for end in ("node", "hub"):
+            its = labels.select(F.col("node").alias(end), F.col("label").alias("its"))
+            found = found.join(its, end, "left").withColumn(end, F.coalesce("its", end)).drop("its")
+        apart = found.filter("node != hub").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
+        edges = self.keep(apart.distinct(), "edges")
+        if edges.isEmpty():
+            return labels
+        joined = self.small(self.components(edges), SENT_LABELS)
+        moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left")
+        moved = moved.select("node", F.coalesce("now", "label").alias("label"))
+        return self.small(self.keep(moved.union(joined.join(labels, "node", "left_anti").select("node", "label")), "labels"), SENT_LABELS)
+
+    def components(self, links: DataFrame) -> DataFrame:
+        """The smallest node that each linked node reaches, by one task or in rounds."""
+        if links.count() <= ONE_TASK_LINKS:
+            return self.keep(links.select("node", "hub").coalesce(1).mapInArrow(reached, "node bigint, label bigint"), "reached")
+        return self.propagated(links)
+
+    def propagated(self, links: DataFrame) -> DataFrame:
+        """As ``components``: labels go over links and follow one another until none changes."""
+        edges = links.select("node", F.col("hub").alias("to")).union(links.select(F.col("hub").alias("node"), F.col("node").alias("to")))
+        edges = self.keep(edges, "ends")
         labels = self.keep(edges.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "labels")
         while True:
             offered = edges.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("offer"))
@@ -351,7 +390,7 @@ class NearDuplicates:
     def join(self) -> DataFrame:
         """Labels of all linked nodes, after every pair that could join two classes was compared."""
         self.links = self.verified(self.members.filter("node != hub").select(F.col("hub").alias("node"), F.col("node").alias("hub")))
-        labels = self.classes()
+        labels = self.classes(self.links)
         for turn in range(1, HUB_PASSES):
             self.members = opened = self.open_members(labels)
             if opened.isEmpty():
@@ -405,10 +444,8 @@ class NearDuplicates:
         fresh = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).filter("node != hub").distinct()
         fresh = fresh.join(reduce(DataFrame.union, self.compared), ["node", "hub"], "left_anti")
         found = self.verified(fresh, sets)
-        if found.isEmpty():
-            return labels
-        self.links = self.keep(self.links.union(found).distinct(), "links")
-        return self.classes()
+        self.links = self.links.union(found)
+        return self.classes(found, labels)
 
     def result(self) -> DataFrame:
         """Each row with its class, and its number in ``whole``."""

@@ -101,6 +101,41 @@ def test_nodes_beside_a_large_class_are_not_compared_with_all_of_it(make, words,
     assert sum(compared) < 6000
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_later_links_work_on_classes_not_on_all_links_again(spark, make, tmp_path, monkeypatch, limit):
+    """By one task or in rounds, with or without a broadcast, the labels are those of all links; what is written follows the pass's own links."""
+    monkeypatch.setattr(near_dup, "ONE_TASK_LINKS", limit)
+    monkeypatch.setattr(near_dup, "SENT_LABELS", limit)
+    run = near_dup.NearDuplicates(make([(1, "a text", "en")]), "doc_id", "text", 0.8, str(tmp_path / "a"))
+    kept, keep = [], near_dup.NearDuplicates.keep
+
+    def counted(self, df, name, *more):
+        table = keep(self, df, name, *more)
+        kept.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(near_dup.NearDuplicates, "keep", counted)
+    rng = random.Random(3)
+    passes = [[(k, k + 1) for k in range(0, 300, 2)], [(k, k + 2) for k in range(0, 40, 2)], [tuple(sorted(rng.sample(range(320), 2))) for _ in range(15)], [(0, 1)]]
+    top = {}
+
+    def find(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    labels = None
+    for links in passes:
+        kept.clear()
+        labels = run.classes(spark.createDataFrame(links, "node bigint, hub bigint"), labels)
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            top[a], top[b] = a, a
+        assert {r.node: r.label for r in labels.collect()} == {x: find(x) for x in top}
+        assert all(n <= 2 * len(links) for name, n in kept if name in ("edges", "ends", "reached", "heard"))
+    assert kept == [("edges", 0)]
+
+
 def test_ranks_of_slots_come_as_a_byte_each(spark):
     """20 sets hold the first shingle, 10 the second, 3 the last; the driver gets blocks of bytes, not a row for each frequent slot."""
     last = near_dup.SLOTS - 1
