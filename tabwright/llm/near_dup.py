@@ -7,7 +7,7 @@ keeps the earliest point that reaches it.  Two texts share it with exactly their
 Points are made in order of time and only up to a limit at which all components are taken.
 
 Bands of components are candidate buckets.  Texts with equal words are one node from the start.  In each bucket every node
-is compared with one hub, so a bucket of n nodes gives n pairs; links give classes.  A bucket whose nodes are then in several
+is compared with one hub, so a bucket of n nodes gives n pairs; links give classes, and links of later passes join them.  A bucket whose nodes are then in several
 classes is gone over with another hub.  What is left open is settled without pairs of a whole bucket: two texts that are similar
 enough share one of their rarest shingles, those that come first in a common order and weigh just more than the texts may
 differ by, and what follows the first one they share is heavy enough in both.  The nodes outside the main class of their
